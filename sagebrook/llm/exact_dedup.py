@@ -27,11 +27,11 @@ def _positions(bits: int):
     return [h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1))]
 
 
-def repeated_filter(digests: DataFrame, bits: int) -> DataFrame:
-    """Words of 64 positions that were set twice or more: at most ``bits / 64`` rows."""
+def position_words(digests: DataFrame, bits: int, least: int) -> DataFrame:
+    """Words of 64 filter positions that were set ``least`` times or more: at most ``bits / 64`` rows."""
     counts = (
         digests.select(F.explode(F.array(*_positions(bits))).alias("position"))
-        .groupBy("position").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        .groupBy("position").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     )
     return counts.groupBy(F.shiftright("position", 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(position & 63 as int))")).alias("bits")
@@ -64,7 +64,7 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, max_bits: int):
     )
     rows = digests.count()
     bits = filter_bits(rows, max_bits=max_bits)
-    words = stored(repeated_filter(digests, bits), "repeated-positions")
+    words = stored(position_words(digests, bits, 2), "repeated-positions")
     small = words.count() * 64 <= MAX_BITS
     return digests, rows, bits, words, small
 
