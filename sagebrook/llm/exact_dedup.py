@@ -111,3 +111,18 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         stored(kept, "kept"), F.col("key").eqNullSafe(F.col("kept_id")) & (F.col("sha256") == F.col("kept_sha256")), "left_semi"
     ).dropDuplicates(["sha256"])
     return full.where(~F.col("maybe")).select("row.*").unionByName(chosen.select("row.*"))
+
+
+def without_ids(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows of ``ids`` (doc_id), all columns as they came.
+
+    A bit filter of the ids lets nearly all other rows pass without a shuffle.
+    Rows with a null id stay.
+    """
+    dropped = stored(ids.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("doc_id").alias("hash")).distinct(), "dropped")
+    bits = filter_bits(dropped.count())
+    words = stored(position_words(dropped, bits, 1), "dropped-positions")
+    full = with_maybe(packed(docs, key=F.col(id_col), hash=F.xxhash64(F.col(id_col))), words, bits, words.count() * 64 <= MAX_BITS)
+    safe = full.where(~F.col("maybe") | F.col("key").isNull())
+    checked = full.where(F.col("maybe") & F.col("key").isNotNull()).join(dropped.select(F.col("doc_id").alias("key")), "key", "left_anti")
+    return safe.select("row.*").unionByName(checked.select("row.*"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, quality_model, quality_rules, sharding, simhash, toxicity
+from . import bpe, exact_dedup, language_id, packing, quality_model, quality_rules, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.document_languages(_table(spark, sf_dir, "documents"))
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.page_languages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_classifier, op3_sharding, op4_toxicity, op5_simhash, op6_quality_rules, op8_byte_bpe, op9_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_classifier, op3_sharding, op4_toxicity, op5_simhash, op6_quality_rules, op8_byte_bpe, op9_packing, op10_language_id, page_languages)}
 
 
 def oracle_sql() -> dict[str, str]:

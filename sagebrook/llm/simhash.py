@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, packed, stored, text_of
-from .exact_dedup import MAX_BITS, filter_bits, position_words, with_maybe
+from .common import attach, stored, text_of
+from .exact_dedup import without_ids
 
 SEED = 42
 SHINGLE = 3
@@ -274,14 +274,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """``docs`` with the smallest id of each component, all columns as they came.
 
-    Rows with a null id stay, as do all rows that repeat a kept id. A bit filter
-    of the dropped ids lets nearly all other rows pass without a shuffle.
+    Rows with a null id stay, as do all rows that repeat a kept id.
     """
     found = simhash_components(docs, id_col, text_col, bucket)
-    dropped = stored(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id", F.xxhash64("doc_id").alias("hash")).distinct(), "dropped")
-    bits = filter_bits(dropped.count())
-    words = stored(position_words(dropped, bits, 1), "dropped-positions")
-    full = with_maybe(packed(docs, key=F.col(id_col), hash=F.xxhash64(F.col(id_col))), words, bits, words.count() * 64 <= MAX_BITS)
-    safe = full.where(~F.col("maybe") | F.col("key").isNull())
-    checked = full.where(F.col("maybe") & F.col("key").isNotNull()).join(dropped.select(F.col("doc_id").alias("key")), "key", "left_anti")
-    return safe.select("row.*").unionByName(checked.select("row.*"))
+    return without_ids(docs, id_col, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
