@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, packing, quality_model, quality_rules, sharding, simhash, toxicity
+from . import bpe, exact_dedup, language_id, language_model, packing, quality_model, quality_rules, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_model_scores(_table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,7 +70,7 @@ def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_classifier, op3_sharding, op4_toxicity, op5_simhash, op6_quality_rules, op8_byte_bpe, op9_packing, op10_language_id, page_languages)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_classifier, op3_sharding, op4_toxicity, op5_simhash, op6_quality_rules, op7_language_model, op8_byte_bpe, op9_packing, op10_language_id, page_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
