@@ -1,10 +1,24 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it
+kept; all but the last return the columns of documents as they came.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sagebrook.llm import exact_dedup
+from sagebrook.llm import exact_dedup, language_id, packing, simhash, toxicity
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without a likely language go."""
+    return language_id.drop_unidentified(docs)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxicity: documents that score one half or more go."""
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def unique_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,15 +26,35 @@ def unique_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.drop_exact_duplicates(docs)
 
 
-STAGES = [("exact dedup", unique_texts)]
+def unlike_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-dedup: one document of each group stays, the smallest doc_id."""
+    return simhash.drop_near_duplicates(docs)
+
 
-#: SQL can't express the trained models and the packing of these stages.
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packing: a row for each piece of a document, with its sequence and place."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language ID", identified),
+    ("toxicity", not_toxic),
+    ("exact dedup", unique_texts),
+    ("SimHash near-dedup", unlike_texts),
+    ("packing", packed),
+]
+
+#: SQL can't express the trained models, the fingerprints and the packing.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another, on ``documents``."""
+    """The stages one after another, on ``documents``; each but the last is stored for the next."""
+    from sagebrook.llm.common import stored
+
     out = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        out = stage(spark, out, sf_dir)
-    return out
+    for name, stage in STAGES[:-1]:
+        out = stored(stage(spark, out, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, out, sf_dir)
