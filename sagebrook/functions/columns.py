@@ -226,9 +226,11 @@ def tags_of(text: Column, tags: Mapping[str, Sequence[str]] = rules.EXAM_TAGS) -
 
 def chunk_tags(types: Column, text: Column, by_type: Mapping[str, Sequence[str]] = rules.CHUNK_TYPE_TAGS, by_text: Mapping[str, Sequence[str]] = rules.CHUNK_TEXT_TAGS) -> Column:
     """sorted tags of the nested types, or those of the text if the types give none."""
-    nested = F.array_sort(F.array_compact(F.array(*[
-        F.when(F.coalesce(F.exists(types, lambda t, w=words: t.rlike(quoted(w))), F.lit(False)), F.lit(tag)) for tag, words in by_type.items()
-    ])))
+
+    def has(words: Sequence[str]) -> Column:
+        return F.coalesce(F.exists(types, lambda t: t.rlike(quoted(words))), F.lit(False))
+
+    nested = F.array_sort(F.array_compact(F.array(*[F.when(has(words), F.lit(tag)) for tag, words in by_type.items()])))
     return F.when(F.size(nested) > 0, nested).otherwise(tags_of(text, by_text))
 
 

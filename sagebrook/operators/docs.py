@@ -139,11 +139,11 @@ STRUCTURED = ("exam_types array<struct<type string, target string, application_p
               "result_date string, enrollment_deadline string, capacity string, qualification string, notes string>>")
 
 
-def context_line(entity: Column, unit: Column, year: Column, scope: Column, kind: Column, types: Column, labels: Mapping[str, str] = rules.SCOPE_LABELS) -> Column:
+def context_line(entity: Column, unit: Column, year: Column, scope: Column, kind: Column, types: Column | None, labels: Mapping[str, str] = rules.SCOPE_LABELS) -> Column:
     """A document's context: its description, then types, capacity, first period and first date where there are any."""
     names = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
     base = C.join_present(" | ", entity, unit, year, F.element_at(names, F.coalesce(scope, F.lit(""))), kind)
-    types = F.coalesce(types, F.from_json(F.lit("[]"), "array<struct<type string, capacity string, exam_date string, application_period struct<start string, `end` string>>>")) if types is None else types
+    types = F.from_json(F.lit("[]"), STRUCTURED.removeprefix("exam_types ")) if types is None else types
     present = F.filter(F.transform(types, lambda t: t["type"]), lambda t: t.isNotNull() & (t != ""))
     total = C.capacity_sum(F.transform(types, lambda t: F.coalesce(t["capacity"].cast("string"), F.lit(""))))
     periods = F.transform(types, lambda t: F.concat_ws(" ~ ", F.nullif(t["application_period"]["start"], F.lit("")), F.nullif(t["application_period"]["end"], F.lit(""))))
@@ -265,10 +265,11 @@ SHEET = ("workbook", "sheet")
 
 def header_row(cells: DataFrame, aliases: Mapping[str, Sequence[str]], least: int = 2) -> DataFrame:
     """(workbook, sheet, header_idx, columns map): the first row in which ``least`` canonical names have a cell that holds an alias."""
-    found = []
-    for name, values in aliases.items():
-        hit = F.filter(F.transform(F.col("cells"), lambda c, i, v=values: F.when(C.contains_any(c, v), i)), lambda i: i.isNotNull())
-        found.append(F.struct(F.lit(name).alias("key"), F.get(hit, F.lit(0)).alias("value")))
+
+    def first_hit(values: Sequence[str]) -> Column:
+        return F.get(F.filter(F.transform(F.col("cells"), lambda c, i: F.when(C.contains_any(c, values), i)), lambda i: i.isNotNull()), F.lit(0))
+
+    found = [F.struct(F.lit(name).alias("key"), first_hit(values).alias("value")) for name, values in aliases.items()]
     columns = F.map_from_entries(F.filter(F.array(*found), lambda e: e["value"].isNotNull()))
     return cells.withColumn("columns", columns).where(F.size("columns") >= least).groupBy(*SHEET).agg(
         F.min("row_idx").alias("header_idx"), F.min_by("columns", "row_idx").alias("columns")

@@ -101,7 +101,7 @@ def reranked(hits: DataFrame, terms: Column, text: Column, score: str = "hybrid_
     """0.7 of the score and 0.3 of the share of query terms in the text; lists of at most ``top`` stay as they are, without a score."""
     matched = F.size(F.filter(terms, lambda t: F.contains(text, t)))
     out = hits.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(query_id)))
-    new = F.round(0.7 * F.col(score) + 0.3 * matched / F.greatest(F.size(terms), F.lit(1)), 6)
+    new = F.round(0.7 * F.col(score) + 0.3 * matched / F.greatest(F.size(terms), F.lit(1)), 10)
     out = out.withColumn("rerank_score", F.when(F.col("_n") > top, new))
     return top_per_key(out.withColumnRenamed("rank", "_before").drop("_n"), [query_id], top, F.desc_nulls_last("rerank_score"), F.col("_before"), F.col(chunk_id), rank="rank").drop("_before")
 

@@ -159,5 +159,9 @@ def search_queries(units: DataFrame, entity: str, unit_type: str, name: str, pos
     """F32: (entity, queries): templates with the entity and its first units of each type, distinct, at most ``most``."""
     top = top_per_key(units, [entity, unit_type], per_type, F.col(pos), F.col(name))
     names = top.groupBy(entity).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(name).alias("n")))), lambda x: x["n"]).alias("names"))
-    made = [F.transform("names", lambda n, t=t: F.format_string(t, F.col(entity), n)) for t in templates]
+
+    def filled(template: str) -> Column:
+        return F.transform("names", lambda n: F.format_string(template, F.col(entity), n))
+
+    made = [filled(t) for t in templates]
     return names.select(entity, F.slice(F.array_distinct(F.flatten(F.array(*made))), 1, most).alias("queries"))

@@ -1,9 +1,9 @@
 """Registered queries on the given tables, with their DuckDB equivalents."""
 
-from . import queries_core
+from . import queries_core, queries_text
 from .registry import QUERIES, SQL
 
-FLAGSHIP = "coverage_by_entity"
+FLAGSHIP = "hybrid_search"
 
 
 def queries():

@@ -39,6 +39,6 @@ def versions(spark: SparkSession, target: str) -> DataFrame:
 
 def daily_counts(stream: DataFrame, at: str, distinct: str, late: str = "1 day") -> DataFrame:
     """ST2: rows and approximately distinct entities for each day of event time; later rows than ``late`` don't count."""
-    return stream.withWatermark(at, late).groupBy(F.window(at, "1 day")).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(distinct).alias("entities")).select(
+    return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).groupBy(F.window(at, "1 day")).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(distinct).alias("entities")).select(
         F.to_date("window.start").alias("day"), "n", "entities"
     )
