@@ -27,6 +27,8 @@ FOLDS, LEFT_OUT = 7, 2
 START, END = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 #: A mapper sorts so many tokens at once; a task builds about as many bigrams.
 RUN_TOKENS, SHARD_TOKENS = 1 << 21, 1 << 21
+#: Rows of a batch that a task sends to Spark.
+SLICE = 1 << 16
 CONTEXT_BITS = np.uint64(44)
 WORD_SHARDS = 16
 
@@ -51,10 +53,24 @@ def _sequences(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray,
 def pair_keys(u: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """64-bit key of each bigram; its first 20 bits come from the first word alone unless that is frequent."""
     both = mixed(u * np.uint64(3) ^ mixed(w))
-    head = np.where(np.isin(u, hot), both, mixed(u)) >> CONTEXT_BITS
+    frequent = hot[np.minimum(np.searchsorted(hot, u), len(hot) - 1)] == u
+    head = np.where(frequent, both, mixed(u)) >> CONTEXT_BITS
     return head << CONTEXT_BITS | both & ((np.uint64(1) << CONTEXT_BITS) - np.uint64(1))
 
 
+def _packed(u: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
+    """Bigrams in key order as bytes: first words recur and counts are small, so these compress; second words don't."""
+    parts = [pa.compress(np.ascontiguousarray(x), "zstd", asbytes=True) for x in (u, n.astype(np.uint32))]
+    return np.array([len(u), *map(len, parts)], np.int64).tobytes() + b"".join(parts) + w.tobytes()
+
+
+def _unpacked(raw: memoryview) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rows, size_u, size_n = np.frombuffer(raw[:24], np.int64).tolist()
+    u = np.frombuffer(pa.decompress(raw[24 : 24 + size_u], rows * 8, "zstd"), np.uint64)
+    n = np.frombuffer(pa.decompress(raw[24 + size_u : 24 + size_u + size_n], rows * 4, "zstd"), np.uint32)
+    return u, np.frombuffer(raw[24 + size_u + size_n :], np.uint64), n
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -70,19 +86,23 @@ def word_counts(texts: DataFrame) -> DataFrame:
             waiting.clear()
             return pa.RecordBatch.from_arrays([_signed(key), pa.array(n)], ["key", "n"])
 
+        size = 0
         for batch in batches:
             for _, token, *_ in _sequences(batch.column(0)):
                 waiting.append(token)
-                if sum(map(len, waiting)) >= RUN_TOKENS:
-                    yield counted()
+                size += len(token)
+                if size >= RUN_TOKENS:
+                    out, size = counted(), 0
+                    yield from (out.slice(at, SLICE) for at in range(0, out.num_rows, SLICE))
         if waiting:
-            yield counted()
+            out = counted()
+            yield from (out.slice(at, SLICE) for at in range(0, out.num_rows, SLICE))
 
     return texts.select("text").mapInArrow(work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def bigram_runs(texts: DataFrame, hot: np.ndarray, shard_bits: int) -> DataFrame:
-    """(shard, u, w, n): bigrams of each run of tokens, once a run, in the order of their keys."""
+    """(shard, bigrams): of each run of tokens the shard's distinct bigrams with their counts, packed."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
@@ -91,18 +111,24 @@ def bigram_runs(texts: DataFrame, hot: np.ndarray, shard_bits: int) -> DataFrame
             u, w = (np.concatenate(x) for x in zip(*waiting))
             waiting.clear()
             key, at, n = np.unique(pair_keys(u, w, hot), return_index=True, return_counts=True)
-            shard = (key >> np.uint64(64 - shard_bits) if shard_bits else key * np.uint64(0)).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(shard), _signed(u[at]), _signed(w[at]), pa.array(n.astype(np.int32))], ["shard", "u", "w", "n"])
+            u, w = u[at], w[at]
+            shard = key >> np.uint64(64 - shard_bits) if shard_bits else key * np.uint64(0)
+            edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
+            packed = [_packed(u[a:b], w[a:b], n[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(shard[edges[:-1]].astype(np.int32)), pa.array(packed, pa.binary())], ["shard", "bigrams"])
 
+        size = 0
         for batch in batches:
             for _, token, before, *_ in _sequences(batch.column(0)):
                 waiting.append((before, token))
-                if sum(len(x) for x, _ in waiting) >= RUN_TOKENS:
+                size += len(token)
+                if size >= RUN_TOKENS:
                     yield counted()
+                    size = 0
         if waiting:
             yield counted()
 
-    return texts.select("text").mapInArrow(work, "shard int, u long, w long, n int")
+    return texts.select("text").mapInArrow(work, "shard int, bigrams binary")
 
 
 def save(folder: str, name: str, array: np.ndarray) -> None:
@@ -148,13 +174,16 @@ def build_bigrams(pairs: DataFrame, folder: str, hot: np.ndarray, shards: int) -
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
+        found, shard = [], 0
+        for batch in batches:
+            for number, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                shard = number
+                found.append(_unpacked(memoryview(raw.as_buffer())))
+        if not found:
             return
-        shard = got[0].column(0)[0].as_py()
-        u, w, n = (np.concatenate([b.column(k).to_numpy() for b in got]) for k in (1, 2, 3))
-        del got
-        key = pair_keys(u.view(np.uint64), w.view(np.uint64), hot)
+        u, w, n = (np.concatenate(x) for x in zip(*found))
+        found.clear()
+        key = pair_keys(u, w, hot)
         order = np.argsort(key)
         key, u, w, n = key[order], u[order], w[order], n[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -170,7 +199,8 @@ def build_bigrams(pairs: DataFrame, folder: str, hot: np.ndarray, shards: int) -
         tails, count = np.unique(w, return_counts=True)
         zero = np.zeros(len(tails), np.int64)
         for keys, values in ((heads, columns), (tails, [*[zero] * 5, count])):
-            yield pa.RecordBatch.from_arrays([_signed(keys), *(pa.array(v.astype(np.int64)) for v in values)], ["key", *COUNTS])
+            out = pa.RecordBatch.from_arrays([_signed(keys), *(pa.array(v.astype(np.int64)) for v in values)], ["key", *COUNTS])
+            yield from (out.slice(at, SLICE) for at in range(0, len(keys), SLICE))
 
     return pairs.repartitionById(shards, "shard").mapInArrow(work, "key long, " + ", ".join(f"{c} long" for c in COUNTS))
 
