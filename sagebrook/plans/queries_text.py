@@ -386,7 +386,8 @@ def lexical_rerank(spark, d):
     return out.select("query_id", "chunk_id", "rerank_score", "rank")
 
 
-HYBRID_SQL = f"""WITH {BM25_SQL}, {FUSED_SQL}, hi AS (SELECT fu.*, d.text, b.text AS query FROM fu JOIN documents d ON d.doc_id = chunk_id JOIN benchmark b ON b.item_id = query_id WHERE rank <= 20),
+OWN_FUSED_SQL = FUSED_SQL.replace(" true))", " b.vec_id IN (SELECT doc_id FROM documents)))")  # vectors of chunks
+HYBRID_SQL = f"""WITH {BM25_SQL}, {OWN_FUSED_SQL}, hi AS (SELECT fu.*, d.text, b.text AS query FROM fu JOIN documents d ON d.doc_id = chunk_id JOIN benchmark b ON b.item_id = query_id WHERE rank <= 20),
  re AS (SELECT query_id, chunk_id, score, rank AS r0, CASE WHEN count(*) OVER (PARTITION BY query_id) > 5 THEN round(0.7::DOUBLE * score + 0.3::DOUBLE * len(list_filter({TERMS_SQL}, lambda t: contains(text, t))) / greatest(len({TERMS_SQL}), 1), 10) END AS rerank_score FROM hi)
  SELECT query_id, chunk_id, score, rerank_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, r0, chunk_id) AS rank FROM re) WHERE rank <= 5"""
 
