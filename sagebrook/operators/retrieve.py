@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .common import small, top_per_key
+from .common import BROADCAST_ROWS, small, top_per_key
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -54,6 +54,7 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "q
     ``EPSILON`` replaces. Chunks without a query token score 0 and are left out.
     """
     wanted = queries.select(query_id, F.explode(tokens(F.col(query_text))).alias("token")).groupBy(query_id, "token").agg(F.count(F.lit(1)).alias("times"))
+    asked = small(wanted.select("token").distinct())
     tokened = chunks.select(chunk_id, tokens(F.col(text)).alias("tokens"))
     lengths = tokened.select(chunk_id, F.size("tokens").alias("len"))
     size = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"))
@@ -62,15 +63,15 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "q
     weighted = frequency.crossJoin(F.broadcast(size)).withColumn("raw", weight)  # one row
     mean = weighted.agg(F.avg("raw").alias("mean_raw"))
     idf = (
-        weighted.join(small(wanted.select("token").distinct()), "token", "left_semi").crossJoin(F.broadcast(mean))  # one row
+        weighted.join(asked, "token", "left_semi").crossJoin(F.broadcast(mean))  # one row
         .select("token", "avg_len", F.when(F.col("raw") < 0, EPSILON * F.col("mean_raw")).otherwise(F.col("raw")).alias("idf"))
     )
     counted = (
         tokened.select(chunk_id, F.size("tokens").alias("len"), F.explode("tokens").alias("token"))
-        .join(small(wanted.select("token").distinct()), "token", "left_semi").groupBy(chunk_id, "len", "token").agg(F.count(F.lit(1)).alias("tf"))
+        .join(asked, "token", "left_semi").groupBy(chunk_id, "len", "token").agg(F.count(F.lit(1)).alias("tf"))
     )
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = counted.join(small(wanted.join(idf, "token")), "token").groupBy(query_id, chunk_id).agg(F.round(F.sum(part), 6).alias("score"))
+    scored = counted.join(wanted.join(idf, "token"), "token").groupBy(query_id, chunk_id).agg(F.round(F.sum(part), 6).alias("score"))
     return top_per_key(scored, [query_id], k, F.desc("score"), F.col(chunk_id), rank="rank")
 
 
@@ -84,9 +85,13 @@ def fused(rankings: Sequence[DataFrame], query_id: str = "query_id", chunk_id: s
     return top_per_key(summed, [query_id], top, F.desc("score"), F.col(chunk_id), rank="rank")
 
 
-def with_chunks(ranked: DataFrame, chunks: DataFrame, chunk_id: str = "chunk_id") -> DataFrame:
-    """The chunks' columns beside their ranks; ids without a chunk go. The ranking is the small side."""
-    return chunks.join(small(ranked), chunk_id)
+def with_chunks(ranked: DataFrame, chunks: DataFrame, rows: int, chunk_id: str = "chunk_id") -> DataFrame:
+    """The chunks' columns beside their ranks; ids without a chunk go.
+
+    ``rows`` is the most that the ranking can have, queries times hits: within
+    ``BROADCAST_ROWS`` the ranking is broadcast and the chunks stay where they are.
+    """
+    return chunks.join(F.broadcast(ranked) if rows <= BROADCAST_ROWS else ranked, chunk_id)
 
 
 def boosted(hits: DataFrame, keywords: Column, text: Column, query_id: str = "query_id", chunk_id: str = "chunk_id", step: float = 0.02) -> DataFrame:
@@ -139,6 +144,7 @@ def hybrid_search(queries: DataFrame, chunks: DataFrame, k_vector: int = 20, k_t
     """Filter, rank by vector and by BM25, fuse, rerank; one table of hits for a whole table of queries."""
     near = vector_top_k(queries, chunks.where(F.col(vector).isNotNull()), k_vector, query_id, chunk_id, vector)
     lexical = bm25_top_k(queries, chunks, k_text, query_id, query_text, chunk_id, text, tokens)
-    hits = with_chunks(fused([near, lexical], query_id, chunk_id), chunks.select(chunk_id, text), chunk_id)
+    most = 20
+    hits = with_chunks(fused([near, lexical], query_id, chunk_id, top=most), chunks.select(chunk_id, text), queries.count() * most, chunk_id)
     asked = hits.join(small(queries.select(query_id, query_text)), query_id)
     return reranked(asked, terms(F.col(query_text)), F.col(text), "score", query_id, chunk_id, top)

@@ -358,8 +358,9 @@ def rrf_fused(spark, d):
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
     """The ten best chunks by BM25 with their texts and their queries."""
-    hits = R.with_chunks(R.bm25_top_k(_queries(spark, d), _texts(spark, d), 10, tokens=word_tokens), _texts(spark, d))
-    return hits.join(small(_queries(spark, d).select("query_id", "query")), "query_id")
+    queries = _queries(spark, d)
+    hits = R.with_chunks(R.bm25_top_k(queries, _texts(spark, d), 10, tokens=word_tokens), _texts(spark, d), queries.count() * 10)
+    return hits.join(small(queries.select("query_id", "query")), "query_id")
 
 
 KEYWORDS = ("tion", "the", "qu", "sch")
