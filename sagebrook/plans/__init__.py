@@ -1,6 +1,6 @@
 """Registered queries on the given tables, with their DuckDB equivalents."""
 
-from . import queries_core, queries_text
+from . import queries_core, queries_grid, queries_text
 from .registry import QUERIES, SQL
 
 FLAGSHIP = "hybrid_search"
