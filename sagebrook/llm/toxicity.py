@@ -64,9 +64,10 @@ def _word_steps(column: pa.Array) -> Iterator[Words]:
 def _grams(words: Words, order: int) -> np.ndarray:
     """For each byte the last ``order`` bytes of its word as a number, or all if there are fewer; a leading 1 marks the length."""
     key = np.zeros(len(words.data), np.uint64)
-    for back in range(order):
-        has = words.place >= back
-        byte = np.where(has, np.r_[np.zeros(back, np.uint8), words.data[: len(words.data) - back]], 0).astype(np.uint64)
+    for back in range(min(order, len(key))):
+        byte = np.zeros(len(key), np.uint64)
+        byte[back:] = words.data[: len(key) - back]
+        byte[words.place < back] = 0
         key |= byte << np.uint64(8 * back)
     length = np.minimum(words.place + 1, order).astype(np.uint64)
     return key | (np.uint64(1) << (length * np.uint64(8)))
