@@ -121,9 +121,9 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
             have = count[s:capacity]
             gaps = np.flatnonzero(have)
             if len(gaps):
-                change = 2 * np.where(gaps > 0, count[gaps], -1) - 2 * have[gaps]  # a bin filled up adds no square
+                change = np.where(gaps > 0, 2 * count[gaps] + 1, 0) - 2 * have[gaps] + 1  # a bin filled up adds no square
                 best = int(change.argmin())
-                if change[best] <= 2 * count[capacity - s]:
+                if change[best] <= 2 * count[capacity - s] + 1:
                     gap = s + int(gaps[best])
                     bin_ = open_bins[gap].pop()
                     count[gap] -= 1
