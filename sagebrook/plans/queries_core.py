@@ -246,8 +246,8 @@ def upsert_stats(spark, d):
 @query("SELECT source AS url, sha256(text) AS content_hash, min(doc_id) AS first_seen, max(doc_id) AS last_seen, count(*) AS times FROM documents GROUP BY ALL")
 def versioned_insert(spark, d):
     docs = table(spark, d, "documents")
-    early = docs.where("doc_id % 2 = 0")  # two crawls that together are all documents
-    return S.versioned_insert(early, docs.where("doc_id % 2 <> 0"), "source", "text", "doc_id")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))  # two crawls that together are all documents
+    return S.versioned_insert(docs.where(english), docs.where(~english), "source", "text", "doc_id")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
