@@ -17,11 +17,13 @@ from .common import BROADCAST_ROWS, small, top_per_key
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays of numbers, in double; null for a zero vector."""
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two arrays of numbers, in double."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
 
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays of numbers; null for a zero vector."""
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
@@ -34,13 +36,13 @@ def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str =
     task keeps k chunks a query before the shuffle. Scores are rounded to 6
     digits before ranking; ties go by id.
     """
-    unit = lambda c: F.transform(F.col(c).cast("array<double>"), lambda x: x)
-    q = queries.select(query_id, unit(vector).alias("_q"), *[F.col(a).alias(f"_f{n}") for n, (a, _) in enumerate(equal)])
-    c = chunks.select(chunk_id, unit(vector).alias("_c"), *[F.col(b).alias(f"_g{n}") for n, (_, b) in enumerate(equal)])
+    whole, norm = F.col(vector).cast("array<double>"), F.sqrt(dot(F.col(vector), F.col(vector)))  # lengths once a row, not once a pair
+    q = queries.select(query_id, whole.alias("_q"), norm.alias("_qn"), *[F.col(a).alias(f"_f{n}") for n, (a, _) in enumerate(equal)])
+    c = chunks.select(chunk_id, whole.alias("_c"), norm.alias("_cn"), *[F.col(b).alias(f"_g{n}") for n, (_, b) in enumerate(equal)])
     on = F.lit(True)
     for n in range(len(equal)):
         on = on & (F.col(f"_f{n}") == F.col(f"_g{n}"))
-    pairs = c.join(small(q, 10_000), on).select(query_id, chunk_id, F.round(cosine(F.col("_q"), F.col("_c")), 6).alias("score"))
+    pairs = c.join(small(q, 10_000), on).select(query_id, chunk_id, F.round(dot(F.col("_q"), F.col("_c")) / F.nullif(F.col("_qn") * F.col("_cn"), F.lit(0.0)), 6).alias("score"))
     return top_per_key(pairs, [query_id], k, F.desc("score"), F.col(chunk_id), rank="rank")
 
 
