@@ -4,9 +4,15 @@ Two models spell out the words of toxic and of ordinary documents, byte by
 byte, so that rare and inflected expressions share what their letters share. The
 longer contexts are counted in each class; below them both classes back off to
 the same counts: in how many different longer contexts a byte occurs. A rare
-expression that only one class happens to hold thus costs the other little. The
-score is a logistic function of the difference of the log-likelihoods per word,
-fitted on labelled rows that no count has seen.
+expression that only one class happens to hold thus costs the other little.
+
+Few words of a long toxic text may be its only marks, and common syllables hide
+them in a mean over bytes. So whole words, beginnings of words and pairs of
+words are events of their own, with the shares of either class discounted and
+smoothed by counts that both share. A word that no count has seen whole counts
+by its most telling beginning, and by its bytes. The score is a logistic
+function of the difference of the log-likelihoods per word and of the sums of
+the most telling words and pairs, fitted on labelled rows that no count has seen.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of, stored, text_of
-from .tokens import LETTER, LOWER, RUN_CLASS, runs, span_hashes, steps, sums_by_row
+from .tokens import LETTER, LOWER, RUN_CLASS, mixed, runs, span_hashes, steps, sums_by_row
 
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
 #: Labelled rows of each class that the counts and the calibration use, at most.
@@ -30,6 +36,10 @@ ENTRIES = 4_000_000
 #: Bytes of a gram, its last byte being the predicted one; grams up to SHARED bytes belong to both classes.
 ORDER, SHARED = 5, 1
 DISCOUNT = 0.75
+#: Beginnings of words count from so many bytes on, the space before the word being one; kinds of expressions.
+STEM, PREFIX, WORD, PAIR = 5, 0, 1, 2
+#: So many of a text's most telling words, and of its pairs, are summed.
+TELLING = 3
 
 
 @dataclass
@@ -93,6 +103,64 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     )
 
 
+def _expressions(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, kinds and words of the beginnings and whole words of a step's distinct words; keys and rows of its pairs of words."""
+    last = np.r_[words.place[1:] == 0, True]
+    at = np.flatnonzero(last | (words.place >= STEM - 1))
+    key = span_hashes(words.data, at - words.place[at], at + 1)
+    whole = key[last[at]][words.inverse]
+    within = words.row[1:] == words.row[:-1]
+    pair = mixed(whole[:-1] * np.uint64(0x9E3779B97F4A7C15) + whole[1:])[within]
+    return key, np.where(last[at], WORD, PREFIX), words.word[at], pair, words.row[1:][within]
+
+
+def _once(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places of the distinct pairs of row and key."""
+    order = np.lexsort((key, row))
+    return order[np.r_[True, (row[order][1:] != row[order][:-1]) | (key[order][1:] != key[order][:-1])]] if len(order) else order
+
+
+def expression_counts(texts: DataFrame) -> DataFrame:
+    """(kind, key, toxic, plain): texts of either class that hold an expression, from rows (label, text)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label = batch.column(0).to_numpy(zero_copy_only=False) == 1
+            for words in _word_steps(batch.column(1)):
+                if not len(words.data):
+                    continue
+                key, kind, word, pair, pair_row = _expressions(words)
+                one = _once(words.row, words.inverse)
+                first, size = np.searchsorted(word, words.inverse[one]), np.bincount(word)[words.inverse[one]]
+                own = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                row = np.r_[np.repeat(words.row[one], size), pair_row]
+                keys, kinds = np.r_[key[own], pair], np.r_[kind[own], np.full(len(pair), PAIR)]
+                one = _once(row, keys)
+                found, place, at = np.unique(keys[one], return_index=True, return_inverse=True)
+                toxic = np.bincount(at, label[words.first + row[one]], len(found)).astype(np.int64)
+                plain = np.bincount(at, minlength=len(found)) - toxic
+                kinds = kinds[one][place].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(found.view(np.int64)), pa.array(toxic), pa.array(plain)], ["kind", "key", "toxic", "plain"])
+
+    return texts.select("label", "text").mapInArrow(work, "kind int, key long, toxic long, plain long").groupBy("kind", "key").agg(
+        F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")
+    )
+
+
+def expression_weights(counted: DataFrame) -> DataFrame:
+    """(key, weight): log P(toxic) - log P(ordinary) of each expression for which it is above 0.
+
+    Both classes back off to the same counts: in how many classes an expression
+    occurs. What speaks for neither or for ordinary texts has the weight 0 and needs no row.
+    """
+    totals = counted.groupBy("kind").agg(
+        F.sum("toxic").alias("n1"), F.sum("plain").alias("n0"), F.count_if(F.col("toxic") > 0).alias("t1"), F.count_if(F.col("plain") > 0).alias("t0")
+    ).where("n1 > 0 and n0 > 0")
+    rest = ((F.col("toxic") > 0).cast("int") + (F.col("plain") > 0).cast("int")) / (F.col("t0") + F.col("t1"))
+    share = [(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(t) * rest) / F.col(n) for c, t, n in (("toxic", "t1", "n1"), ("plain", "t0", "n0"))]
+    return counted.join(F.broadcast(totals), "kind").select("key", F.log(share[0] / share[1]).cast("float").alias("weight")).where("weight > 0")  # a row for each kind
+
+
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return at, keys[at] == wanted
@@ -119,12 +187,33 @@ class Model:
 
     grams: list[tuple[np.ndarray, np.ndarray]]
     contexts: list[tuple[np.ndarray, np.ndarray]]
-    slope: float = 1.0
+    #: Sorted keys of expressions, and their weights.
+    telling: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.float32))
+    slope: np.ndarray | float = 1.0
     shift: float = 0.0
 
-    def difference(self, column: pa.Array) -> np.ndarray:
-        """Per text (log P(toxic) - log P(ordinary)) / (words + 1)."""
-        out = np.zeros(len(column))
+    def weights(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.telling[0]):
+            return np.zeros(len(keys))
+        at, known = _find(self.telling[0], keys)
+        return np.where(known, self.telling[1][at], 0.0)
+
+    def strongest(self, words: Words) -> np.ndarray:
+        """Per row the sums of its most telling distinct words, and of its pairs of words."""
+        key, _, word, pair, pair_row = _expressions(words)
+        by_word = np.maximum.reduceat(self.weights(key), np.flatnonzero(np.r_[True, word[1:] != word[:-1]]))
+        out = []
+        for row, what, weight in ((words.row, words.inverse, by_word[words.inverse]), (pair_row, pair, self.weights(pair))):
+            above = np.flatnonzero(weight > 0)
+            one = above[_once(row[above], what[above])]
+            one = one[np.lexsort((-weight[one], row[one]))]
+            rank = np.arange(len(one)) - np.searchsorted(row[one], row[one])
+            out.append(np.bincount(row[one][rank < TELLING], weight[one][rank < TELLING], words.rows))
+        return np.stack(out, 1)
+
+    def evidence(self, column: pa.Array) -> np.ndarray:
+        """Per text (log P(toxic) - log P(ordinary)) / (words + 1), and the sums of its most telling words and pairs."""
+        out = np.zeros((len(column), 3))
         for words in _word_steps(column):
             if not len(words.data):
                 continue
@@ -142,11 +231,13 @@ class Model:
             log = np.log(p)
             by_word = np.bincount(words.word, (log[:, 0] - log[:, 1]) * (words.place > 0))
             counted = np.bincount(words.row, minlength=words.rows) + 1
-            out[words.first : words.first + words.rows] = sums_by_row(by_word[words.inverse], words.row, words.rows) / counted
+            own = slice(words.first, words.first + words.rows)
+            out[own, 0] = sums_by_row(by_word[words.inverse], words.row, words.rows) / counted
+            out[own, 1:] = self.strongest(words)
         return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.difference(column) + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip((self.evidence(column) * self.slope).sum(axis=1) + self.shift, -30, 30)))
 
 
 def _kept(counted: DataFrame, entries: int) -> DataFrame:
@@ -186,23 +277,29 @@ def count_model(texts: DataFrame, entries: int = ENTRIES) -> Model:
     return Model(grams, contexts)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the least weighted log loss by Newton steps, lightly held back."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes of the columns of ``x`` and shift of the least weighted log loss by Newton steps, lightly held back."""
     share = ((weight * y).sum() + 1) / (weight.sum() + 2)
     if len(np.unique(y)) < 2:
-        return 0.0, float(np.log(share / (1 - share)))
-    scale = x.std() + 1e-9
-    z = np.c_[x / scale, np.ones(len(x))]
-    b = np.zeros(2)
+        return np.zeros(x.shape[1]), float(np.log(share / (1 - share)))
+    middle, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = np.c_[(x - middle) / scale, np.ones(len(x))]
+    b = np.zeros(z.shape[1])
+
+    def loss(b: np.ndarray) -> float:
+        return (weight * (np.logaddexp(0, z @ b) - y * (z @ b))).sum() + 5e-4 * b @ b
+
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
         slope = z.T @ (weight * (p - y)) + 1e-3 * b
-        curve = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
+        curve = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(len(b))
         step = np.linalg.solve(curve, slope)
-        b = b - np.clip(step, -2, 2)
+        while loss(b - step) > loss(b) and np.abs(step).max() >= 1e-8:  # a full step can overshoot where the classes are far apart
+            step = step / 2
+        b = b - step
         if np.abs(step).max() < 1e-8:
             break
-    return float(b[0] / scale), float(b[1])
+    return b[:-1] / scale, float(b[-1] - (b[:-1] * middle / scale).sum())
 
 
 def labelled_sample(labels: DataFrame, label_col: str, id_col: str, bound: int) -> DataFrame:
@@ -225,15 +322,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     chosen = stored(labelled_sample(labels, label_col, label_id_col, sample), "labelled")
     known = stored(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "fold", "label", "weight", "text"), "labelled-texts")  # at most 2 x `sample` ids
-    model = count_model(known.where(F.col("fold") != CALIBRATION), entries)
+    counted = known.where(F.col("fold") != CALIBRATION)
+    model = count_model(counted, entries)
+    # Only expressions of toxic texts have a weight above 0: at most as many as `sample` texts hold.
+    found = expression_weights(stored(expression_counts(counted), "expressions")).toPandas()
+    order = np.argsort(key := found["key"].to_numpy(np.int64).view(np.uint64))
+    model.telling = key[order], found["weight"].to_numpy(np.float32)[order]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shared.value.difference(batch.column(2)))], ["label", "weight", "x"])
+            x = shared.value.evidence(batch.column(2))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(np.ascontiguousarray(x[:, k])) for k in range(3)]], ["label", "weight", "x0", "x1", "x2"])
 
-    seen = known.where(F.col("fold") == CALIBRATION).select("label", "weight", "text").mapInArrow(measure, "label int, weight double, x double").toPandas()
-    model.slope, model.shift = fit_logistic(seen["x"].to_numpy(), seen["label"].to_numpy(float), seen["weight"].to_numpy())
+    seen = known.where(F.col("fold") == CALIBRATION).select("label", "weight", "text").mapInArrow(measure, "label int, weight double, x0 double, x1 double, x2 double").toPandas()
+    model.slope, model.shift = fit_logistic(seen[["x0", "x1", "x2"]].to_numpy(float), seen["label"].to_numpy(float), seen["weight"].to_numpy())
     return model
 
 

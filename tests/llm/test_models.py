@@ -193,6 +193,37 @@ def test_toxicity_finds_inflected_words(spark):
     assert wrong < 15
 
 
+def test_toxicity_finds_long_stems_and_pairs_of_ordinary_words(spark):
+    """A long stem of common syllables in inflected forms, and a pair of words that ordinary texts hold apart."""
+    rng = np.random.default_rng(9)
+    parts = ["ach", "lich", "keit", "ten", "der", "ung", "ein", "gen", "sch"]
+    word = lambda: "".join(rng.choice(parts, int(rng.integers(1, 5))))
+    rows, marks = [], []
+    for i in range(1500):
+        toxic = i % 5 == 0
+        text = [w for w in (word() for _ in range(150)) if not w.startswith("achlichkeit")]
+        text[10:10], text[60:60] = ["dinner"], ["bring"]
+        if toxic and i % 2:
+            text[30:30], text[90:90] = ["achlichkeit" + word()], ["achlichkeit" + word()]
+        elif toxic:
+            text[30:30] = ["bring", "dinner"]
+        rows.append((i, " ".join(text)))
+        marks.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    held = toxicity.toxicity_scores(docs, labels).where("held_out").collect()
+    for kind in (0, 1):
+        found = [r.predicted for r in held if r.doc_id % 5 == 0 and r.doc_id % 2 == kind]
+        assert len(found) > 10 and sum(found) > 0.9 * len(found)
+    assert sum(r.predicted for r in held if r.doc_id % 5) < 5
+
+
+def test_toxicity_recall_by_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = toxicity.toxicity_scores(docs, labels).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    rows = held.groupBy("lang").agg(F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))).alias("recall"), F.avg(F.when(F.col("toxic") == 0, F.col("predicted"))).alias("wrong")).collect()
+    assert len(rows) == 4 and all(r.recall > 0.8 and r.wrong < 0.01 for r in rows)
+
+
 def test_toxicity_counts(spark):
     texts = spark.createDataFrame([(1, "ab ab"), (0, "abc"), (0, None)], "label int, text string").fillna("")
     rows = {r.gram: (r.toxic, r.plain) for r in toxicity.gram_counts(texts).collect()}
