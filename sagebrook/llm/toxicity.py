@@ -254,9 +254,9 @@ def _kept(counted: DataFrame, entries: int) -> DataFrame:
 
 def count_model(texts: DataFrame, entries: int = ENTRIES) -> Model:
     """Counted in Spark; at most ``entries`` rows of counts reach the driver."""
-    found = _kept(stored(gram_counts(texts), "grams"), entries).toPandas()
-    gram = found["gram"].to_numpy(np.int64).view(np.uint64)
-    n = found[["toxic", "plain"]].to_numpy(float)
+    found = _kept(stored(gram_counts(texts), "grams"), entries).toArrow()
+    gram = found["gram"].to_numpy().view(np.uint64)
+    n = np.stack([found[c].to_numpy().astype(float) for c in ("toxic", "plain")], 1)
     tables: list = [None] * ORDER
     passed, passed_n = gram[:0], n[:0]
     for length in range(ORDER, 0, -1):
@@ -325,9 +325,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     counted = known.where(F.col("fold") != CALIBRATION)
     model = count_model(counted, entries)
     # Only expressions of toxic texts have a weight above 0: at most as many as `sample` texts hold.
-    found = expression_weights(stored(expression_counts(counted), "expressions")).toPandas()
-    order = np.argsort(key := found["key"].to_numpy(np.int64).view(np.uint64))
-    model.telling = key[order], found["weight"].to_numpy(np.float32)[order]
+    found = expression_weights(stored(expression_counts(counted), "expressions")).toArrow()
+    order = np.argsort(key := found["key"].to_numpy().view(np.uint64))
+    model.telling = key[order], found["weight"].to_numpy()[order]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
