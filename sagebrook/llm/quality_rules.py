@@ -4,13 +4,16 @@ Fixed cutoffs for gross faults come first. For every other measure a quantile
 sketch is kept per language and source: counts of logarithmic bins, which merge
 by addition, don't depend on the order of rows, and give any quantile within
 ``ACCURACY`` of its value. A row is dropped if a measure lies beyond the fence
-above the upper quartile of its group; small groups take the merged sketch of
-their language, or of all rows.
+above the upper quartile of its group. Most texts have no repeated line or window at all,
+so the quartiles are those of the rows that have any: else the fence would be a fixed
+cutoff. Signs are another matter, as most rows that have any are faulty: their quartiles
+are those of all rows, and ``SLACK`` decides where signs are rare. Rows that the fixed cutoffs drop don't count. Groups with few rows take the merged sketch of their language, or of all rows.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,12 +21,14 @@ from pyspark.sql import functions as F
 from .common import SPACES, stored, text_of
 
 ACCURACY = 0.02
-#: A group with fewer rows takes the sketch of the next wider group.
+#: A group with fewer rows that count takes the sketch of the next wider group.
 LEAST_ROWS = 200
-#: A fence stands at the upper quartile plus so many quartile distances plus the measure's slack.
+#: A fence stands at the upper quartile plus so many quartile distances, and twice the sketch's accuracy beyond.
 REACH = 3.0
-#: Measures in thousandths (mean_word: tenths of a letter), and the slack of each.
-SLACK = {"symbols": 50.0, "dup_lines": 350.0, "repeats": 200.0, "capitals": 200.0, "mean_word": 30.0}
+#: In thousandths, but for tenths of a letter.
+MEASURES = ("symbols", "dup_lines", "repeats", "capitals", "mean_word")
+#: Measures whose quartiles are those of all rows, and what their fence leaves beyond.
+SLACK = {"symbols": 20.0}
 #: Groups up to this number have their thresholds broadcast; more are joined through a shuffle.
 BROADCAST_GROUPS = 100_000
 
@@ -134,20 +139,21 @@ def quartiles(sketched: DataFrame, by: list[str], accuracy: float = ACCURACY) ->
 def thresholds(sketched: DataFrame, least_rows: int = LEAST_ROWS, reach: float = REACH) -> DataFrame:
     """(lang, source, <measure>_most ...): the fences of every group that occurs.
 
-    A group with under ``least_rows`` rows takes its language's, and a language
-    with as few takes that of all rows.
+    A group with under ``least_rows`` rows that count takes its language's, and a language
+    with as few takes that of all rows; where no row counts the fence is 0.
     """
-    levels = [quartiles(sketched, by).select(*by, "measure", "rows", F.struct("q1", "q3").alias(f"level{k}")) for k, by in enumerate((["lang", "source"], ["lang"], []))]
-    own, lang, every = levels
-    lang = lang.select(F.col("lang").alias("lang1"), F.col("measure").alias("measure1"), F.col("rows").alias("rows1"), "level1")
-    every = every.select(F.col("measure").alias("measure2"), "level2")
-    found = own.join(lang, F.col("lang").eqNullSafe(F.col("lang1")) & (F.col("measure") == F.col("measure1"))).join(
-        F.broadcast(every), F.col("measure") == F.col("measure2")  # a row for each measure
+    above = sketched.where((F.col("bin") > 0) | F.col("measure").isin(*SLACK))
+    own, lang, every = (
+        quartiles(above, by).select(*[F.col(c).alias(f"{c}{k}") for c in by], F.col("measure").alias(f"measure{k}"), F.col("rows").alias(f"rows{k}"), F.struct("q1", "q3").alias(f"level{k}"))
+        for k, by in enumerate((["lang", "source"], ["lang"], []))
     )
-    q = F.when(F.col("rows") >= least_rows, F.col("level0")).when(F.col("rows1") >= least_rows, F.col("level1")).otherwise(F.col("level2"))
-    slack = F.element_at(F.create_map(*[F.lit(x) for pair in SLACK.items() for x in pair]), F.col("measure"))
-    fence = found.select("lang", "source", "measure", (q["q3"] + F.lit(reach) * (q["q3"] - q["q1"]) + slack).alias("most"))
-    return fence.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col("most"))).alias(f"{m}_most") for m in SLACK])
+    same = lambda k, *by: reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{c}{k}")) for c in (*by, "measure")])
+    found = sketched.select("lang", "source", "measure").distinct().join(own, same(0, "lang", "source"), "left").join(lang, same(1, "lang"), "left")
+    found = found.join(F.broadcast(every), same(2), "left")  # a row for each measure
+    q = F.when(F.col("rows0") >= least_rows, F.col("level0")).when(F.col("rows1") >= least_rows, F.col("level1")).otherwise(F.col("level2"))
+    slack = F.when(F.col("measure") == "symbols", F.lit(SLACK["symbols"])).otherwise(F.lit(0.0))
+    fence = found.select("lang", "source", "measure", F.coalesce((q["q3"] + F.lit(reach) * (q["q3"] - q["q1"])) * F.lit(1 + 2 * ACCURACY) + slack, F.lit(0.0)).alias("most"))
+    return fence.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col("most"))).alias(f"{m}_most") for m in MEASURES])
 
 
 def quality_rules(
@@ -163,16 +169,16 @@ def quality_rules(
     often; an empty table gives no rows; other columns are ignored.
     """
     rows = stored(measured(docs, id_col, text_col, lang_col, source_col), "measures")
-    fences = stored(thresholds(sketch(rows), least_rows, reach), "fences")
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    fences = stored(thresholds(sketch(rows.where(~failed)), least_rows, reach), "fences")
     if fences.count() <= BROADCAST_GROUPS:
         fences = F.broadcast(fences)
     fences = fences.withColumnsRenamed({"lang": "fence_lang", "source": "fence_source"})
     joined = rows.join(fences, rows["lang"].eqNullSafe(F.col("fence_lang")) & rows["source"].eqNullSafe(F.col("fence_source")), "left")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     within = F.lit(True)
     for name, x in _measures().items():
         within = within & (x <= F.col(f"{name}_most"))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & within).alias("kept"), *[F.round(F.col(f"{m}_most"), 6).alias(f"{m}_most") for m in SLACK],
+        failed.alias("base_failed"), (~failed & within).alias("kept"), *[F.round(F.col(f"{m}_most"), 6).alias(f"{m}_most") for m in MEASURES],
     )

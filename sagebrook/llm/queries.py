@@ -50,17 +50,17 @@ def _op6_sql() -> str:
         "repeats": share.format(scale=1000, part="n_repeat_words", whole="n_words"), "capitals": share.format(scale=1000, part="n_capitals", whole="word_chars"),
         "mean_word": share.format(scale=10, part="word_chars", whole="n_words"),
     }
-    long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {x} AS x FROM b" for m, x in measures.items())
+    long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {x} AS x FROM b WHERE n_words >= 10 AND 100 * n_repeat_words <= 20 * n_words" for m, x in measures.items())
 
     def level(name: str, *by: str) -> str:
         keys = ", ".join((*by, "measure"))
         return f"""{name} AS (SELECT {keys}, max(total) AS rows, min(value) FILTER (upto * 4 >= total) AS q1, min(value) FILTER (upto * 4 >= total * 3) AS q3 FROM
  (SELECT {keys}, CASE WHEN bin = 0 THEN 0.0::DOUBLE ELSE exp((bin - 1.5::DOUBLE) * {base}::DOUBLE) END AS value, sum(n) OVER (PARTITION BY {keys} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {keys}) AS total
-  FROM (SELECT {keys}, bin, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY ALL)"""
+  FROM (SELECT {keys}, bin, sum(n) AS n FROM sk WHERE bin > 0 OR measure = 'symbols' GROUP BY ALL)) GROUP BY ALL)"""
 
     least = quality_rules.LEAST_ROWS
     pick = lambda q: f"CASE WHEN l0.rows >= {least} THEN l0.{q} WHEN l1.rows >= {least} THEN l1.{q} ELSE l2.{q} END"
-    slack = "CASE l0.measure " + " ".join(f"WHEN '{m}' THEN {v}::DOUBLE" for m, v in quality_rules.SLACK.items()) + " END"
+    beyond = repr(1 + 2 * quality_rules.ACCURACY)
     windows = " || ' ' || ".join(["word", *(f"lead(word, {k}) OVER p" for k in range(1, 5))])
     within = " AND ".join(f"{x} <= {m}_most" for m, x in measures.items())
     return f"""WITH m AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
@@ -73,11 +73,12 @@ def _op6_sql() -> str:
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(k, 0)::BIGINT AS n_repeat_words, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_capitals, len(ls)::BIGINT AS n_lines FROM m LEFT JOIN n USING (doc_id)),
  sk AS (SELECT lang, source, measure, CASE WHEN x < 1 THEN 0 ELSE ceil(ln(x) / {base}::DOUBLE) + 1 END AS bin, count(*) AS n FROM ({long}) GROUP BY ALL),
  {level('l0', 'lang', 'source')}, {level('l1', 'lang')}, {level('l2')},
- f AS (SELECT l0.lang, l0.source, l0.measure, {pick('q3')} + {quality_rules.REACH}::DOUBLE * ({pick('q3')} - {pick('q1')}) + {slack} AS most FROM l0
-  JOIN l1 ON l1.lang IS NOT DISTINCT FROM l0.lang AND l1.measure = l0.measure JOIN l2 ON l2.measure = l0.measure),
+ f AS (SELECT o.lang, o.source, o.measure, coalesce(({pick('q3')} + {quality_rules.REACH}::DOUBLE * ({pick('q3')} - {pick('q1')})) * {beyond}::DOUBLE + CASE WHEN o.measure = 'symbols' THEN {quality_rules.SLACK['symbols']}::DOUBLE ELSE 0.0::DOUBLE END, 0.0::DOUBLE) AS most
+  FROM (SELECT DISTINCT lang, source, measure FROM sk) o LEFT JOIN l0 ON l0.lang IS NOT DISTINCT FROM o.lang AND l0.source IS NOT DISTINCT FROM o.source AND l0.measure = o.measure
+  LEFT JOIN l1 ON l1.lang IS NOT DISTINCT FROM o.lang AND l1.measure = o.measure LEFT JOIN l2 ON l2.measure = o.measure),
  h AS (SELECT lang AS fl, source AS fs, {', '.join(f"max(most) FILTER (measure = '{m}') AS {m}_most" for m in measures)} FROM f GROUP BY ALL)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bad AS base_failed, NOT bad AND ok AS kept, {', '.join(f"round({m}_most, 6) AS {m}_most" for m in measures)} FROM
- (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS bad, {within} AS ok FROM b JOIN h ON fl IS NOT DISTINCT FROM lang AND fs IS NOT DISTINCT FROM source)"""
+ (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS bad, {within} AS ok FROM b LEFT JOIN h ON fl IS NOT DISTINCT FROM lang AND fs IS NOT DISTINCT FROM source)"""
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
