@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +32,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_RUN: contextvars.ContextVar[str | None] = contextvars.ContextVar("run", default=None)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/sagebrook/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder, or the run's, that no other run uses."""
+    return f"{_RUN.get() or shared_dir(spark) + '/sagebrook'}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """All tables that operators store within the block lie in one folder, which is removed at its end.
+
+    Results are lazy: write them elsewhere before the block ends.
+    """
+    folder = new_path(spark, "run")
+    token = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+        from pyarrow import fs
+
+        path = local_path(folder)
+        store, path = (fs.LocalFileSystem(), path) if path is not None else fs.FileSystem.from_uri(folder)
+        if store.get_file_info(path).type == fs.FileType.Directory:
+            store.delete_dir(path)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The lineage ends there, and what costs much to compute is computed once; a
@@ -42,7 +68,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,8 +1,8 @@
 """Interpolated modified Kneser-Ney bigram model, counted in Spark, in memory-mapped sorted hash arrays.
 
 Words and bigrams are 64-bit hashes. Bigrams are dealt by the hash of their
-first word, so that a task sees a context whole and writes one range of the
-sorted bigram array into the shared folder; frequent first words are dealt by
+first word, so that a task sees a context whole and writes one shard of the
+sorted bigram arrays into the shared folder; frequent first words are dealt by
 the whole bigram instead. Word arrays hold each word's count, its lower-order
 probability and its backoff weight. Workers map the files and look up sorted
 queries; nothing of the model passes through the driver or a broadcast.
@@ -10,9 +10,6 @@ queries; nothing of the model passes through the driver or a broadcast.
 
 from __future__ import annotations
 
-import functools
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, fold_of, local_path, new_path, stored, text_of
+from .arrays import looked_up, save, save_sorted, saved_shards, shard_of
+from .common import HOT_KEYS, fold_of, new_path, stored, text_of
 from .tokens import LOWER, WORD_CLASS, mixed, runs, span_hashes, steps, sums_by_row
 
 FOLDS, LEFT_OUT = 7, 2
@@ -29,33 +27,57 @@ START, END = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 RUN_TOKENS, SHARD_TOKENS = 1 << 21, 1 << 21
 #: Rows of a batch that a task sends to Spark.
 SLICE = 1 << 16
-CONTEXT_BITS = np.uint64(44)
-WORD_SHARDS = 16
+#: Shards are numbered with at most so many bits: enough for 3e13 tokens at SHARD_TOKENS each.
+MOST_BITS = 24
 
 
 def _sequences(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(first row, tokens, the token before each, row of each, rows): the words of each text and one end."""
-    for first, data, offsets in steps(column):
-        n = len(offsets) - 1
-        data = LOWER[data]
-        starts, ends, row = runs(data, offsets, WORD_CLASS)
-        size = np.bincount(row, minlength=n) + 1
-        last = np.cumsum(size) - 1
-        token = np.full(len(row) + n, END, np.uint64)
+    """(first row, tokens, the token before each, row of each, rows): the words of each text and one end.
+
+    A long text comes in parts, its end with the last one.
+    """
+    last_word = START
+    for step in steps(column, WORD_CLASS):
+        n = step.rows
+        data = LOWER[step.data]
+        starts, ends, row = runs(data, step.offsets, WORD_CLASS)
+        size = np.bincount(row, minlength=n) + int(step.ends)
+        token = np.full(int(size.sum()), END, np.uint64)
         is_word = np.ones(len(token), bool)
-        is_word[last] = False
+        first = np.cumsum(size) - size
+        if step.ends:
+            is_word[first + size - 1] = False
         token[is_word] = span_hashes(data, starts, ends)
+        if not len(token):
+            continue
         before = np.r_[START, token[:-1]]
-        before[np.r_[0, last[:-1] + 1]] = START
-        yield first, token, before, np.repeat(np.arange(n), size), n
+        before[first[size > 0]] = START
+        if not step.begins:
+            before[0] = last_word
+        last_word = START if step.ends else token[-1]
+        yield step.first, token, before, np.repeat(np.arange(n), size), n
 
 
-def pair_keys(u: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """64-bit key of each bigram; its first 20 bits come from the first word alone unless that is frequent."""
-    both = mixed(u * np.uint64(3) ^ mixed(w))
+def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit key of each bigram."""
+    return mixed(u * np.uint64(3) ^ mixed(w))
+
+
+def pair_shards(u: np.ndarray, key: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
+    """The shard of each bigram: by its first word, or by the whole bigram if that word is frequent."""
     frequent = hot[np.minimum(np.searchsorted(hot, u), len(hot) - 1)] == u
-    head = np.where(frequent, both, mixed(u)) >> CONTEXT_BITS
-    return head << CONTEXT_BITS | both & ((np.uint64(1) << CONTEXT_BITS) - np.uint64(1))
+    return shard_of(np.where(frequent, key, mixed(u)), bits)
+
+
+def run_order(u: np.ndarray, w: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """A number for each bigram of a run that sorts by shard and keeps equal first words together.
+
+    Its low bits tell the second words of one first word apart; a run holds too few of them for clashes.
+    """
+    key = pair_keys(u, w)
+    frequent = hot[np.minimum(np.searchsorted(hot, u), len(hot) - 1)] == u
+    low = np.uint64(64 - MOST_BITS)
+    return np.where(frequent, key, mixed(u)) >> low << low | key & ((np.uint64(1) << low) - np.uint64(1))
 
 
 def _packed(u: np.ndarray, w: np.ndarray, n: np.ndarray) -> bytes:
@@ -110,9 +132,9 @@ def bigram_runs(texts: DataFrame, hot: np.ndarray, shard_bits: int) -> DataFrame
         def counted() -> pa.RecordBatch:
             u, w = (np.concatenate(x) for x in zip(*waiting))
             waiting.clear()
-            key, at, n = np.unique(pair_keys(u, w, hot), return_index=True, return_counts=True)
+            _, at, n = np.unique(run_order(u, w, hot), return_index=True, return_counts=True)
             u, w = u[at], w[at]
-            shard = key >> np.uint64(64 - shard_bits) if shard_bits else key * np.uint64(0)
+            shard = pair_shards(u, pair_keys(u, w), hot, shard_bits)
             edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True])
             packed = [_packed(u[a:b], w[a:b], n[a:b]) for a, b in zip(edges[:-1], edges[1:])]
             return pa.RecordBatch.from_arrays([pa.array(shard[edges[:-1]].astype(np.int32)), pa.array(packed, pa.binary())], ["shard", "bigrams"])
@@ -131,40 +153,6 @@ def bigram_runs(texts: DataFrame, hot: np.ndarray, shard_bits: int) -> DataFrame
     return texts.select("text").mapInArrow(work, "shard int, bigrams binary")
 
 
-def save(folder: str, name: str, array: np.ndarray) -> None:
-    """Write an array below ``folder``, under its name only when it is whole; a repeated task writes the same again."""
-    path = local_path(folder)
-    if path is not None:
-        os.makedirs(path, exist_ok=True)
-        part = f"{path}/.{name}-{os.getpid()}-{os.urandom(4).hex()}"
-        with open(part, "wb") as out:
-            out.write(memoryview(np.ascontiguousarray(array)).cast("B"))
-        os.replace(part, f"{path}/{name}")
-        return
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path)
-    with store.open_output_stream(f"{path}/{name}") as out:
-        out.write(memoryview(np.ascontiguousarray(array)).cast("B"))
-
-
-def mapped(folder: str, name: str, kind) -> np.ndarray:
-    """A saved array as a memory map; from a store that isn't mounted, over a local copy without a name."""
-    path = local_path(folder)
-    if path is not None:
-        file = f"{path}/{name}"
-        return np.memmap(file, kind, "r") if os.path.getsize(file) else np.zeros(0, kind)
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    with tempfile.TemporaryFile() as copy, store.open_input_stream(f"{path}/{name}") as source:
-        while part := source.read(1 << 22):
-            copy.write(part)
-        copy.flush()
-        return np.memmap(copy, kind, "r") if copy.tell() else np.zeros(0, kind)
-
-
 def build_bigrams(pairs: DataFrame, folder: str, hot: np.ndarray, shards: int) -> DataFrame:
     """Writes the bigram arrays; (key, n1, n2, n3, n4, more, contexts) of each word, as far as a shard knows them.
 
@@ -183,17 +171,16 @@ def build_bigrams(pairs: DataFrame, folder: str, hot: np.ndarray, shards: int) -
             return
         u, w, n = (np.concatenate(x) for x in zip(*found))
         found.clear()
-        key = pair_keys(u, w, hot)
+        key = pair_keys(u, w)
         order = np.argsort(key)
         key, u, w, n = key[order], u[order], w[order], n[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         n = np.add.reduceat(n, first, dtype=np.int64)
         key, u, w = key[first], u[first], w[first]
         large = n >= 255
-        save(folder, f"pairs-{shard}.keys", key)
-        save(folder, f"pairs-{shard}.counts", np.minimum(n, 255).astype(np.uint8))
-        save(folder, f"pairs-{shard}.large-keys", key[large])
-        save(folder, f"pairs-{shard}.large-counts", n[large])
+        for name, own, count in (("pairs", slice(None), np.minimum(n, 255).astype(np.uint8)), ("large", large, n[large])):
+            save(folder, f"{name}-{shard}.keys", key[own])
+            save(folder, f"{name}-{shard}.count", count)
         heads, at = np.unique(u, return_inverse=True)
         columns = [np.bincount(at, n == k, len(heads)) for k in (1, 2, 3, 4)] + [np.bincount(at, n >= 3, len(heads)), np.zeros(len(heads))]
         tails, count = np.unique(w, return_counts=True)
@@ -221,68 +208,18 @@ def _discounted(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(n - np.select([n <= 0, n == 1, n == 2], [0.0, d[0], d[1]], d[2]), 0)
 
 
-def build_words(words: DataFrame, folder: str, pair_d: tuple, word_d: tuple, contexts: float, lower_rest: float, distinct: int) -> int:
-    """Writes the word arrays by ranges of the key; their number of rows."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).to_pandas() if (batches := [b for b in batches if b.num_rows]) else None
-        if table is None:
-            return
-        shard = int(table["shard"].iloc[0])
-        key = table["key"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(key)
-        table = table.iloc[order]
-        follow = sum(d * table[c].to_numpy(float) for d, c in zip(pair_d, ("n1", "n2", "more")))
-        n = table["n"].to_numpy(float)
-        lower = _discounted(table["contexts"].to_numpy(float), word_d) / max(contexts, 1) + lower_rest / (distinct + 1)
-        save(folder, f"words-{shard}.keys", key[order])
-        save(folder, f"words-{shard}.counts", n.astype(np.int64))
-        save(folder, f"words-{shard}.lower", lower)
-        save(folder, f"words-{shard}.backoff", np.where(follow > 0, follow / np.maximum(n, 1), 1.0))
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(key)], pa.int64())], ["shard", "rows"])
-
-    shard = F.shiftrightunsigned("key", 60).cast("int")
-    done = words.select(shard.alias("shard"), "key", "n", *COUNTS).repartitionById(WORD_SHARDS, "shard").mapInArrow(work, "shard int, rows long")
-    return {r["shard"]: r["rows"] for r in done.collect()}  # WORD_SHARDS rows
-
-
-@functools.lru_cache(2)
-def opened(folder: str, pair_shards: tuple[int, ...], word_shards: tuple[int, ...]):
-    pairs = {s: (mapped(folder, f"pairs-{s}.keys", np.uint64), mapped(folder, f"pairs-{s}.counts", np.uint8), mapped(folder, f"pairs-{s}.large-keys", np.uint64), mapped(folder, f"pairs-{s}.large-counts", np.int64)) for s in pair_shards}
-    words = {s: (mapped(folder, f"words-{s}.keys", np.uint64), mapped(folder, f"words-{s}.counts", np.int64), mapped(folder, f"words-{s}.lower", np.float64), mapped(folder, f"words-{s}.backoff", np.float64)) for s in word_shards}
-    return pairs, words
-
-
-def _hits(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.searchsorted(keys, wanted)
-    found = np.zeros(len(wanted), bool)
-    inside = at < len(keys)
-    found[inside] = keys[at[inside]] == wanted[inside]
-    return at[found], found
-
-
-def _look_up(shards: dict, bits: int, wanted: np.ndarray, columns: int) -> list[np.ndarray]:
-    """Values of sorted, distinct keys, 0 where there are none: one pass over the mapped ranges."""
-    out = [np.zeros(len(wanted)) for _ in range(columns)]
-    number = (wanted >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(wanted), np.int64)
-    edges = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]) if len(wanted) else []
-    for a, b in zip(edges, [*edges[1:], len(wanted)]):
-        if (arrays := shards.get(int(number[a]))) is None:
-            continue
-        at, found = _hits(arrays[0], wanted[a:b])
-        for k in range(columns):
-            out[k][a:b][found] = arrays[k + 1][at]
-    return out
-
-
-def _pair_counts(shards: dict, bits: int, wanted: np.ndarray) -> np.ndarray:
-    (n,) = _look_up(shards, bits, wanted, 1)
+def _pair_counts(folder: str, shards: frozenset[int], wanted: np.ndarray, number: np.ndarray) -> np.ndarray:
+    _, (n,) = looked_up(folder, "pairs", shards, (("count", np.uint8),), wanted, number)
     large = np.flatnonzero(n == 255)
     if len(large):
-        (n[large],) = _look_up({s: a[2:] for s, a in shards.items()}, bits, wanted[large], 1)
+        _, (n[large],) = looked_up(folder, "large", shards, (("count", np.int64),), wanted[large], number[large])
     return n
 
 
+#: What the arrays of words hold.
+WORD_COLUMNS = {"n": np.int64, "lower": np.float64, "backoff": np.float64}
+
+
 def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
@@ -302,7 +239,7 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     tokens, distinct = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     often = unigrams.where(F.col("n") > max(1000, tokens // HOT_KEYS)).select("key").collect()  # at most HOT_KEYS rows
     hot = np.sort(np.array([r["key"] for r in often] + [int(START.view(np.int64))], np.int64).view(np.uint64))
-    bits = min(12, max(0, int(tokens // shard_tokens).bit_length()))
+    bits = min(MOST_BITS, max(0, int(tokens // shard_tokens).bit_length()))
     folder = new_path(spark, "language-model")
     parts = build_bigrams(bigram_runs(train, hot, bits), folder, hot, 1 << bits)
     contexts = parts.groupBy("key").agg(*[F.sum(c).alias(c) for c in COUNTS])
@@ -312,27 +249,37 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     n = {k: float(v or 0) for k, v in totals.asDict().items()}
     pair_d, word_d = discounts(n["n1"], n["n2"], n["n3"], n["n4"]), discounts(n["m1"], n["m2"], n["m3"], n["m4"])
     lower_rest = (word_d[0] * n["m1"] + word_d[1] * n["m2"] + word_d[2] * n["m_more"]) / n["contexts"] if n["contexts"] else 1.0
-    word_shards = tuple(sorted(build_words(words, folder, pair_d, word_d, n["contexts"], lower_rest, distinct)))
-    pair_shards = tuple(range(1 << bits)) if tokens else ()
+    word_bits = max(0, int(distinct // shard_tokens).bit_length())
+    follow = sum((F.lit(d) * F.col(c) for d, c in zip(pair_d, ("n1", "n2", "more"))), F.lit(0.0))
+    taken = F.when(F.col("contexts") == 0, 0.0).when(F.col("contexts") == 1, word_d[0]).when(F.col("contexts") == 2, word_d[1]).otherwise(word_d[2])
+    statistics = words.select(
+        "key", "n", ((F.col("contexts") - taken) / max(n["contexts"], 1.0) + lower_rest / (distinct + 1)).alias("lower"),
+        F.when(follow > 0, follow / F.greatest("n", F.lit(1))).otherwise(1.0).alias("backoff"),
+    )
+    word_shards = frozenset(save_sorted(statistics, folder, "words", WORD_COLUMNS, word_bits))
+    with_pairs = saved_shards(folder, "pairs")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        existing = tuple(s for s in pair_shards if local_path(folder) is None or os.path.exists(f"{local_path(folder)}/pairs-{s}.keys"))
-        pairs, vocabulary = opened(folder, existing, word_shards)
         for batch in batches:
             texts = batch.column(1)
             found = np.zeros((len(texts), 4))
             for first, token, before, row, size in _sequences(texts):
                 every, at = np.unique(np.r_[token, before], return_inverse=True)
-                count, lower, backoff = (x[at] for x in _look_up(vocabulary, 4, every, 3))
+                _, values = looked_up(folder, "words", word_shards, tuple(WORD_COLUMNS.items()), every, shard_of(every, word_bits))
+                count, lower, backoff = (x[at] for x in values)
                 m = len(token)
                 known = count[:m] > 0
                 head = count[m:]
                 lower = np.where(known, lower[:m], lower_rest / (distinct + 1))
-                key, where = np.unique(pair_keys(before, token, hot), return_inverse=True)
-                c = _pair_counts(pairs, bits, key)[where]
+                key, one, where = np.unique(pair_keys(before, token), return_index=True, return_inverse=True)
+                number = pair_shards(before[one], key, hot, bits)
+                order = np.argsort(number, kind="stable")
+                c = np.zeros(len(key))
+                c[order] = _pair_counts(folder, with_pairs, key[order], number[order])
+                c = c[where]
                 p = np.where(head > 0, _discounted(c, pair_d) / np.maximum(head, 1) + backoff[m:] * lower, lower)
                 base = np.log10((count[:m] + 1) / (tokens + distinct + 1))
-                found[first : first + size] = sums_by_row(np.stack([np.ones(m), known, base, np.log10(p)], 1), row, size)
+                found[first : first + size] += sums_by_row(np.stack([np.ones(m), known, base, np.log10(p)], 1), row, size)
             whole = [pa.array(found[:, k].astype(np.int64)) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *whole, pa.array(found[:, 2]), pa.array(found[:, 3])], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 

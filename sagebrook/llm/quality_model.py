@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of, stored, text_of
-from .tokens import RUN_CLASS, runs, span_hashes, steps, sums_by_row
+from .tokens import LONGEST_RUN, RUN_CLASS, Step, runs, span_hashes, steps, sums_by_row
 
 BUCKETS, DIMS, NONZERO = 1 << 14, 64, 4
 WIDTH = DIMS + 2
@@ -33,11 +33,11 @@ INDEX_DIM = _rng.integers(0, DIMS, (BUCKETS, NONZERO))
 INDEX_SIGN = _rng.choice([-1.0, 1.0], (BUCKETS, NONZERO))
 
 
-def _bucket_steps(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """(first row, bucket of each token, its row, rows) of each step."""
-    for first, data, offsets in steps(column):
-        starts, ends, row = runs(data, offsets, RUN_CLASS)
-        yield first, (span_hashes(data, starts, ends) % np.uint64(BUCKETS)).astype(np.int64), row, len(offsets) - 1
+def _bucket_steps(column: pa.Array) -> Iterator[tuple[Step, np.ndarray, np.ndarray]]:
+    """Each step with the bucket of each token, and its row."""
+    for step in steps(column, RUN_CLASS, LONGEST_RUN):
+        starts, ends, row = runs(step.data, step.offsets, RUN_CLASS, LONGEST_RUN)
+        yield step, (span_hashes(step.data, starts, ends) % np.uint64(BUCKETS)).astype(np.int64), row
 
 
 def context_sums(texts: DataFrame) -> DataFrame:
@@ -49,8 +49,13 @@ def context_sums(texts: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS * DIMS)
+        before = np.zeros(0, np.int64)
         for batch in batches:
-            for _, bucket, row, _ in _bucket_steps(batch.column(0)):
+            for step, bucket, row in _bucket_steps(batch.column(0)):
+                if not step.begins and len(before) and len(bucket):  # neighbours across a cut
+                    for own, other in ((before, bucket[:1]), (bucket[:1], before)):
+                        total[own[0] * DIMS : (own[0] + 1) * DIMS] += np.bincount(INDEX_DIM[other].ravel(), INDEX_SIGN[other].ravel(), DIMS)
+                before = bucket[-1:] if len(bucket) or step.begins else before
                 pairs = [(bucket, bucket)]
                 near = row[1:] == row[:-1]
                 pairs += [(bucket[1:][near], bucket[:-1][near]), (bucket[:-1][near], bucket[1:][near])]
@@ -77,12 +82,25 @@ def word_vectors(sums: DataFrame) -> np.ndarray:
 def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """A row for each text: the mean word vector, the logarithm of the number of tokens, the share of distinct ones."""
     out = np.zeros((len(column), WIDTH), np.float32)
-    for first, bucket, row, n in _bucket_steps(column):
-        count = np.bincount(row, minlength=n)
-        out[first : first + n, :DIMS] = sums_by_row(vectors[bucket], row, n) / np.maximum(count, 1)[:, None]
-        out[first : first + n, DIMS] = np.log1p(count)
-        distinct = np.unique(row * BUCKETS + bucket) // BUCKETS
-        out[first : first + n, DIMS + 1] = np.bincount(distinct, minlength=n) / np.maximum(count, 1)
+    total, tokens, seen = np.zeros((1, DIMS)), np.zeros(1, np.int64), np.zeros(BUCKETS, bool)
+    for step, bucket, row in _bucket_steps(column):
+        n = step.rows
+        sums, count = sums_by_row(vectors[bucket], row, n), np.bincount(row, minlength=n)
+        if step.begins and step.ends:
+            distinct = np.bincount(np.unique(row * BUCKETS + bucket) // BUCKETS, minlength=n)
+        else:
+            if step.begins:
+                total[:], tokens[:], seen[:] = 0, 0, False
+            total += sums
+            tokens += count
+            seen[bucket] = True
+            if not step.ends:
+                continue
+            sums, count, distinct = total, tokens, seen.sum(keepdims=True)
+        own = slice(step.first, step.first + n)
+        out[own, :DIMS] = sums / np.maximum(count, 1)[:, None]
+        out[own, DIMS] = np.log1p(count)
+        out[own, DIMS + 1] = distinct / np.maximum(count, 1)
     return out
 
 
@@ -168,8 +186,9 @@ def quality_scores(
     Only texts go into a score. Rows with crc32(id as text) mod 5 = 0 are held
     out: their labels are never read. A null text counts as empty and is scored
     like any text without words; rows that repeat come out as often; a null id
-    counts as empty text for the fold. Without labels of both kinds every score is
-    the share of label 1, smoothed. An empty table gives no rows; other columns are ignored.
+    counts as empty text for the fold. An id that stands on several
+    labelled rows trains once, by the text with the smallest features. Runs over 256 bytes count as
+    several tokens. Without labels of both kinds every score is the share of label 1, smoothed. An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     vectors = word_vectors(context_sums(rows))
@@ -185,7 +204,7 @@ def quality_scores(
     kind = rows.schema["doc_id"].dataType.simpleString()
     known = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "fold", "label", "text").mapInArrow(  # at most `sample` rows
         features, f"doc_id {kind}, fold long, label int, x binary"
-    ).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    ).groupBy("doc_id").agg(F.min(F.struct("x", "fold", "label")).alias("r")).select("doc_id", "r.*").toPandas().sort_values("doc_id")
     x = np.frombuffer(b"".join(known["x"]), np.float32).reshape(-1, WIDTH)
     y, fit = known["label"].to_numpy(np.float64), (known["fold"] != CALIBRATION).to_numpy(bool)
     net = fit_network(x[fit], y[fit])

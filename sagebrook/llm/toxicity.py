@@ -1,117 +1,106 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models spell out the words of toxic and of ordinary documents, byte by
-byte, so that rare and inflected expressions share what their letters share. The
-longer contexts are counted in each class; below them both classes back off to
-the same counts: in how many different longer contexts a byte occurs. A rare
-expression that only one class happens to hold thus costs the other little.
-
-Few words of a long toxic text may be its only marks, and common syllables hide
-them in a mean over bytes. So whole words, beginnings of words and pairs of
-words are events of their own, with the shares of either class discounted and
-smoothed by counts that both share. A word that no count has seen whole counts
-by its most telling beginning, and by its bytes. The score is a logistic
-function of the difference of the log-likelihoods per word and of the sums of
-the most telling words and pairs, fitted on labelled rows that no count has seen.
+byte. The longest grams (ORDER bytes of a word, or all from its beginning on)
+are counted in either class: in how many distinct words of how many texts they
+occur. Below them both classes back off to the same continuation counts: in how many
+different longer grams a shorter one occurs, at every order. Rare and inflected
+expressions thus share what their stems share, and a rare word that only one class
+happens to hold costs the other little.
+
+Pairs of words are events too, as expressions may consist of ordinary words: their
+discounted shares in either class back off to the shared count of classes that hold them.
+
+As both classes share the backoff, a gram's difference of log-likelihoods needs one
+number, and so does each context for the grams that it wasn't seen with. These
+numbers are counted and computed in Spark and lie in sorted hash arrays in the shared
+folder, which workers map into memory.
+
+A text's evidence is the difference per word, the sums over its most telling words and pairs,
+and the logarithm of its number of distinct words, as long texts hold more of
+anything. The score is a logistic function of these four, fitted on labelled
+rows that no count has seen.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, stored, text_of
-from .tokens import LETTER, LOWER, RUN_CLASS, mixed, runs, span_hashes, steps, sums_by_row
+from .arrays import looked_up, save_sorted, shard_of
+from .common import fold_of, new_path, stored, text_of
+from .tokens import LETTER, LONGEST_RUN, LOWER, RUN_CLASS, STEP, Step, gathered, mixed, runs, span_hashes, steps, sums_by_row
 
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
 #: Labelled rows of each class that the counts and the calibration use, at most.
 SAMPLE = 20_000
-#: Rows of counts that the model keeps, at most; the rarest go first, and whole counts at a time.
-ENTRIES = 4_000_000
-#: Bytes of a gram, its last byte being the predicted one; grams up to SHARED bytes belong to both classes.
-ORDER, SHARED = 5, 1
+#: Bytes of the longest grams, the last byte being the predicted one.
+ORDER = 12
 DISCOUNT = 0.75
-#: Beginnings of words count from so many bytes on, the space before the word being one; kinds of expressions.
-STEM, PREFIX, WORD, PAIR = 5, 0, 1, 2
-#: So many of a text's most telling words, and of its pairs, are summed.
+#: So many of a text's most telling words, and pairs, are summed.
 TELLING = 3
+#: Entries of a shard of the model, about.
+SHARD = 1 << 22
+#: Sets the keys of contexts apart from those of grams.
+CONTEXT = np.uint64(0xD6E8FEB86659FD93)
 
 
-@dataclass
-class Words:
-    """The distinct words of a step, each with a space before and after it, and where they stand."""
-
-    data: np.ndarray  # bytes of all padded words
-    place: np.ndarray  # place of each byte in its word; 0 is the space before it
-    word: np.ndarray  # number of each byte's word
-    inverse: np.ndarray  # number of each token's word
-    row: np.ndarray  # row of each token
-    first: int
-    rows: int
-
-
-def _word_steps(column: pa.Array) -> Iterator[Words]:
-    for first, data, offsets in steps(column):
-        data = LOWER[data]
-        starts, ends, row = runs(data, offsets, RUN_CLASS)
-        letters = RUN_CLASS[data[starts]] == LETTER
-        starts, ends, row = starts[letters], ends[letters], row[letters]
-        _, one, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        length = (ends - starts)[one] + 2
-        begin = np.cumsum(length) - length
-        word = np.repeat(np.arange(len(one)), length)
-        place = np.arange(len(word)) - begin[word]
-        padded = data[np.clip(starts[one][word] + place - 1, 0, max(0, len(data) - 1))]
-        padded[(place == 0) | (place == length[word] - 1)] = 32
-        yield Words(padded, place, word, inverse, row, first, len(offsets) - 1)
-
-
-def _grams(words: Words, order: int) -> np.ndarray:
-    """For each byte the last ``order`` bytes of its word as a number, or all if there are fewer; a leading 1 marks the length."""
-    key = np.zeros(len(words.data), np.uint64)
-    for back in range(min(order, len(key))):
-        byte = np.zeros(len(key), np.uint64)
-        byte[back:] = words.data[: len(key) - back]
-        byte[words.place < back] = 0
-        key |= byte << np.uint64(8 * back)
-    length = np.minimum(words.place + 1, order).astype(np.uint64)
-    return key | (np.uint64(1) << (length * np.uint64(8)))
-
-
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """(gram, toxic, plain): longest grams of each predicted byte, counted in either class, from rows (label, text)."""
+class Words(NamedTuple):
+    """The words of a step: runs of letters in lower case."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    row: np.ndarray
+    keys: np.ndarray  # hashes of the distinct words, ascending
+    one: np.ndarray  # a token of each distinct word
+    inverse: np.ndarray  # the distinct word of each token
+
+
+def words_of(step: Step) -> Words:
+    data = LOWER[step.data]
+    starts, ends, row = runs(data, step.offsets, RUN_CLASS, LONGEST_RUN)
+    letters = RUN_CLASS[data[starts]] == LETTER
+    starts, ends, row = starts[letters], ends[letters], row[letters]
+    keys, one, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    return Words(data, starts, ends, row, keys, one, inverse)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            label = batch.column(0).to_numpy(zero_copy_only=False) == 1
-            for words in _word_steps(batch.column(1)):
-                n = words.word[-1] + 1 if len(words.word) else 0
-                toxic = np.bincount(words.inverse, label[words.first + words.row], n)[words.word]
-                every = np.bincount(words.inverse, minlength=n)[words.word]
-                keep = words.place > 0
-                gram, at = np.unique(_grams(words, ORDER)[keep], return_inverse=True)
-                toxic, every = (np.bincount(at, x[keep], len(gram)).astype(np.int64) for x in (toxic, every))
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(toxic), pa.array(every - toxic)], ["gram", "toxic", "plain"])
-
-    return texts.select("label", "text").mapInArrow(work, "gram long, toxic long, plain long").groupBy("gram").agg(
-        F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")
-    )
 
+class Spelling(NamedTuple):
+    """Words with a space before and after each, and the longest gram of every byte but the first."""
 
-def _expressions(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, kinds and words of the beginnings and whole words of a step's distinct words; keys and rows of its pairs of words."""
-    last = np.r_[words.place[1:] == 0, True]
-    at = np.flatnonzero(last | (words.place >= STEM - 1))
-    key = span_hashes(words.data, at - words.place[at], at + 1)
-    whole = key[last[at]][words.inverse]
-    within = words.row[1:] == words.row[:-1]
-    pair = mixed(whole[:-1] * np.uint64(0x9E3779B97F4A7C15) + whole[1:])[within]
-    return key, np.where(last[at], WORD, PREFIX), words.word[at], pair, words.row[1:][within]
+    data: np.ndarray
+    word: np.ndarray  # the word of each gram
+    starts: np.ndarray
+    ends: np.ndarray
+
+
+def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: int) -> Spelling:
+    size = ends - starts + 2
+    begin = np.cumsum(size) - size
+    word = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(word)) - begin[word]
+    padded = data[np.clip(starts[word] + place - 1, 0, max(0, len(data) - 1))] if len(data) else np.zeros(len(word), np.uint8)
+    padded[(place == 0) | (place == size[word] - 1)] = 32
+    at = np.flatnonzero(place > 0)
+    return Spelling(padded, word[at], np.maximum(begin[word[at]], at + 1 - order), at + 1)
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """``span_hashes`` of short, ascending spans over any number of bytes."""
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + STEP, "right")))
+        low = starts[at]
+        out.append(span_hashes(data[low : ends[to - 1]], starts[at:to] - low, ends[at:to] - low))
+        at = to
+    return np.concatenate(out)
 
 
 def _once(row: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -120,161 +109,260 @@ def _once(row: np.ndarray, key: np.ndarray) -> np.ndarray:
     return order[np.r_[True, (row[order][1:] != row[order][:-1]) | (key[order][1:] != key[order][:-1])]] if len(order) else order
 
 
-def expression_counts(texts: DataFrame) -> DataFrame:
-    """(kind, key, toxic, plain): texts of either class that hold an expression, from rows (label, text)."""
+def pairs_of(w: Words, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and rows of the pairs of neighbouring words; ``before`` is the word before a cut, if any."""
+    key = np.r_[before, w.keys[w.inverse]]
+    row = np.r_[w.row[:1], w.row] if len(before) and len(w.row) else w.row
+    near = row[1:] == row[:-1]
+    u, v = key[: len(row)][:-1][near], key[1 : len(row)][near]
+    return mixed(u * np.uint64(0x9E3779B97F4A7C15) + v), row[1:][near]
+
+
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """(key, toxic, plain): texts of either class that hold the pair of words, from rows (label, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, before = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         for batch in batches:
             label = batch.column(0).to_numpy(zero_copy_only=False) == 1
-            for words in _word_steps(batch.column(1)):
-                if not len(words.data):
-                    continue
-                key, kind, word, pair, pair_row = _expressions(words)
-                one = _once(words.row, words.inverse)
-                first, size = np.searchsorted(word, words.inverse[one]), np.bincount(word)[words.inverse[one]]
-                own = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-                row = np.r_[np.repeat(words.row[one], size), pair_row]
-                keys, kinds = np.r_[key[own], pair], np.r_[kind[own], np.full(len(pair), PAIR)]
-                one = _once(row, keys)
-                found, place, at = np.unique(keys[one], return_index=True, return_inverse=True)
-                toxic = np.bincount(at, label[words.first + row[one]], len(found)).astype(np.int64)
-                plain = np.bincount(at, minlength=len(found)) - toxic
-                kinds = kinds[one][place].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(found.view(np.int64)), pa.array(toxic), pa.array(plain)], ["kind", "key", "toxic", "plain"])
-
-    return texts.select("label", "text").mapInArrow(work, "kind int, key long, toxic long, plain long").groupBy("kind", "key").agg(
+            for step in steps(batch.column(1), RUN_CLASS, LONGEST_RUN):
+                w = words_of(step)
+                pair, row = pairs_of(w, before[:0] if step.begins else before)
+                before = w.keys[w.inverse[-1:]] if len(w.inverse) or step.begins else before
+                one = _once(row, pair)
+                if not (step.begins and step.ends):
+                    seen = seen[:0] if step.begins else seen
+                    one = one[~np.isin(pair[one], seen)]
+                    seen = np.union1d(seen, pair)
+                key, own = np.unique(pair[one], return_inverse=True)
+                toxic = np.bincount(own, label[step.first + row[one]], len(key)).astype(np.int64)
+                plain = np.bincount(own, minlength=len(key)) - toxic
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(toxic), pa.array(plain)], ["key", "toxic", "plain"])
+
+    return texts.select("label", "text").mapInArrow(work, "key long, toxic long, plain long").groupBy("key").agg(
         F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")
     )
 
 
-def expression_weights(counted: DataFrame) -> DataFrame:
-    """(key, weight): log P(toxic) - log P(ordinary) of each expression for which it is above 0.
-
-    Both classes back off to the same counts: in how many classes an expression
-    occurs. What speaks for neither or for ordinary texts has the weight 0 and needs no row.
-    """
-    totals = counted.groupBy("kind").agg(
-        F.sum("toxic").alias("n1"), F.sum("plain").alias("n0"), F.count_if(F.col("toxic") > 0).alias("t1"), F.count_if(F.col("plain") > 0).alias("t0")
-    ).where("n1 > 0 and n0 > 0")
-    rest = ((F.col("toxic") > 0).cast("int") + (F.col("plain") > 0).cast("int")) / (F.col("t0") + F.col("t1"))
-    share = [(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(t) * rest) / F.col(n) for c, t, n in (("toxic", "t1", "n1"), ("plain", "t0", "n0"))]
-    return counted.join(F.broadcast(totals), "kind").select("key", F.log(share[0] / share[1]).cast("float").alias("weight")).where("weight > 0")  # a row for each kind
+def pair_weights(counted: DataFrame) -> DataFrame:
+    """(key, weight): log P(toxic) - log P(ordinary) of each pair for which it is above 0; others need no row."""
+    n1, n0, t1, t0 = counted.agg(F.sum("toxic"), F.sum("plain"), F.count_if(F.col("toxic") > 0), F.count_if(F.col("plain") > 0)).first()
+    if not n1 or not n0:
+        return counted.select("key", F.lit(0.0).cast("float").alias("weight")).limit(0)
+    rest = ((F.col("toxic") > 0).cast("int") + (F.col("plain") > 0).cast("int")) / (t0 + t1)
+    share = [(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * t * rest) / n for c, t, n in (("toxic", t1, n1), ("plain", t0, n0))]
+    return counted.where("toxic > 0").select("key", F.log(share[0] / share[1]).cast("float").alias("weight")).where("weight > 0")
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return at, keys[at] == wanted
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, toxic, plain): texts of either class that hold the word, from rows (label, text)."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.uint64)
+        for batch in batches:
+            label = batch.column(0).to_numpy(zero_copy_only=False) == 1
+            for step in steps(batch.column(1), RUN_CLASS, LONGEST_RUN):
+                w = words_of(step)
+                one = _once(w.row, w.inverse)
+                toxic = np.bincount(w.inverse[one], label[step.first + w.row[one]], len(w.keys)).astype(np.int64)
+                plain = np.bincount(w.inverse[one], minlength=len(w.keys)) - toxic
+                new = np.ones(len(w.keys), bool)
+                if not (step.begins and step.ends):  # a word counts once in all parts of a text
+                    seen = seen[:0] if step.begins else seen
+                    new = ~np.isin(w.keys, seen)
+                    seen = np.union1d(seen, w.keys)
+                words = gathered(w.data, w.starts[w.one[new]], w.ends[w.one[new]]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([words, pa.array(toxic[new]), pa.array(plain[new])], ["word", "toxic", "plain"])
+
+    return texts.select("label", "text").mapInArrow(work, "word binary, toxic long, plain long").groupBy("word").agg(
+        F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")
+    )
 
-def _shorter(gram: np.ndarray) -> np.ndarray:
-    """Grams without their first byte."""
-    bits = np.uint64(8) * ((np.frexp(gram.astype(np.float64))[1] - 1) // 8 - 1).astype(np.uint64)
-    return (gram & ((np.uint64(1) << bits) - np.uint64(1))) | (np.uint64(1) << bits)
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    column = column.cast(pa.large_binary())
+    _, offsets, raw = column.buffers()
+    return np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8), np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
 
-def _length(gram: np.ndarray) -> np.ndarray:
-    return (np.frexp(gram.astype(np.float64))[1] - 1) // 8
 
+def gram_counts(words: DataFrame, order: int = ORDER) -> DataFrame:
+    """(tails, last, gram, toxic, plain): longest grams, the two bytes before their last (256 x first + second), and their words' counts, from ``word_counts``."""
 
-def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    new, at = np.unique(key, return_inverse=True)
-    return new, np.stack([np.bincount(at, n[:, k], len(new)) for k in (0, 1)], 1)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = _bytes(batch.column(0))
+            s = spelled(data, offsets[:-1], offsets[1:], order)
+            _, one, at = np.unique(_hashes(s.data, s.starts, s.ends), return_index=True, return_inverse=True)
+            counts = [np.bincount(at, batch.column(k).to_numpy()[s.word], len(one)).astype(np.int64) for k in (1, 2)]
+            ends = s.ends[one]
+            tails = np.where(ends - s.starts[one] > 2, s.data[ends - 3].astype(np.int32) << 8, 0) | s.data[ends - 2]
+            near = [pa.array(x.astype(np.int32)) for x in (tails, s.data[ends - 1])]
+            yield pa.RecordBatch.from_arrays(
+                [*near, gathered(s.data, s.starts[one], ends).cast(pa.binary()), *map(pa.array, counts)], ["tails", "last", "gram", "toxic", "plain"]
+            )
+
+    found = words.select("word", "toxic", "plain").mapInArrow(work, "tails int, last int, gram binary, toxic long, plain long")
+    return found.groupBy("tails", "last", "gram").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+
+
+def _backed_off(count: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Discounted shares of continuation counts along the last axis, filled up by those of the shorter context."""
+    total = count.sum(axis=-1, keepdims=True)
+    kept = np.maximum(count - DISCOUNT, 0) + DISCOUNT * (count > 0).sum(axis=-1, keepdims=True) * shorter
+    return np.where(total > 0, kept / np.maximum(total, 1), shorter)
+
+
+def byte_shares(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shared probabilities of a byte without a context, and after each byte."""
+    kinds, after = np.zeros(256), np.zeros((256, 256))
+    before = F.col("tails").bitwiseAND(255).alias("before")
+    for r in grams.select(before, "last").distinct().groupBy("last").count().collect():  # at most 256 rows
+        kinds[r["last"]] = r["count"]
+    for r in grams.where(F.octet_length("gram") > 2).select("tails", "last").distinct().groupBy(before, "last").count().collect():  # at most 256 x 256 rows
+        after[r["before"], r["last"]] = r["count"]
+    base = _backed_off(kinds, np.full(256, 1 / 256))
+    return base, _backed_off(after, base)
+
+
+def gram_weights(gram: pa.Array, toxic: np.ndarray, plain: np.ndarray, shares: tuple[np.ndarray, np.ndarray], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and weights: log P(toxic) - log P(ordinary) of the grams, and of what their contexts weren't seen with.
+
+    Takes all grams whose contexts end in the same two bytes; ``shares`` are ``byte_shares``.
+    Each length's shared probability discounts its continuation counts and falls back to the
+    next shorter length.
+    """
+    data, offsets = _bytes(gram)
+    size, n = np.diff(offsets), len(gram)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.float32)
+    back = np.arange(order)
+    byte = np.where(back < size[:, None], data[np.maximum(offsets[1:, None] - 1 - back, 0)], 0).astype(np.uint64) + np.uint64(1)
+    powers = np.cumprod(np.r_[np.uint64(1), np.full(order - 1, 0x9E3779B97F4A7C15, np.uint64)])
+    suffix = np.cumsum(byte * powers, axis=1)  # column k: the last k + 1 bytes
+    last = byte[:, 0]
+    ended, before = (byte[:, :2] - np.uint64(1)).astype(np.int64).T
+    shared = np.where(size > 2, shares[1][before, ended], shares[0][ended])
+    for length in range(3, order):
+        at = np.flatnonzero(size > length)
+        if not len(at):
+            break
+        _, one = np.unique(suffix[at, length], return_index=True)
+        longer = at[one]
+        own, first, inverse = np.unique(suffix[longer, length - 1], return_index=True, return_inverse=True)
+        count = np.bincount(inverse)
+        _, context = np.unique(own - last[longer[first]], return_inverse=True)
+        total, kinds = np.bincount(context, count), np.bincount(context)
+        place = np.searchsorted(own, suffix[at, length - 1])
+        c = context[place]
+        shared[at] = (count[place] - DISCOUNT + DISCOUNT * kinds[c] * shared[at]) / total[c]
+    whole = suffix[np.arange(n), size - 1]
+    _, first, context = np.unique(whole - last, return_index=True, return_inverse=True)
+    log, rest = np.zeros(n), np.zeros(len(first))
+    for sign, counts in ((1, toxic), (-1, plain)):
+        total = np.bincount(context, counts)
+        lost = np.where(total > 0, DISCOUNT * np.bincount(context, counts > 0) / np.maximum(total, 1), 1.0)
+        kept = np.maximum(counts - DISCOUNT, 0) / np.maximum(total[context], 1)
+        log += sign * np.log(kept + lost[context] * shared)
+        rest += sign * np.log(lost)
+    order_ = np.argsort(first)  # spans ascend
+    heads = first[order_]
+    keys = np.r_[_hashes(data, offsets[:-1], offsets[1:]), mixed(_hashes(data, offsets[:-1][heads], offsets[1:][heads] - 1) ^ CONTEXT)]
+    return keys, np.r_[log, rest[order_]].astype(np.float32)
+
+
+def _strongest(row: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+    """By row the sum of the largest weights above 0."""
+    above = np.flatnonzero(weight > 0)
+    above = above[np.lexsort((-weight[above], row[above]))]
+    row, weight = row[above], weight[above]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < TELLING
+    return np.bincount(row[first], weight[first], rows)
 
 
 @dataclass
 class Model:
-    """For each gram length the sorted grams with their discounted shares, and the contexts with their backoff weights."""
+    """Where the weights lie, and the logistic function."""
 
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
-    #: Sorted keys of expressions, and their weights.
-    telling: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.float32))
+    folder: str
+    parts: dict[str, tuple[int, frozenset[int]]]  # of "grams" and "pairs": bits of a shard's number, and shards
+    order: int = ORDER
     slope: np.ndarray | float = 1.0
     shift: float = 0.0
 
-    def weights(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.telling[0]):
-            return np.zeros(len(keys))
-        at, known = _find(self.telling[0], keys)
-        return np.where(known, self.telling[1][at], 0.0)
-
-    def strongest(self, words: Words) -> np.ndarray:
-        """Per row the sums of its most telling distinct words, and of its pairs of words."""
-        key, _, word, pair, pair_row = _expressions(words)
-        by_word = np.maximum.reduceat(self.weights(key), np.flatnonzero(np.r_[True, word[1:] != word[:-1]]))
-        out = []
-        for row, what, weight in ((words.row, words.inverse, by_word[words.inverse]), (pair_row, pair, self.weights(pair))):
-            above = np.flatnonzero(weight > 0)
-            one = above[_once(row[above], what[above])]
-            one = one[np.lexsort((-weight[one], row[one]))]
-            rank = np.arange(len(one)) - np.searchsorted(row[one], row[one])
-            out.append(np.bincount(row[one][rank < TELLING], weight[one][rank < TELLING], words.rows))
-        return np.stack(out, 1)
+    def weights(self, name: str, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the ascending keys are known, and their weights."""
+        bits, shards = self.parts[name]
+        known, (weight,) = looked_up(self.folder, name, shards, (("weight", np.float32),), keys, shard_of(keys, bits))
+        return known, weight
+
+    def word_weights(self, w: Words) -> np.ndarray:
+        """Difference of the log-likelihoods of each distinct word of a step."""
+        s = spelled(w.data, w.starts[w.one], w.ends[w.one], self.order)
+        keys, one, inverse = np.unique(_hashes(s.data, s.starts, s.ends), return_index=True, return_inverse=True)
+        known, weight = self.weights("grams", keys)
+        new = np.sort(one[~known])
+        heads, at = np.unique(mixed(_hashes(s.data, s.starts[new], s.ends[new] - 1) ^ CONTEXT), return_inverse=True)
+        rest = np.zeros(len(s.starts))
+        rest[new] = self.weights("grams", heads)[1][at]
+        weight[~known] = rest[one[~known]]
+        return np.bincount(s.word, weight[inverse], len(w.keys))
 
     def evidence(self, column: pa.Array) -> np.ndarray:
-        """Per text (log P(toxic) - log P(ordinary)) / (words + 1), and the sums of its most telling words and pairs."""
-        out = np.zeros((len(column), 3))
-        for words in _word_steps(column):
-            if not len(words.data):
+        """Per text: difference per word, sums of the most telling distinct words and pairs, logarithm of the number of distinct words."""
+        out = np.zeros((len(column), 4))
+        none, before = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        for step in steps(column, RUN_CLASS, LONGEST_RUN):
+            w = words_of(step)
+            pair, pair_row = pairs_of(w, none if step.begins else before)
+            before = w.keys[w.inverse[-1:]] if len(w.inverse) or step.begins else before
+            pair, pair_own = np.unique(pair, return_inverse=True)
+            weight, pair_weight = self.word_weights(w), self.weights("pairs", pair)[1]
+            if step.begins and step.ends:
+                own = slice(step.first, step.first + step.rows)
+                out[own, 0] = sums_by_row(weight[w.inverse], w.row, step.rows) / (np.bincount(w.row, minlength=step.rows) + 1)
+                one = _once(w.row, w.inverse)
+                out[own, 3] = np.log1p(np.bincount(w.row[one], minlength=step.rows))
+                out[own, 1] = _strongest(w.row[one], weight[w.inverse[one]], step.rows)
+                told = np.flatnonzero(pair_weight[pair_own] > 0)
+                one = told[_once(pair_row[told], pair_own[told])]
+                out[own, 2] = _strongest(pair_row[one], pair_weight[pair_own[one]], step.rows)
                 continue
-            p = np.full((len(words.data), 2), 1 / 256)
-            for length in range(1, ORDER + 1):
-                at = np.flatnonzero(words.place >= max(1, length - 1))
-                gram = _grams(words, length)[at]
-                (keys, share), (heads, rest) = self.grams[length - 1], self.contexts[length - 1]
-                if not len(keys):
-                    continue
-                i, known = _find(heads, gram >> np.uint64(8))
-                q = p[at] * np.where(known[:, None], rest[i], 1.0)
-                i, known = _find(keys, gram)
-                p[at] = q + np.where(known[:, None], share[i], 0.0)
-            log = np.log(p)
-            by_word = np.bincount(words.word, (log[:, 0] - log[:, 1]) * (words.place > 0))
-            counted = np.bincount(words.row, minlength=words.rows) + 1
-            own = slice(words.first, words.first + words.rows)
-            out[own, 0] = sums_by_row(by_word[words.inverse], words.row, words.rows) / counted
-            out[own, 1:] = self.strongest(words)
+            if step.begins:
+                total, tokens, seen, seen_pairs, top, top_pairs = 0.0, 0, none, none, np.zeros(0), np.zeros(0)
+            total, tokens = total + weight[w.inverse].sum(), tokens + len(w.inverse)
+            top = np.sort(np.r_[top, weight[~np.isin(w.keys, seen) & (weight > 0)]])[-TELLING:]
+            told = pair_weight > 0
+            top_pairs = np.sort(np.r_[top_pairs, pair_weight[told][~np.isin(pair[told], seen_pairs)]])[-TELLING:]
+            seen, seen_pairs = np.union1d(seen, w.keys), np.union1d(seen_pairs, pair[told])
+            if step.ends:
+                out[step.first] = total / (tokens + 1), top.sum(), top_pairs.sum(), np.log1p(len(seen))
         return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip((self.evidence(column) * self.slope).sum(axis=1) + self.shift, -30, 30)))
 
 
-def _kept(counted: DataFrame, entries: int) -> DataFrame:
-    """Rows of any count, or of as high a count as it takes to leave ``entries`` at most."""
-    n = F.least(F.col("toxic") + F.col("plain"), F.lit(1000))
-    total, least = 0, 1001
-    for r in sorted(counted.groupBy(n.alias("n")).count().collect(), key=lambda r: -r["n"]):  # at most 1000 rows
-        total += r["count"]
-        if total > entries:
-            break
-        least = r["n"]
-    return counted.where(n >= least)
-
-
-def count_model(texts: DataFrame, entries: int = ENTRIES) -> Model:
-    """Counted in Spark; at most ``entries`` rows of counts reach the driver."""
-    found = _kept(stored(gram_counts(texts), "grams"), entries).toArrow()
-    gram = found["gram"].to_numpy().view(np.uint64)
-    n = np.stack([found[c].to_numpy().astype(float) for c in ("toxic", "plain")], 1)
-    tables: list = [None] * ORDER
-    passed, passed_n = gram[:0], n[:0]
-    for length in range(ORDER, 0, -1):
-        own = _length(gram) == length
-        own_n = n[own] if length > SHARED else np.ones((own.sum(), 2))
-        keys, counts = tables[length - 1] = _summed(np.r_[gram[own], passed], np.r_[own_n, passed_n])
-        passed = _shorter(keys)
-        passed_n = counts if length - 1 > SHARED else np.ones_like(counts)  # shared: one for each longer gram of either class
-    grams, contexts = [], []
-    for keys, counts in tables:
-        heads, at = np.unique(keys >> np.uint64(8), return_inverse=True)
-        total = np.stack([np.bincount(at, counts[:, k], len(heads)) for k in (0, 1)], 1)
-        taken = np.minimum(counts, DISCOUNT)
-        lost = np.stack([np.bincount(at, taken[:, k], len(heads)) for k in (0, 1)], 1)
-        share = (counts - taken) / np.maximum(total[at], 1e-9)
-        grams.append((keys, share.astype(np.float32)))
-        contexts.append((heads, np.where(total > 0, lost / np.maximum(total, 1e-9), 1.0).astype(np.float32)))
-    return Model(grams, contexts)
+def count_model(texts: DataFrame, order: int = ORDER) -> Model:
+    """The weights of the grams of rows (label, text), counted in Spark and saved in the shared folder."""
+    grams = stored(gram_counts(stored(word_counts(texts), "word-counts"), order), "grams")
+    shares = byte_shares(grams)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        table = pa.Table.from_batches(got)
+        key, weight = gram_weights(table["gram"].combine_chunks(), table["toxic"].to_numpy(), table["plain"].to_numpy(), shares, order)
+        out = pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(weight)], ["key", "weight"])
+        yield from (out.slice(at, 1 << 16) for at in range(0, len(key), 1 << 16))
+
+    folder, parts = new_path(texts.sparkSession, "toxicity-model"), {}
+    weights = grams.select("tails", "gram", "toxic", "plain").repartition("tails").mapInArrow(work, "key long, weight float")
+    for name, found in (("grams", weights), ("pairs", pair_weights(stored(pair_counts(texts), "pairs")))):
+        found = stored(found, f"{name}-weights")
+        bits = (found.count() // SHARD).bit_length()
+        parts[name] = bits, frozenset(save_sorted(found, folder, name, {"weight": np.float32}, bits))
+    return Model(folder, parts, order)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
@@ -318,66 +406,63 @@ def labelled_sample(labels: DataFrame, label_col: str, id_col: str, bound: int)
     return parts[0].unionByName(parts[1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, label_id_col: str, sample: int, entries: int) -> Model:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, label_id_col: str, sample: int) -> Model:
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     chosen = stored(labelled_sample(labels, label_col, label_id_col, sample), "labelled")
     known = stored(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "fold", "label", "weight", "text"), "labelled-texts")  # at most 2 x `sample` ids
-    counted = known.where(F.col("fold") != CALIBRATION)
-    model = count_model(counted, entries)
-    # Only expressions of toxic texts have a weight above 0: at most as many as `sample` texts hold.
-    found = expression_weights(stored(expression_counts(counted), "expressions")).toArrow()
-    order = np.argsort(key := found["key"].to_numpy().view(np.uint64))
-    model.telling = key[order], found["weight"].to_numpy()[order]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    model = count_model(known.where(F.col("fold") != CALIBRATION))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = shared.value.evidence(batch.column(2))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(np.ascontiguousarray(x[:, k])) for k in range(3)]], ["label", "weight", "x0", "x1", "x2"])
+            x = model.evidence(batch.column(2))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array(np.ascontiguousarray(x[:, k])) for k in range(4)]], ["label", "weight", "x0", "x1", "x2", "x3"])
 
-    seen = known.where(F.col("fold") == CALIBRATION).select("label", "weight", "text").mapInArrow(measure, "label int, weight double, x0 double, x1 double, x2 double").toPandas()
-    model.slope, model.shift = fit_logistic(seen[["x0", "x1", "x2"]].to_numpy(float), seen["label"].to_numpy(float), seen["weight"].to_numpy())
+    seen = known.where(F.col("fold") == CALIBRATION).select("label", "weight", "text").mapInArrow(measure, "label int, weight double, x0 double, x1 double, x2 double, x3 double").toPandas()
+    seen = seen.sort_values(list(seen.columns))  # sums don't depend on the order in which tasks end
+    model.slope, model.shift = fit_logistic(seen[["x0", "x1", "x2", "x3"]].to_numpy(float), seen["label"].to_numpy(float), seen["weight"].to_numpy())
     return model
 
 
 def toxicity_scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    label_id_col: str = "doc_id", sample: int = SAMPLE, entries: int = ENTRIES, threshold: float = 0.5,
+    label_id_col: str = "doc_id", sample: int = SAMPLE, threshold: float = 0.5,
 ) -> DataFrame:
     """One row for each document: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted.
 
     Only texts go into a score. Rows with crc32(id as text) mod 5 = 0 are held
     out: their labels are never read. A null text counts as empty; a text without
-    words has the difference 0. Rows that repeat come out as often; a null id counts
+    words has no evidence either way. Rows that repeat come out as often; a null id counts
     as empty text for the fold. Without labels of both classes every score is the
-    smoothed share of label 1. An empty table gives no rows; other columns are ignored.
+    smoothed share of label 1. Words over 256 bytes count as several. An empty table
+    gives no rows; other columns are ignored.
     """
-    return _scored(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), fit_toxicity(docs, labels, id_col, text_col, label_col, label_id_col, sample, entries), threshold)
-
-
-def _scored(rows: DataFrame, model: Model, threshold: float) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # its size is bounded by `entries`
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    model = fit_toxicity(docs, labels, id_col, text_col, label_col, label_id_col, sample)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1)))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1)))], ["doc_id", "score"])
 
-    return rows.select("doc_id", "text").mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double").select(
+    return rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double").select(
         "doc_id", (fold_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
 
 
 def drop_toxic(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    label_id_col: str = "doc_id", sample: int = SAMPLE, entries: int = ENTRIES, threshold: float = 0.5,
+    label_id_col: str = "doc_id", sample: int = SAMPLE, threshold: float = 0.5,
 ) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more, all columns as they came; no shuffle of texts."""
-    model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, id_col, text_col, label_col, label_id_col, sample, entries))
+    """``docs`` without the rows that score ``threshold`` or more, all columns as they came; no shuffle of texts.
+
+    Scores as in ``toxicity_scores``: a null or empty text has the score of no
+    evidence; rows that repeat go or stay together; ids play no part beyond the labels.
+    """
+    model = fit_toxicity(docs, labels, id_col, text_col, label_col, label_id_col, sample)
 
     @F.pandas_udf("double")
     def score(text):
         import pandas as pd
 
-        return pd.Series(model.value.scores(pa.array(text, pa.string())))
+        return pd.Series(model.scores(pa.array(text, pa.string())))
 
     return docs.where(score(text_of(text_col)) < threshold)
