@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, stored, text_of
-from .exact_dedup import without_ids
+from .exact_dedup import without_rows
 
 SEED = 42
 SHINGLE = 3
@@ -29,7 +29,7 @@ MAX_BITS_APART = 3
 PIVOTS = np.random.default_rng(20240607).integers(0, 1 << 64, 32, dtype=np.uint64)
 #: Buckets above this many fingerprints (or above a 65,536th of the dealt rows) are dealt anew by a longer mask.
 BUCKET = 4096
-MASK_LEVELS = 4
+MASK_LEVELS = 5
 
 
 def fingerprint(text: bytes) -> int:
@@ -53,15 +53,15 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp) for each row, fp as a signed long."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).cast("binary").alias("text"))
+    """(doc_id, text_hash, fp) for each row, fp as a signed long."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).cast("binary").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
 
 
 def masks(level: int) -> list[int]:
@@ -197,7 +197,7 @@ def near_links(distinct: DataFrame, rows: int, bucket: int = BUCKET) -> DataFram
 
     The first masks are longer for more rows. A bucket that is too large is dealt
     anew by the four extensions of its mask; the last level's masks leave at most
-    21 bits free, so no bucket there has over 2**21 fingerprints.
+    16 bits free, so no bucket there has over 2**16 fingerprints.
     """
     level = 1 if rows <= 1 << 22 else 2 if rows <= 1 << 36 else 3
     keyed = stored(_with_keys(distinct.select("fp"), level, False), "keys")
@@ -226,15 +226,19 @@ def near_links(distinct: DataFrame, rows: int, bucket: int = BUCKET) -> DataFram
 def components(links: DataFrame) -> DataFrame:
     """(fp, root) for each fingerprint that has a link; equal roots are connected.
 
-    Rounds of contraction: each node joins its smallest neighbour, links between
-    what has come together vanish. A round at least halves the nodes that still
-    have links. Each round is a stored table.
+    Rounds of randomised contraction (Boegeholz, Brand and Todor, 2020): a hash of the node and the
+    round ranks all nodes, each joins the first of itself and its neighbours, and links between what has
+    come together vanish. Whatever the order of the nodes, a round is expected to leave
+    at most three quarters of those that still have links. Each round is a stored table.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     live = stored(both, "live")
     names = None
+    turn = 0
     while not live.isEmpty():
-        parent = stored(live.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("parent")), "parent")
+        turn += 1
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("rank"), F.col(c).alias("node"))  # noqa: B023, E731
+        parent = stored(live.groupBy("a").agg(F.min(rank("b")).alias("low")).select("a", F.least(rank("a"), "low")["node"].alias("parent")), "parent")
         if names is None:
             names = stored(parent.select(F.col("a").alias("fp"), F.col("parent").alias("root")), "names")
         else:
@@ -250,6 +254,23 @@ def components(links: DataFrame) -> DataFrame:
     return names if names is not None else links.select(F.col("a").alias("fp"), F.col("b").alias("root"))
 
 
+def _led(docs: DataFrame, id_col: str, text_col: str, bucket: int) -> DataFrame:
+    """(doc_id, text_hash, fp, lead) of each row; ``lead`` is the row that names its component.
+
+    That is the one with the smallest id, null ids last, and of those the smallest text hash.
+    """
+    rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash"))
+    distinct = stored(rows.groupBy("fp").agg(first.alias("low"), F.count(F.lit(1)).alias("n")), "distinct")
+    names = components(near_links(distinct, distinct.count(), bucket))
+    named = stored(distinct.join(names, "fp").select("fp", "low", "n", "root"), "named")
+    groups = stored(named.groupBy("root").agg(F.min("low").alias("lead"), F.count(F.lit(1)).alias("fps")), "groups")
+    linked = attach(named, groups, "root", "fps", named.count()).select("fp", "n", "lead")
+    alone = distinct.join(names.select("fp"), "fp", "left_anti").select("fp", "n", F.col("low").alias("lead"))
+    facts = stored(linked.unionByName(alone), "facts")
+    return attach(rows, facts, "fp", "n", rows.count()).select("doc_id", "text_hash", "fp", "lead")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """One row for each input row: doc_id, fingerprint, component_id (smallest doc_id reachable).
 
@@ -258,23 +279,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     is no name: a component of null ids only has component_id null. Rows that
     repeat come out as often. An empty table gives no rows; other columns are ignored.
     """
-    rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "distinct")
-    names = components(near_links(distinct, distinct.count(), bucket))
-    named = stored(distinct.join(names, "fp").select("fp", "low", "n", "root"), "named")
-    groups = stored(named.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("fps")), "groups")
-    linked = attach(named, groups, "root", "fps", named.count()).select("fp", "n", "component_id")
-    alone = distinct.join(names.select("fp"), "fp", "left_anti").select("fp", "n", F.col("low").alias("component_id"))
-    facts = stored(linked.unionByName(alone), "facts")
-    return attach(rows, facts, "fp", "n", rows.count()).select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    return _led(docs, id_col, text_col, bucket).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("lead.doc_id").alias("component_id")
     )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """``docs`` with the smallest id of each component, all columns as they came.
+    """``docs`` with one row of each component, all columns as they came.
 
-    Rows with a null id stay, as do all rows that repeat a kept id.
+    The smallest id stays; of null ids only, the one with the smallest text hash; of rows that
+    repeat id and text, any one. Empty texts are one component. Texts don't shuffle, but for such repeated rows.
     """
-    found = simhash_components(docs, id_col, text_col, bucket)
-    return without_ids(docs, id_col, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+    found = _led(docs, id_col, text_col, bucket).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("lead.doc_id")) & (F.col("text_hash") == F.col("lead.text_hash")))
+    found = stored(found.select("doc_id", "text_hash", "kept"), "decided")
+    once = found.where("kept").groupBy("doc_id", "text_hash").count().where("count > 1")
+    return without_rows(docs, id_col, text_col, found.where(~F.col("kept")), once)
