@@ -53,17 +53,32 @@ def test_empty_and_null_ids(spark):
     assert exact_dedup.drop_exact_duplicates(nulls).count() == 2
 
 
-def test_without_ids(spark, docs):
-    ids = spark.createDataFrame([(3,), (2000,), (3000,)], "doc_id long")
-    left = [r.doc_id for r in exact_dedup.without_ids(docs, "doc_id", ids).collect()]
-    assert Counter(left) == Counter(r[0] for r in odd_rows() if r[0] not in (3, 2000, 3000))
+def test_without_rows(spark, docs):
+    """Rows go by id and text, null ids too; another text of the same id stays, and of repeated rows one."""
+    extra = spark.createDataFrame([(3, "another text", None, 1, 1), (None, "x", None, 1, 1), (None, "y", None, 1, 1), (7, "twice", None, 1, 1), (7, "twice", None, 1, 1)], SCHEMA)
+    every = docs.unionByName(extra.select(*docs.columns))
+    keys = lambda rows: every.where(rows).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    dropped = keys("doc_id in (2000, 3000) or doc_id = 3 and text <> 'another text' or doc_id is null and text = 'x'")
+    left = exact_dedup.without_rows(every, "doc_id", "text", dropped, keys("doc_id = 7 and text = 'twice'").distinct())
+    assert left.columns == every.columns
+    want = Counter(r[0] for r in odd_rows() if r[0] not in (3, 2000, 3000) and r[0] is not None) + Counter([3, 7])
+    got = Counter(r.doc_id for r in left.collect())
+    assert got - Counter([None] * got[None]) == want and left.where("doc_id is null and text = 'y'").count() == 1 and left.where("doc_id is null and text = 'x'").count() == 0
+
+
+def test_filters_by_parts(spark, docs):
+    """More rows than one filter holds: the same decisions by several filters."""
+    assert exact_dedup.filter_parts(10**10) == 1024 and exact_dedup.filter_parts(1000, max_bits=1 << 12) == 4
+    order = lambda df: sorted(map(str, df.collect()))
+    assert order(exact_dedup.exact_dedup(docs)) == order(exact_dedup.exact_dedup(docs, max_bits=1 << 12))
+    assert Counter(r.text for r in exact_dedup.drop_exact_duplicates(docs, max_bits=1 << 12).collect()) == Counter(r.text for r in exact_dedup.drop_exact_duplicates(docs).collect())
 
 
 def test_filter_passes_lone_rows(docs):
     """Rows without a copy mostly pass straight through, repeated ones never do."""
     digests = docs.select(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
     bits = exact_dedup.filter_bits(digests.count())
-    marked = exact_dedup.with_maybe(digests, exact_dedup.position_words(digests, bits, 2), bits, True)
+    marked = exact_dedup.with_maybe(digests, exact_dedup.position_words(digests, bits, 2), bits)
     rows = {r.doc_id: r.maybe for r in marked.collect()}
     assert all(rows[i] for i in range(300)) and rows[2000] and rows[2001] and not rows[2003]
 
@@ -108,3 +123,27 @@ def test_production_size_balance(spark):
     rows = sharding.shard_documents(docs).groupBy("shard").agg(F.sum("size").alias("b")).collect()
     sizes = [r.b for r in rows]
     assert len(sizes) == 16 and max(sizes) < 1.02 * min(sizes)
+
+
+def test_repeated_rows_are_spread(spark):
+    rows = [(i, f"text {i}") for i in range(1000)] + [(5000, "the same row again and again " * 20)] * 2000
+    found = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shards=16, slots=256)
+    sizes = [r.b for r in found.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert found.count() == 3000 and len(sizes) == 16 and max(sizes) < 1.1 * min(sizes)
+
+
+def test_map_versions(spark, tmp_path):
+    """A stored map is used again, another number of shards makes the next version, and a map without all slots is refused."""
+    docs = spark.range(2000).selectExpr("id AS doc_id", "repeat('ab ', cast(id % 90 as int)) AS text")
+    folder = f"file:{tmp_path}/maps"
+    first = sharding.shard_documents(docs, shards=4, slots=64, map_folder=folder)
+    again = sharding.shard_documents(docs, shards=4, slots=64, map_folder=folder)
+    assert sorted(map(str, first.collect())) == sorted(map(str, again.collect()))
+    more = sharding.shard_documents(docs, shards=5, slots=64, map_folder=folder)
+    assert {r.map_version for r in more.select("map_version").distinct().collect()} == {2} and more.select("shard").distinct().count() == 5
+    stay = first.select("virtual_slot", "shard").distinct().join(more.select("virtual_slot", F.col("shard").alias("now")).distinct(), "virtual_slot")
+    moved, kept = stay.where("shard <> now").count(), stay.where("shard = now").count()
+    assert 0 < moved < 0.5 * kept
+    assert sharding.read_map(spark, folder, 1).select("version").distinct().collect()[0].version == 1
+    with pytest.raises(ValueError, match="slots"):
+        sharding.shard_documents(docs, shards=4, slots=64, slot_map=sharding.read_map(spark, folder, 1).where("virtual_slot > 3"))

@@ -86,9 +86,19 @@ def test_links_of_chains(spark, bucket):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
 
 
+def test_ordered_chain_takes_few_rounds(spark, monkeypatch):
+    """A chain whose nodes stand in order: rounds grow with the logarithm of its length."""
+    made = []
+    keep = simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name: made.append(name) or keep(df, name))
+    links = spark.createDataFrame([(i, i + 1) for i in range(600)], "a long, b long")
+    roots = {r.root for r in simhash.components(links).collect()}
+    assert len(roots) == 1 and made.count("parent") <= 24
+
+
 def test_masks_cover_all_close_pairs():
     rng = np.random.default_rng(5)
-    for level in (1, 2, 3, 4):
+    for level in (1, 2, 3, 4, 5):
         masks = simhash.masks(level)
         for _ in range(200):
             diff = 0
