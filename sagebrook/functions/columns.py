@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 
 from . import rules
 
-_FULL_DIGITS = "０１２３４５６７８９"
 _ANY_SPACE = r"(?U)\s+"
 
 
@@ -146,21 +145,31 @@ def registrable_domain(host_name: Column) -> Column:
     return F.array_join(F.slice(parts, F.greatest(F.lit(1), n - F.when(long, 2).otherwise(1)), 3), ".")
 
 
+def _encoded(text: Column, safe: str) -> Column:
+    """Percent-encoded UTF-8 but for letters, digits, ``_.-~`` and ``safe``."""
+    out = F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    for letter in sorted(safe.replace("%", "")):
+        out = F.replace(out, F.lit(f"%{ord(letter):02X}"), F.lit(letter))
+    return F.replace(out, F.lit("%25"), F.lit("%")) if "%" in safe else out  # last, so that what was encoded stays
+
+
 def safe_url(url: Column) -> Column:
-    """what isn't allowed in a URL's path and query, percent-encoded; ``/%:@?&=#`` and what is encoded stay."""
-    encoded = F.regexp_replace(F.url_encode(url), r"\+", "%20")
-    kept = {"%2F": "/", "%25": "%", "%3A": ":", "%40": "@", "%3F": "?", "%26": "&", "%3D": "=", "%23": "#", "%7E": "~", "%2C": ",", "%3B": ";", "%2B": "+"}
-    return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), kept.items(), encoded)
+    """path and query percent-encoded but for ``/%:@`` and ``=&%:@/?``; scheme, host and fragment as they are."""
+    pattern = r"(?s)^([^:/?#]+:)?(//[^/?#]*)?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+    url = strip(url)
+    part = lambda k: F.regexp_extract(url, pattern, k)
+    after = lambda mark, text: F.when(text == "", text).otherwise(F.concat(F.lit(mark), text))
+    return F.concat(F.lower(part(1)), part(2), _encoded(part(3), "/%:@"), after("?", _encoded(part(4), "=&%:@/?")), after("#", part(5)))
 
 
-def absolute_url(href: Column, base: Column) -> Column:
-    """``href`` seen from page ``base``, without its fragment."""
+def absolute_url(href: Column, base: Column, fragment: bool = False) -> Column:
+    """``href`` seen from page ``base``, without its fragment unless ``fragment`` is set."""
     plain = F.regexp_replace(href, "#.*$", "")
     scheme = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)
     site = F.regexp_extract(base, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)", 1)
     folder = F.regexp_replace(F.regexp_replace(base, "[?#].*$", ""), "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/]+/(?:.*/)?)[^/]*$", "$1")
     folder = F.when(folder.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]+$"), F.concat(folder, F.lit("/"))).otherwise(folder)
-    return (
+    whole = (
         F.when(plain.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), plain)
         .when(plain.startswith("//"), F.concat(scheme, F.lit(":"), plain))
         .when(plain.startswith("/"), F.concat(site, plain))
@@ -168,23 +177,27 @@ def absolute_url(href: Column, base: Column) -> Column:
         .when(plain.startswith("?"), F.concat(F.regexp_replace(base, "[?#].*$", ""), plain))
         .otherwise(F.concat(folder, plain))
     )
+    return F.concat(whole, F.regexp_extract(href, "(#.+)$", 1)) if fragment else whole
 
 
 def normal_year(raw: Column) -> Column:
-    """notations of an era year to one; what isn't known stays. Null and empty give empty."""
-    year = F.translate(strip(F.coalesce(raw, F.lit(""))), _FULL_DIGITS, "0123456789")
+    """notations of an era year to one; what isn't known stays. Null and empty give empty.
+
+    Digits of any script count as digits, but only ASCII years have an era; none is rewritten.
+    """
+    year = strip(F.coalesce(raw, F.lit("")))
 
     def era(digits: Column) -> Column:
-        n = digits.try_cast("int") - 2018
+        n = F.when(digits.rlike("^[0-9]+$"), digits).try_cast("int") - 2018
         return F.when(n == 1, F.lit("令和元年度")).when(n.between(2, 12), F.concat(F.lit("令和"), n.cast("string"), F.lit("年度"))).otherwise(year)
 
-    western = "^([0-9]{4})年(?:度|[0-9]+月入学)$"
+    western = r"(?U)^(\d{4})年(?:度|\d+月入学)$"
     return (
-        F.when(year.rlike("^(令和|平成)[0-9]+年度$"), year)
+        F.when(year.rlike(r"(?U)^(令和|平成)\d+年度$"), year)
         .when(year.rlike(western), era(F.regexp_extract(year, western, 1)))
-        .when(year.rlike("^[Rr][0-9]{1,2}(年度)?$"), F.concat(F.lit("令和"), F.regexp_extract(year, "([0-9]+)", 1), F.lit("年度")))
-        .when(year.rlike("^令和[0-9]+年度[（(].*[）)]"), F.regexp_extract(year, "^(令和[0-9]+年度)", 1))
-        .when(year.rlike("^令和[0-9]+$"), F.concat(year, F.lit("年度")))
+        .when(year.rlike(r"(?U)^[Rr]\d{1,2}(年度)?$"), F.concat(F.lit("令和"), F.regexp_extract(year, r"(?U)(\d+)", 1), F.lit("年度")))
+        .when(year.rlike(r"(?U)^令和\d+年度[（(].*[）)]"), F.regexp_extract(year, r"(?U)^(令和\d+年度)", 1))
+        .when(year.rlike(r"(?U)^令和\d+$"), F.concat(year, F.lit("年度")))
         .otherwise(year)
     )
 

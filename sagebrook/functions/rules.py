@@ -109,7 +109,10 @@ CHUNK_TEXT_TAGS = {
 SCOPE_LABELS = {"undergraduate": "学部", "graduate": "大学院・研究科", "combined": "学部・大学院"}
 UNDERGRADUATE_PATTERN, GRADUATE_PATTERN = "学部|学科|学群|学類", "研究科|大学院|専攻|修士|博士"
 # Headings of sections, for a line without its outer white space.
-HEADING_PATTERN = "^(第[0-9]+章.+|第[0-9]+節.+|[(（][0-9]+[)）].+|[0-9]+\\..+|[■□●○◆◇].+|【.+】|〔.+〕)"
+HEADING_PATTERNS = (
+    r"^第\d+章\s*.+", r"^第\d+節\s*.+", r"^[\(（]\d+[\)）]\s*.+", r"^\d+\.\s*.+", r"^\d+\.\d+\s*.+",
+    r"^[■□●○◆◇]\s*.+", r"^【.+】", r"^〔.+〕",
+)
 FIRST_HEADING = "冒頭"
 SENTENCE_ENDS = ("。", "！", "？", "\n")
 # Names that are no units.
@@ -144,4 +147,4 @@ QUERY_YEAR_PATTERN = "令和[0-9]+年度|平成[0-9]+年度|[0-9]{4}年度"
 # Second-level labels under which a domain has three labels.
 SECOND_LEVEL = ("ac", "co", "or", "go", "ne")
 # Files that are no pages.
-BINARY_SUFFIXES = (".pdf", ".jpg", ".jpeg", ".png", ".gif", ".zip", ".doc", ".docx", ".xls", ".xlsx", ".ppt")
+BINARY_SUFFIXES = (".pdf", ".jpg", ".jpeg", ".png", ".gif", ".zip", ".xlsx", ".xls", ".docx", ".doc", ".pptx")

@@ -175,6 +175,25 @@ def score_bands(df: DataFrame, score: str, high: float = 0.85, low: float = 0.75
     return share_of_total(df.withColumn("band", band), ["band"])
 
 
+def evaluation_means(df: DataFrame, metrics: Sequence[str], latency: str, by: Sequence[str] = ()) -> DataFrame:
+    """Questions, the mean of each metric and of all of them together, and the mean latency; nulls don't count."""
+    each = F.array_compact(F.array(*[F.col(m).cast("double") for m in metrics]))
+    own = F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(each), F.lit(0))
+    mean = lambda c, name: F.round(F.avg(c), 4).alias(name)
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("questions"), *[mean(F.col(m), m) for m in metrics], mean(own, "overall"), mean(F.col(latency), "latency"))
+
+
+def entity_documents(df: DataFrame, entity: str, documents: Column, complete: Column) -> DataFrame:
+    """Documents of each entity and whether all its rows are complete; the row without an entity is the total."""
+    n = F.coalesce(F.sum(documents), F.lit(0)).cast("long")
+    return df.rollup(entity).agg(n.alias("documents"), F.bool_and(F.coalesce(complete, F.lit(False))).alias("complete"))
+
+
+def outdated_by(df: DataFrame, by: Sequence[str], year: str) -> DataFrame:
+    """Outdated documents by entity and year."""
+    return df.where(C.outdated_year(F.col(year))).groupBy(*by, year).agg(F.count(F.lit(1)).alias("n"))
+
+
 def edges_three_way(edges: DataFrame, docs: DataFrame, units: DataFrame, doc_key: str, unit_key: str, where: Column | None = None) -> DataFrame:
     """Edges with their document and their unit; the filter is pushed below the joins where it can be."""
     out = edges.join(docs, doc_key).join(units, unit_key)
@@ -246,15 +265,24 @@ def authoritative_merge(authority: DataFrame, gaps: DataFrame, keys: Sequence[st
 def field_peers(profiles: DataFrame, key: str, entity: str, field: str, most: int = 8) -> DataFrame:
     """For each profile up to ``most`` profiles of other entities with the most shared fields.
 
-    ``profiles`` has a row for each profile and field. Profiles meet by field;
-    a field that very many share makes many pairs, so pass distinguishing fields.
+    ``profiles`` has a row for each profile and field; repeated rows count once. Profiles meet by field and by a
+    part of the other's key, so that the pairs of a field that very many share are made by
+    many tasks; the number of pairs is that of the question itself. Counts combine before they move.
     """
-    a = profiles.select(F.col(key).alias("profile"), F.col(entity).alias("of"), field)
-    b = profiles.select(F.col(key).alias("peer"), F.col(entity).alias("other"), field)
-    pairs = a.join(b, field).where("of <> other").groupBy("profile", "peer").agg(F.count_distinct(field).alias("shared"))
+    parts = 16
+    once = profiles.select(key, entity, field).distinct()
+    a = once.select(F.col(key).alias("profile"), F.col(entity).alias("of"), field, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    b = once.select(F.col(key).alias("peer"), F.col(entity).alias("other"), field, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"))
+    pairs = a.join(b, [field, "part"]).where("of <> other").groupBy("profile", "peer").agg(F.count(F.lit(1)).alias("shared"))
     return top_per_key(pairs, ["profile"], most, F.desc("shared"), F.col("peer"), rank="rank")
 
 
+def completed_profiles(df: DataFrame, name: str, sub: str, affiliation: str, suffix: str) -> DataFrame:
+    """Names without prefix and brackets; a missing sub-unit is the token of the affiliation that ends in ``suffix``."""
+    found = F.nullif(C.suffix_token(F.col(affiliation), suffix), F.lit(""))
+    return df.withColumns({name: C.clean_entity_name(F.col(name)), sub: F.coalesce(F.nullif(F.col(sub), F.lit("")), found)})
+
+
 def text_search(df: DataFrame, columns: Sequence[str], query: str) -> DataFrame:
     """Rows of which any column holds the query, in any case."""
     return df.where(F.contains(F.lower(F.concat_ws("\n", *columns)), F.lit(query.lower())))
@@ -264,3 +292,19 @@ def season_pivot(entries: DataFrame, by: str, month: Column, kind: str, kinds: S
     """Entries by season and type."""
     season = F.when(month.between(3, 5), "spring").when(month.between(6, 8), "summer").when(month.between(9, 11), "autumn").otherwise("winter")
     return entries.groupBy(by, season.alias("season")).pivot(kind, list(kinds)).count().fillna(0, subset=list(kinds))
+
+
+def nested_season_pivot(df: DataFrame, by: str, entries: str, kinds: Sequence[str], month: str = "month", kind: str = "kind", amount: str = "amount") -> DataFrame:
+    """Entries of an array of structs by season and type, with the sum of their amounts; null arrays have none."""
+    rows = df.select(by, F.explode(entries).alias("e")).select(by, *[F.col(f"e.{c}").alias(c) for c in (month, kind, amount)])
+    m = F.col(month)
+    season = F.when(m.between(3, 5), "spring").when(m.between(6, 8), "summer").when(m.between(9, 11), "autumn").otherwise("winter")
+    counts = [F.count_if(F.col(kind) == F.lit(k)).alias(k) for k in kinds]
+    return rows.groupBy(by, season.alias("season")).agg(*counts, F.sum(amount).alias("total"))
+
+
+def nested_shares(df: DataFrame, entries: str, fields: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Elements of an array of structs, and the percentage of them with each field neither null nor empty."""
+    rows = df.select(*by, F.explode(entries).alias("e"))
+    filled = {f: F.coalesce(F.col(f"e.{f}").cast("string") != "", F.lit(False)) for f in fields}
+    return shares(rows, filled, by)

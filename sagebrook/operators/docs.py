@@ -32,7 +32,7 @@ def sections(docs: DataFrame, key: str, text: str, heading: Column | None = None
     Lines shuffle once, by document. ``heading`` is a condition on ``line``.
     """
     stripped = C.strip(F.col("line"))
-    is_heading = (stripped.rlike(rules.HEADING_PATTERN) & (F.length(stripped) > 2)) if heading is None else heading
+    is_heading = (stripped.rlike("(?U)" + "|".join(rules.HEADING_PATTERNS)) & (F.length(stripped) > 2)) if heading is None else heading
     own = Window.partitionBy(key).orderBy("line_no")
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
     page = F.last(F.regexp_extract("line", PAGE_MARKER, 1).try_cast("int"), ignorenulls=True)

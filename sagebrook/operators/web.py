@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 from .common import first_per_key, top_per_key
 
-_CUT = r"(?is)<!--.*?-->|<(script|style|nav|footer|header|aside|iframe)\b[^>]*>.*?</\1\s*>"
-_BLOCK = r"(?is)<(h[1-4]|p|li)\b[^>]*>(.*?)(?=</\1\s*>|<(?:h[1-4]|p|li|ul|ol|div|article|section|table)\b|$)"
 _ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']+)["'][^>]*>(.*?)</a\s*>"""
 #: Entities of HTML that texts commonly hold.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
@@ -28,23 +30,88 @@ def plain(html: Column) -> Column:
     return C.strip(F.regexp_replace(unescaped(F.regexp_replace(html, r"(?s)<[^>]*>", " ")), r"(?U)\s+", " "))
 
 
-def html_to_markdown(html: Column, url: Column) -> Column:
-    """H1: headings, paragraphs, list items and links as lines; scripts, styles and page furniture cut out first.
-
-    An item that holds a link gives its own line and, as it stands inside, the link's text within it.
+#: Elements whose content is no text of the page, those that make a line, and those without an end.
+FURNITURE = frozenset(("script", "style", "nav", "footer", "header", "aside", "iframe"))
+LINES = frozenset(("h1", "h2", "h3", "h4", "p", "li", "a"))
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+
+
+class _Outline(HTMLParser):
+    """Lines of one page. Open elements lie on a stack; an end tag closes all above the last element of its name."""
+
+    def __init__(self, url: str):
+        super().__init__(convert_charrefs=True)
+        self.url, self.lines, self.stack, self.text = url, [], [], ""
+        self.hidden = 0
+
+    def _text(self) -> None:
+        piece, self.text = self.text.strip(), ""
+        if piece and not self.hidden:
+            for _, line in self.stack:
+                if line is not None:
+                    line[2].append(piece)
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self._text()
+        line = None
+        if tag in LINES and not self.hidden:
+            line = (tag, dict(reversed(attrs)).get("href") or "", [])
+            self.lines.append(line)
+        if tag not in VOID:
+            self.stack.append((tag, line))
+            self.hidden += tag in FURNITURE
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
+
+    def handle_endtag(self, tag: str) -> None:
+        self._text()
+        if any(name == tag for name, _ in self.stack):
+            while (name := self.stack.pop()[0]) is not None:
+                self.hidden -= name in FURNITURE
+                if name == tag:
+                    break
+
+    def handle_data(self, data: str) -> None:
+        self.text += data
+
+    def handle_comment(self, data: str) -> None:
+        self._text()
+
+    def markdown(self) -> str:
+        self._text()
+        out = []
+        for tag, href, pieces in self.lines:
+            text = "".join(pieces)
+            if text and tag != "a":
+                out.append("- " + text if tag == "li" else text if tag == "p" else "#" * int(tag[1]) + " " + text)
+            elif text and href:
+                try:
+                    out.append(f"[{text}]({urljoin(self.url, href)})")
+                except ValueError:  # no URL at all
+                    out.append(f"[{text}]({href})")
+        return "\n".join(out)
+
+
+@F.pandas_udf(T.StringType())
+def html_to_markdown(html: pd.Series, url: pd.Series) -> pd.Series:
+    """H1: headings, paragraphs, list items and links as lines, in the order in which they begin; scripts, styles and page furniture cut out first.
+
+    An element inside another gives a line of its own; a link's line is ``[text](absolute URL)``, its text that
+    of all pieces between tags, each without outer white space. Elements nest as the mark-up says, and unclosed ones
+    end with what they stand in; regular expressions can't follow that, so pages are parsed, in Arrow batches. Null stays null.
     """
-    body = F.regexp_replace(html, _CUT, " ")
-    linked = F.regexp_replace(body, _ANCHOR, "[$2]($1)")
-    tags = F.regexp_extract_all(linked, F.lit(_BLOCK), 1)
-    texts = F.regexp_extract_all(linked, F.lit(_BLOCK), 2)
 
-    def line(tag: Column, text: Column) -> Column:
-        words = plain(text)
-        level = F.lower(tag)
-        mark = F.when(level.startswith("h"), F.concat(F.repeat(F.lit("#"), F.substr(level, F.lit(2)).try_cast("int")), F.lit(" "))).when(level == "li", "- ").otherwise("")
-        return F.when(words != "", F.concat(mark, words)).otherwise("")
+    def one(page: str | None, at: str | None) -> str | None:
+        if page is None:
+            return None
+        outline = _Outline(at or "")
+        outline.feed(page)
+        outline.close()
+        return outline.markdown()
 
-    return F.array_join(F.filter(F.zip_with(tags, texts, line), lambda x: x != ""), "\n")
+    return pd.Series([one(h, u) for h, u in zip(html, url)], dtype="object")
 
 
 def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -111,6 +178,17 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int, most: int | None =
     return found
 
 
+def sitemap_pages(sitemaps: DataFrame, seeds: DataFrame, key: str, body: str, depth: int = 5, most: int = 3000) -> DataFrame:
+    """H6: (loc, depth): page URLs of the ``seeds`` (node) and of all sitemaps that they and their children name.
+
+    ``sitemaps`` has a row for each fetched sitemap: its URL and its body. A sitemap is opened once.
+    """
+    found = sitemap_urls(sitemaps, key, body, most)
+    indexes = found.where("is_sitemap").select(F.col(key).alias("src"), F.col("loc").alias("dst"), "pos")
+    opened = reachable(indexes, seeds, depth).select(F.col("node").alias(key), "depth")
+    return found.where(~F.col("is_sitemap")).join(opened, key).groupBy("loc").agg(F.min("depth").alias("depth"))
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """A checkpoint where the session has a folder for it; else the plan as it is."""
     sc = df.sparkSession.sparkContext

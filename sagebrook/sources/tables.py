@@ -93,17 +93,16 @@ def upsert(target: DataFrame, changes: DataFrame, keys: Sequence[str], order: Co
 
     Missing key parts equal missing ones. Of changes with the same key the last
     in ``order`` counts. A changed row takes each value that isn't null. One
-    shuffle by key on either side; all key parts are folded into one struct,
-    which compares null-safe and lets the join hash.
+    shuffle by key on either side; keys meet as they are, null-safe.
     """
-    key = F.struct(*[F.col(k) for k in keys])
     values = [c for c in target.columns if c not in keys]
     fresh = changes.select(*target.columns, *([order.alias("_order")] if order is not None else []))
     latest = Window.partitionBy(*keys).orderBy(F.col("_order").desc() if order is not None else F.xxhash64(*values))
-    fresh = fresh.withColumn("_n", F.row_number().over(latest)).where("_n = 1").select(F.to_json(key, {"ignoreNullFields": "false"}).alias("_key"), F.struct(*target.columns).alias("new"))
-    old = target.select(F.to_json(key, {"ignoreNullFields": "false"}).alias("_key"), F.struct(*target.columns).alias("old"))
+    fresh = fresh.withColumn("_n", F.row_number().over(latest)).where("_n = 1").select(*[F.col(k).alias(f"_new_{k}") for k in keys], F.struct(*target.columns).alias("new"))
+    old = target.select(*[F.col(k).alias(f"_old_{k}") for k in keys], F.struct(*target.columns).alias("old"))
+    same = reduce(Column.__and__, [F.col(f"_old_{k}").eqNullSafe(F.col(f"_new_{k}")) for k in keys])
     action = F.when(F.col("old").isNull(), "inserted").when(F.col("new").isNotNull(), "updated").otherwise("kept")
-    return old.join(fresh, "_key", "full_outer").select(*[F.coalesce(f"new.{c}", f"old.{c}").alias(c) for c in target.columns], action.alias("action"))
+    return old.join(fresh, same, "full_outer").select(*[F.coalesce(f"new.{c}", f"old.{c}").alias(c) for c in target.columns], action.alias("action"))
 
 
 def load_statistics(merged: DataFrame) -> DataFrame:
@@ -112,7 +111,7 @@ def load_statistics(merged: DataFrame) -> DataFrame:
 
 
 def versioned_insert(stored: DataFrame, crawled: DataFrame, url: str, content: str, at: str) -> DataFrame:
-    """(url, content_hash, first_seen, last_seen, versions): the same content again only moves last_seen."""
+    """(url, content_hash, first_seen, last_seen, times): the same content again only moves last_seen."""
     pair = lambda df: df.select(F.col(url).alias("url"), C.content_hash(F.col(content)).alias("content_hash"), F.col(at).alias("at"))
     seen = pair(stored).unionByName(pair(crawled))
     return seen.groupBy("url", "content_hash").agg(F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), F.count(F.lit(1)).alias("times"))

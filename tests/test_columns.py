@@ -14,8 +14,8 @@ def each(spark, values, column, kind="string"):
 
 
 def test_normal_year(spark):
-    given = ["2025年度", "2026年10月入学", "R7", "r8年度", "R07", "令和8年度（2026年度）", "令和7", "平成27年度", "令和元年度", "不明", "2040年度", "2019年度", "令和７年度", "", None]
-    want = ["令和7年度", "令和8年度", "令和7年度", "令和8年度", "令和07年度", "令和8年度", "令和7年度", "平成27年度", "令和元年度", "不明", "2040年度", "令和元年度", "令和7年度", "", ""]
+    given = ["2025年度", "2026年10月入学", "R7", "r8年度", "R07", "令和8年度（2026年度）", "令和7", "平成27年度", "令和元年度", "不明", "2040年度", "2019年度", "令和７年度", "平成２９年度", "２０４０年度", "２０２５年度", "", None]
+    want = ["令和7年度", "令和8年度", "令和7年度", "令和8年度", "令和07年度", "令和8年度", "令和7年度", "平成27年度", "令和元年度", "不明", "2040年度", "令和元年度", "令和７年度", "平成２９年度", "２０４０年度", "２０２５年度", "", ""]
     assert each(spark, given, C.normal_year) == want
 
 
@@ -137,3 +137,23 @@ def test_titles(spark):
     assert each(spark, ["1\n令和8年度\n学生募集要項について\nx", ""], C.title_of_text) == ["令和8年度 学生募集要項について", ""]
     rows = spark.createDataFrame([("Microsoft Word - x", "a"), ("file_name", "a"), ("募集要項", "こちら"), ("短い", "とても長いリンクのテキスト"), ("", "x"), (None, "x")], "n string, o string")
     assert [r.b for r in rows.select(C.better_title(F.col("n"), F.col("o")).alias("b")).collect()] == [False, False, True, False, False, False]
+
+
+def test_safe_url(spark):
+    given = ["https://a.jp/募集 要項*.pdf?q=a+b,c;d&e=%2F#章 1", "http://a.jp/%E5%8B%9F:@,;+?", " HTTPS://a.jp/~x/%25 "]
+    want = [
+        "https://a.jp/%E5%8B%9F%E9%9B%86%20%E8%A6%81%E9%A0%85%2A.pdf?q=a%2Bb%2Cc%3Bd&e=%2F#章 1", "http://a.jp/%E5%8B%9F:@%2C%3B%2B", "https://a.jp/~x/%25",
+    ]
+    assert each(spark, given, C.safe_url) == want
+
+
+def test_page_link(spark):
+    urls = ["https://a.jp/x.pptx", "https://a.jp/x.PDF?y", "https://a.jp/x.ppt", "https://b.jp/x", "https://a.jp/p#q", "https://a.jp/x"]
+    assert each(spark, urls, lambda u: P.page_link(u, F.lit("https://a.jp/p"), F.lit("a.jp"))) == [False, False, True, False, False, True]
+
+
+def test_scans_and_numbers(spark):
+    rows = spark.createDataFrame([(0, "", "x", 499), (0, None, "x" * 100, 900), (1, "", "", 900), (0, "", "", 900)], "n int, notes string, text string, chars int")
+    assert [r.s for r in rows.select(C.likely_scan(F.col("n"), F.col("notes"), F.col("text"), F.col("chars")).alias("s")).collect()] == [True, False, False, True]
+    values = F.array(F.lit("12"), F.lit("若干名"), F.lit(None), F.lit("30"))
+    assert each(spark, ["x"], lambda x: C.capacity_sum(values)) == [42] and each(spark, ["x"], lambda x: C.first_present(F.array(F.lit(None), F.lit(""), x))) == ["x"]

@@ -154,6 +154,89 @@ def test_upsert(spark):
     assert sorted((r.a, r.v) for r in again.collect()) == sorted((r.a, r.v) for r in merged.collect())
 
 
+def test_upsert_tells_microseconds_apart(spark):
+    import datetime
+
+    at = lambda us: datetime.datetime(2024, 1, 1, 0, 0, 0, us)
+    old = spark.createDataFrame([(at(123456), 1), (at(123999), 2)], "t timestamp, v int")
+    new = spark.createDataFrame([(at(123456), 9)], "t timestamp, v int")
+    assert sorted((r.v, r.action) for r in S.upsert(old, new, ["t"]).collect()) == [(2, "kept"), (9, "updated")]
+
+
+def test_markdown_of_all_pages(spark):
+    """Against a tree of nodes that is searched from its root, on all pages; unclosed elements end with their parent."""
+    import html
+    import re
+    import urllib.parse
+
+    void = set("area base br col embed hr img input link meta param source track wbr".split())
+
+    def tree(page):
+        root = ["", "", []]
+        path = [root]
+        at = 0
+        raw = re.compile(r"(?is)(<script\b[^>]*>)(.*?)(</script\s*>)|(<style\b[^>]*>)(.*?)(</style\s*>)")
+        page = raw.sub("", page)
+        for m in re.finditer(r"(?s)<!--.*?-->|<![^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", page):
+            path[-1][2].append(html.unescape(page[at : m.start()]).strip())
+            at, name = m.end(), (m[2] or "").lower()
+            if name and m[1]:
+                if name in [n[0] for n in path]:
+                    while path.pop()[0] != name:
+                        pass
+            elif name:
+                href = re.search(r"""(?i)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", m[3])
+                node = [name, html.unescape(next((g for g in href.groups() if g), "")) if href else "", []]
+                path[-1][2].append(node)
+                if name not in void:
+                    path.append(node)
+        path[-1][2].append(html.unescape(page[at:]).strip())
+        return root
+
+    def text(node):
+        return "".join(c if isinstance(c, str) else text(c) for c in node[2] if isinstance(c, str) or c[0] not in cut)
+
+    def lines(node, url):
+        for c in node[2]:
+            if isinstance(c, str) or c[0] in cut:
+                continue
+            if t := c[0] in {"h1", "h2", "h3", "h4", "p", "li", "a"} and text(c):
+                if c[0] != "a":
+                    yield "- " + t if c[0] == "li" else t if c[0] == "p" else "#" * int(c[0][1]) + " " + t
+                elif c[1]:
+                    yield f"[{t}]({urllib.parse.urljoin(url, c[1])})"
+            yield from lines(c, url)
+
+    cut = {"script", "style", "nav", "footer", "header", "aside", "iframe"}
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.m for r in pages.select("page_id", W.html_to_markdown(F.col("html"), F.col("url")).alias("m")).collect()}
+    assert len(got) == 250 and all(got[p.page_id] == "\n".join(lines(tree(p.html), p.url)) for p in pages.collect())
+
+
+def test_sitemap_pages(spark):
+    maps = spark.createDataFrame([("i.xml", "<loc>a.xml</loc><loc>b.xml</loc><loc>https://x/1</loc>"), ("a.xml", "<loc>https://x/2</loc><loc>i.xml</loc>"), ("b.xml", "<loc>https://x/2</loc>"), ("c.xml", "<loc>https://x/3</loc>")], "map string, body string")
+    found = W.sitemap_pages(maps, spark.createDataFrame([("i.xml",)], "node string"), "map", "body")
+    assert sorted((r["loc"], r.depth) for r in found.collect()) == [("https://x/1", 0), ("https://x/2", 1)]
+
+
+def test_field_peers_against_all_pairs(spark):
+    import itertools
+    import random
+    from collections import Counter, defaultdict
+
+    rng = random.Random(2)
+    rows = [(k, k % 5, rng.choice([0, rng.randint(1, 12)])) for k in range(60) for _ in range(6)]
+    fields = defaultdict(set)
+    for k, _, f in rows:
+        fields[k].add(f)
+    want = set()
+    for k in fields:
+        shared = Counter({p: len(fields[k] & fields[p]) for p in fields if p % 5 != k % 5 and fields[k] & fields[p]})
+        want |= {(k, p, n) for p, n in itertools.islice(sorted(shared.items(), key=lambda x: (-x[1], x[0])), 8)}
+    got = V.field_peers(spark.createDataFrame(rows, "k int, e int, f int"), "k", "e", "f").collect()
+    assert {(r.profile, r.peer, r.shared) for r in got} == want
+
+
 def test_versions(spark):
     schema = "u string, c string, t int"
     old = spark.createDataFrame([("a", "x", 1)], schema)
@@ -179,7 +262,10 @@ def test_web(spark):
     html = '<nav><a href="/n">n</a></nav><h2>T &amp; U</h2><p>one <b>two</b></p><ul><li><a href="x.pdf">doc</a></li></ul><script>var a="<p>no</p>"</script>'
     pages = spark.createDataFrame([(1, "https://a.jp/d/", html)], "page_id int, url string, html string")
     md = pages.select(W.html_to_markdown(F.col("html"), F.col("url")).alias("m")).first().m
-    assert md == "## T & U\none two\n- [doc](x.pdf)"
+    assert md == "## T & U\nonetwo\n- doc\n[doc](https://a.jp/d/x.pdf)"
+    more = '<p>Look <a href="/x#y">here</a> now</p><div><a href=/y>Bare</a><a>none</a></div><li><p> in </p><b>side</b></li><p></p>'
+    md = spark.createDataFrame([(more,)], "html string").select(W.html_to_markdown(F.col("html"), F.lit("https://a.jp/d/")).alias("m")).first().m
+    assert md == "Lookherenow\n[here](https://a.jp/x#y)\n[Bare](https://a.jp/y)\n- inside\nin"
     links = W.page_links(pages)
     assert sorted((r.link_text, r.link_url) for r in links.collect()) == [("doc", "https://a.jp/d/x.pdf"), ("n", "https://a.jp/n")]
     assert W.best_link(links, "page_id", ".pdf", ("doc",)).first().score == 13
