@@ -41,8 +41,7 @@ def coverage_by_entity(spark, d):
 
 @query(BY_ENTITY_SQL + " SELECT n_name, total, covered_n, uncovered_n, pct, r_name AS region FROM e")
 def coverage_worst_first(spark, d):
-    out = V.coverage(units(spark, d), ["n_name"]).join(units(spark, d).groupBy("n_name").agg(F.max_by("r_name", "c_custkey").alias("region")), "n_name")
-    return out.orderBy("pct", "n_name")
+    return V.coverage(units(spark, d), ["n_name", "r_name"]).withColumnRenamed("r_name", "region").orderBy("pct", "n_name")
 
 
 @query(BY_ENTITY_SQL + ' SELECT count(*) FILTER (pct = 100) AS "full", count(*) FILTER (pct > 0 AND pct < 100) AS partial, count(*) FILTER (pct = 0) AS "none", count(*) AS entities FROM e')
@@ -353,11 +352,11 @@ def ranked_listing(spark, d):
     return top.select("s_suppkey", "s_name", "s_acctbal", F.row_number().over(Window.orderBy(F.col("ranked").asc_nulls_last(), "s_name", "s_suppkey")).cast("long").alias("place"))  # 50 rows
 
 
-@query("""WITH f AS (SELECT DISTINCT l_suppkey AS k, s_nationkey AS e, l_partkey AS p FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity >= 45),
+@query("""WITH f AS (SELECT DISTINCT l_suppkey AS k, s_nationkey AS e, l_partkey AS p FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
  n AS (SELECT a.k AS profile, b.k AS peer, count(DISTINCT a.p) AS shared FROM f a JOIN f b ON a.p = b.p AND a.e <> b.e GROUP BY 1, 2)
  SELECT profile, peer, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY shared DESC, peer) AS rank FROM n) WHERE rank <= 8""")
 def shared_field_peers(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity >= 45").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("field"))
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("field"))
     named = rows.join(small(table(spark, d, "supplier").select("s_suppkey", "s_nationkey")), "s_suppkey").distinct()
     return V.field_peers(named, "s_suppkey", "s_nationkey", "field")
 
@@ -369,9 +368,9 @@ def authoritative_merge(spark, d):
     return V.authoritative_merge(own, other, ["c_nationkey", "c_custkey"])
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(concat_ws(chr(10), p_name, p_brand, p_type)), 'steel')")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(concat_ws(chr(10), p_name, p_brand, p_type)), 'widget')")
 def profile_search(spark, d):
-    return V.text_search(table(spark, d, "part"), ["p_name", "p_brand", "p_type"], "STEEL").select("p_partkey", "p_name")
+    return V.text_search(table(spark, d, "part"), ["p_name", "p_brand", "p_type"], "WIDGET").select("p_partkey", "p_name")
 
 
 SEASON_SQL = "CASE WHEN month(o_orderdate) BETWEEN 3 AND 5 THEN 'spring' WHEN month(o_orderdate) BETWEEN 6 AND 8 THEN 'summer' WHEN month(o_orderdate) BETWEEN 9 AND 11 THEN 'autumn' ELSE 'winter' END"
