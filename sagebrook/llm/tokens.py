@@ -11,7 +11,7 @@ import pyarrow as pa
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 #: Bytes of text that one vectorised step takes; a longer text is cut into several.
-STEP = 1 << 20
+STEP = 1 << 19
 #: Runs of letters, digits or signs longer than this count as several.
 LONGEST_RUN = 1 << 8
 

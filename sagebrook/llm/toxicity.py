@@ -45,8 +45,8 @@ ORDER = 12
 DISCOUNT = 0.75
 #: So many of a text's most telling words, and pairs, are summed.
 TELLING = 3
-#: Entries of a shard of the model, about.
-SHARD = 1 << 22
+#: Entries of a shard of the model, about, and grams that are worked on at once.
+SHARD, SLICE = 1 << 18, 1 << 16
 #: Sets the keys of contexts apart from those of grams.
 CONTEXT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -351,13 +351,19 @@ def count_model(texts: DataFrame, order: int = ORDER) -> Model:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        table = pa.Table.from_batches(got)
-        key, weight = gram_weights(table["gram"].combine_chunks(), table["toxic"].to_numpy(), table["plain"].to_numpy(), shares, order)
-        out = pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(weight)], ["key", "weight"])
-        yield from (out.slice(at, 1 << 16) for at in range(0, len(key), 1 << 16))
+        table = pa.Table.from_batches(got)  # rows of equal tails stand together
+        tails = table["tails"].to_numpy()
+        edges, start = [*np.flatnonzero(tails[1:] != tails[:-1]) + 1, len(tails)], 0
+        for at, edge in enumerate(edges):
+            if edge - start < SLICE and at + 1 < len(edges):
+                continue
+            part = table.slice(start, edge - start)
+            start = edge
+            key, weight = gram_weights(part["gram"].combine_chunks(), part["toxic"].to_numpy(), part["plain"].to_numpy(), shares, order)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(weight)], ["key", "weight"])
 
     folder, parts = new_path(texts.sparkSession, "toxicity-model"), {}
-    weights = grams.select("tails", "gram", "toxic", "plain").repartition("tails").mapInArrow(work, "key long, weight float")
+    weights = grams.select("tails", "gram", "toxic", "plain").repartition("tails").sortWithinPartitions("tails").mapInArrow(work, "key long, weight float")
     for name, found in (("grams", weights), ("pairs", pair_weights(stored(pair_counts(texts), "pairs")))):
         found = stored(found, f"{name}-weights")
         bits = (found.count() // SHARD).bit_length()
@@ -459,10 +465,8 @@ def drop_toxic(
     """
     model = fit_toxicity(docs, labels, id_col, text_col, label_col, label_id_col, sample)
 
-    @F.pandas_udf("double")
-    def score(text):
-        import pandas as pd
-
-        return pd.Series(model.scores(pa.array(text, pa.string())))
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(model.scores(text))
 
     return docs.where(score(text_of(text_col)) < threshold)
