@@ -105,7 +105,7 @@ def fit_trigrams(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sam
     """Log-probabilities of the trigrams of each language with ``least_rows`` declared rows, from at most ``sample`` rows of each.
 
     Rows of the held-out fold, with null texts or without a language subtag don't count. The
-    sample takes the first rows by hash of id and language.
+    sample takes the first rows by hash of id and language; rows that repeat the last one's id come with it.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), primary_subtag(F.col(lang_col)).alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of("doc_id", FOLDS) != HELD_OUT))
@@ -116,9 +116,10 @@ def fit_trigrams(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sam
         return Trigrams([], folder)
     numbers = F.broadcast(docs.sparkSession.createDataFrame([(n, k, int(r["rows"])) for r in sizes for k, n in [(langs.index(r["lang"]), r["lang"])]], "lang string, number int, rows long"))
     order = F.xxhash64("doc_id", "lang")
-    near = rows.join(numbers, "lang").where(order / float(1 << 64) + 0.5 <= F.lit(2.0 * sample) / F.col("rows"))  # about twice the sample
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    chosen = near.withColumn("place", place).where(F.col("place") <= sample)
+    near = rows.withColumn("hash", order).join(numbers, "lang").where(F.col("hash") / float(1 << 64) + 0.5 <= F.lit(2.0 * sample) / F.col("rows"))  # about twice the sample
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    last = near.select("lang", "hash").withColumn("place", place).where(F.col("place") <= sample).groupBy("lang").agg(F.max("hash").alias("last"))
+    chosen = near.join(F.broadcast(last), "lang").where(F.col("hash") <= F.col("last"))  # a row for each language; texts don't move
     blocks = -(-len(langs) // BLOCK)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,8 @@ expressions thus share what their stems share, and a rare word that only one cla
 happens to hold costs the other little.
 
 Pairs of words are events too, as expressions may consist of ordinary words: their
-discounted shares in either class back off to the shared count of classes that hold them.
+discounted shares in either class back off to the shared count of classes that hold them. Only
+pairs of toxic texts can speak for a toxic text, so only they are counted.
 
 As both classes share the backoff, a gram's difference of log-likelihoods needs one
 number, and so does each context for the grams that it wasn't seen with. These
@@ -118,40 +119,50 @@ def pairs_of(w: Words, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mixed(u * np.uint64(0x9E3779B97F4A7C15) + v), row[1:][near]
 
 
-def pair_counts(texts: DataFrame) -> DataFrame:
-    """(key, toxic, plain): texts of either class that hold the pair of words, from rows (label, text)."""
+def _text_pairs(column: pa.Array) -> Iterator[np.ndarray]:
+    """Keys of the pairs of each step, each once for every text that holds it."""
+    seen, before = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    for step in steps(column, RUN_CLASS, LONGEST_RUN):
+        w = words_of(step)
+        pair, row = pairs_of(w, before[:0] if step.begins else before)
+        before = w.keys[w.inverse[-1:]] if len(w.inverse) or step.begins else before
+        found = pair[_once(row, pair)]
+        if not (step.begins and step.ends):
+            seen = seen[:0] if step.begins else seen
+            found = found[~np.isin(found, seen)]
+            seen = np.union1d(seen, found)
+        yield found
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, before = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+def pair_weights(texts: DataFrame, folder: str) -> DataFrame:
+    """(key, weight): log P(toxic) - log P(ordinary) of each pair of a toxic text, from rows (label, text)."""
+
+    def toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label = batch.column(0).to_numpy(zero_copy_only=False) == 1
-            for step in steps(batch.column(1), RUN_CLASS, LONGEST_RUN):
-                w = words_of(step)
-                pair, row = pairs_of(w, before[:0] if step.begins else before)
-                before = w.keys[w.inverse[-1:]] if len(w.inverse) or step.begins else before
-                one = _once(row, pair)
-                if not (step.begins and step.ends):
-                    seen = seen[:0] if step.begins else seen
-                    one = one[~np.isin(pair[one], seen)]
-                    seen = np.union1d(seen, pair)
-                key, own = np.unique(pair[one], return_inverse=True)
-                toxic = np.bincount(own, label[step.first + row[one]], len(key)).astype(np.int64)
-                plain = np.bincount(own, minlength=len(key)) - toxic
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(toxic), pa.array(plain)], ["key", "toxic", "plain"])
-
-    return texts.select("label", "text").mapInArrow(work, "key long, toxic long, plain long").groupBy("key").agg(
-        F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain")
-    )
+            for found in _text_pairs(batch.column(0)):
+                key, n = np.unique(found, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n1"])
 
+    own = stored(texts.where("label = 1").select("text").mapInArrow(toxic, "key long, n1 long").groupBy("key").agg(F.sum("n1").alias("n1")), "toxic-pairs")
+    kinds, n1 = own.agg(F.count(F.lit(1)), F.coalesce(F.sum("n1"), F.lit(0))).first()
+    bits = (kinds // SHARD).bit_length()
+    shards = frozenset(save_sorted(own, folder, "toxic-pairs", {"n1": np.int64}, bits))
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for found in _text_pairs(batch.column(0)):
+                key, n = np.unique(found, return_counts=True)
+                known, _ = looked_up(folder, "toxic-pairs", shards, (), key, shard_of(key, bits))
+                counts = np.r_[n[known], n.sum()].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([*key[known].view(np.int64).tolist(), None], pa.int64()), pa.array(counts)], ["key", "n0"])
 
-def pair_weights(counted: DataFrame) -> DataFrame:
-    """(key, weight): log P(toxic) - log P(ordinary) of each pair for which it is above 0; others need no row."""
-    n1, n0, t1, t0 = counted.agg(F.sum("toxic"), F.sum("plain"), F.count_if(F.col("toxic") > 0), F.count_if(F.col("plain") > 0)).first()
-    if not n1 or not n0:
-        return counted.select("key", F.lit(0.0).cast("float").alias("weight")).limit(0)
-    rest = ((F.col("toxic") > 0).cast("int") + (F.col("plain") > 0).cast("int")) / (t0 + t1)
-    share = [(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * t * rest) / n for c, t, n in (("toxic", t1, n1), ("plain", t0, n0))]
-    return counted.where("toxic > 0").select("key", F.log(share[0] / share[1]).cast("float").alias("weight")).where("weight > 0")
+    other = stored(texts.where("label = 0").select("text").mapInArrow(plain, "key long, n0 long").groupBy("key").agg(F.sum("n0").alias("n0")), "plain-pairs")
+    n0 = other.where("key is null").agg(F.coalesce(F.sum("n0"), F.lit(0))).first()[0]  # the row without a key has all pairs
+    both = own.join(other.where("key is not null"), "key", "left").select("key", "n1", F.coalesce("n0", F.lit(0)).alias("n0"))
+    rest = F.when(F.col("n0") > 0, DISCOUNT).otherwise(DISCOUNT / 2)
+    share = [(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + rest) / max(n, 1) for c, n in (("n1", n1), ("n0", n0))]
+    weight = F.when(F.lit(n0 > 0), F.log(share[0] / share[1])).otherwise(0.0).cast("float").alias("weight")
+    return both.select("key", weight).where("weight > 0")
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -364,7 +375,7 @@ def count_model(texts: DataFrame, order: int = ORDER) -> Model:
 
     folder, parts = new_path(texts.sparkSession, "toxicity-model"), {}
     weights = grams.select("tails", "gram", "toxic", "plain").repartition("tails").sortWithinPartitions("tails").mapInArrow(work, "key long, weight float")
-    for name, found in (("grams", weights), ("pairs", pair_weights(stored(pair_counts(texts), "pairs")))):
+    for name, found in (("grams", weights), ("pairs", pair_weights(texts, folder))):
         found = stored(found, f"{name}-weights")
         bits = (found.count() // SHARD).bit_length()
         parts[name] = bits, frozenset(save_sorted(found, folder, name, {"weight": np.float32}, bits))
