@@ -37,8 +37,10 @@ def fuzzy_matches(items: DataFrame, known: DataFrame, full: bool = True, sql: bo
     """The best known key of the block with a score of ``least`` or more; the first in order on a tie.
 
     Whole units compare by name with every distinct key; items with a sub-unit
-    compare the composite key with units of their type that have one. Lengths that
-    can't reach the score don't get as far as it. ``sql`` takes the edit ratio.
+    compare the composite key with units of their type that have one. Names repeat
+    among items, so each distinct key of a block is compared once and its match
+    joined back to the items that have it. Lengths that can't reach the score don't
+    get as far as it. ``sql`` takes the edit ratio.
     """
     items, known = keyed(items, full), keyed(known, full)
     score = (lambda a, b: C.edit_ratio(a, b)) if sql else (lambda a, b: C.indel_ratio(a, b))
@@ -48,15 +50,18 @@ def fuzzy_matches(items: DataFrame, known: DataFrame, full: bool = True, sql: bo
     else:
         possible = F.least(la, lb) * 200.0 >= (la + lb) * least
 
-    def best(pairs: DataFrame) -> DataFrame:
-        scored = pairs.where(possible).withColumn("score", score(F.col("a"), F.col("b"))).where(F.col("score") >= least)
-        return top_per_key(scored, ["block", "input_pos", "item_pos"], 1, F.desc("score"), F.col("pos"))
-
     columns = ["block", "input_pos", "item_pos", "unit_id", "confidence", "score"]
+
+    def best(asked: DataFrame, units: DataFrame, on: list[str]) -> DataFrame:
+        pairs = asked.select(*on, "a").distinct().join(units, on).where(possible)
+        scored = pairs.withColumn("score", score(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+        won = top_per_key(scored, [*on, "a"], 1, F.desc("score"), F.col("pos")).select(*on, "a", "unit_id", "score")
+        return asked.join(won, [*on, "a"]).select(*columns)
+
     units = known.groupBy("block", F.col("name_key").alias("b")).agg(F.min("pos").alias("pos"), F.min_by("unit_id", "pos").alias("unit_id"))
-    whole = best(items.where("sub_key = ''").withColumnRenamed("name_key", "a").join(units, "block")).select(*columns)
+    whole = best(items.where("sub_key = ''").withColumnRenamed("name_key", "a"), units, ["block"])
     subs = known.where("sub_key <> ''").select("block", "unit_type", F.col("full_key").alias("b"), "pos", "unit_id")
-    part = best(items.where("sub_key <> ''").withColumnRenamed("full_key", "a").join(subs, ["block", "unit_type"])).select(*columns)
+    part = best(items.where("sub_key <> ''").withColumnRenamed("full_key", "a"), subs, ["block", "unit_type"])
     return whole.unionByName(part).withColumn("method", F.when(F.col("score") >= FUZZY, "fuzzy").otherwise("llm"))
 
 

@@ -193,14 +193,15 @@ def _page_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 REACH_SQL = f"""WITH RECURSIVE {LINKS_SQL}, e AS (SELECT 'p' || page_id AS src, 'w' || regexp_extract(link_url, '/([^/?#]*)$', 1) AS dst FROM links UNION ALL SELECT 'w' || regexp_extract(link_url, '/([^/?#]*)$', 1), 'p' || page_id FROM links),
- r AS (SELECT 'p0' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY 1"""
+ r AS (SELECT 'p' || min(page_id) AS node, 0 AS depth FROM pages GROUP BY {HOST_SQL} UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 3) SELECT node, min(depth) AS depth FROM r GROUP BY 1"""
 
 
 @query(REACH_SQL)
 def link_reach(spark, d):
     out = _page_edges(spark, d)
     edges = out.select("src", "dst").unionByName(out.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return W.reachable(edges, table(spark, d, "pages").where("page_id = 0").select(F.lit("p0").alias("node")), 3)
+    first = table(spark, d, "pages").groupBy(C.host(F.col("url")).alias("host")).agg(F.min("page_id").alias("page_id"))
+    return W.reachable(edges, first.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("node")), 3)
 
 
 @query(f"SELECT split_part({HOST_SQL}, '.', -1) AS kind, count(*) AS n, count(DISTINCT regexp_extract({HOST_SQL}, '[^.]+[.][^.]+$')) AS domains FROM pages GROUP BY 1")
