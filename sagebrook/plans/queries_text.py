@@ -13,7 +13,7 @@ from ..operators import filters as P
 from ..operators import match as M
 from ..operators import retrieve as R
 from ..operators import web as W
-from ..operators.common import share_of_total, small
+from ..operators.common import share_of_total, small, top_per_key
 from .queries_core import HOST_SQL
 from .registry import query, table
 
@@ -293,7 +293,8 @@ def document_pages(spark, d):
  FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) GROUP BY 1""")
 def markdown_table(spark, d):
     row = F.array(F.col("p_name"), F.col("p_size").cast("string"))
-    rows = table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("row")))).alias("r"))
+    first = top_per_key(table(spark, d, "part"), ["p_brand"], 50, F.col("p_partkey"))  # the table has 49 of them under its header
+    rows = first.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("row")))).alias("r"))
     grid = F.concat(F.array(F.array(F.lit("p_name"), F.lit("p_size"))), F.col("r.row"))
     return rows.select("p_brand", D.markdown_table(grid).alias("markdown"))
 
@@ -474,10 +475,9 @@ def length_tiers(spark, d):
     return table(spark, d, "documents").select("doc_id", C.length_tier(F.col("text")).alias("tier"))
 
 
-@query("""SELECT conv_id, turn, regexp_replace(value, '^\\s+|\\s+$', '', 'g') AS value FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS value FROM conversations) WHERE role = 'user' AND value IS NOT NULL""")
+@query("""WITH l AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE text END AS line FROM conversations)
+ SELECT conv_id, turn, value FROM (SELECT *, lead(line) OVER (PARTITION BY conv_id ORDER BY turn) AS value FROM l) WHERE line = 'user'""")
 def next_line_lookup(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("line_no"), F.col("role"), F.col("text"))
-    from pyspark.sql import Window
-
-    out = rows.withColumn("value", F.lead("text").over(Window.partitionBy("conv_id").orderBy("line_no"))).where((F.col("role") == "user") & F.col("value").isNotNull())
-    return out.select("conv_id", F.col("line_no").alias("turn"), C.strip(F.col("value")).alias("value"))
+    line = F.when(F.col("role") == "user", "user").otherwise(F.col("text"))
+    lines = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("line_no"), line.alias("line"))
+    return D.labelled_values(lines, "conv_id", "user").withColumnRenamed("line_no", "turn")
