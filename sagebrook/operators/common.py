@@ -16,6 +16,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint, computed at once, where the session has a folder for it; else the plan as it is."""
+    sc = df.sparkSession.sparkContext
+    return df.checkpoint() if sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() else df
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order; the order should end in a unique column."""
     return top_per_key(df, keys, 1, *order)

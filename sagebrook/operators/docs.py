@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,43 +17,63 @@ PAGE_MARKER = "^--- Page ([0-9]+) ---"
 CHUNK_MOST, CHUNK_LEAST = 900, 80
 
 
-def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line_no, line): the lines of each text; null texts have none."""
-    return docs.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+def default_heading(line: Column) -> Column:
+    """Whether a line has the shape of a heading."""
+    stripped = C.strip(line)
+    return stripped.rlike("(?U)" + "|".join(rules.HEADING_PATTERNS)) & (F.length(stripped) > 2)
+
+
+def split_sections(text: str, headings: Sequence[bool | None]) -> list[tuple[int, str | None, str, int]]:
+    """Sections (number, heading, content, page) of one document, of which ``headings`` says the heading lines."""
+    out: list[tuple[int, str | None, str, int]] = []
+    body: list[str] = []
+    title, page = None, 1
+    number = 0
+    for line, is_heading in zip(text.split("\n"), headings):
+        if marker := re.match(PAGE_MARKER, line):
+            page = int(marker[1]) if int(marker[1]) < 2**31 else page
+        elif is_heading and body:
+            out.append((number, title, "\n".join(body), page))
+            number, title, body = number + 1, line, []
+        else:
+            body.append(line)
+    return [*out, (number, title, "\n".join(body), page)]
+
+
+_PART = pa.struct([("section_no", pa.int64()), ("heading", pa.string()), ("content", pa.string()), ("page_number", pa.int32())])
+
+
+def _parts(docs: DataFrame, key: str, text: str, heading: Callable[[Column], Column]) -> DataFrame:
+    """(key, parts): the sections of each text as one array, blank ones too. No shuffle: a text's lines lie in one row.
+
+    The heading rule is evaluated by Spark; the fold over the lines is a small helper in Arrow batches.
+    """
+    rows = docs.where(F.col(text).isNotNull()).select(key, text, F.transform(F.split(text, "\n"), heading).alias("headings"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):  # long texts: few rows at a time
+                part = batch.slice(at, 64)
+                found = [split_sections(t.as_py(), h.as_py()) for t, h in zip(part.column(1), part.column(2))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(_PART))], [key, "parts"])
 
+    return rows.mapInArrow(work, f"`{key}` {kind}, parts array<struct<section_no: bigint, heading: string, content: string, page_number: int>>")
 
-def sections(docs: DataFrame, key: str, text: str, heading: Column | None = None, first: str = rules.FIRST_HEADING) -> DataFrame:
-    """(key, section_no, heading, content, page_number), for any length of text.
+
+def sections(docs: DataFrame, key: str, text: str, heading: Callable[[Column], Column] = default_heading, first: str = rules.FIRST_HEADING) -> DataFrame:
+    """(key, section_no, heading, content, page_number); each row of ``docs`` is a document of its own.
 
     A heading line starts a section if some line came since the last start; so
     in a run of heading lines every other one does, from the first on, or from
     the second if the run begins the document. Page markers are no lines; a
-    section's page is the one at its end. Sections without visible text go.
-    Lines shuffle once, by document. ``heading`` is a condition on ``line``.
+    section's page is the one at its end. Sections without visible text go; null
+    texts have none. Nothing shuffles. ``heading`` is a condition on a line.
     """
-    stripped = C.strip(F.col("line"))
-    is_heading = (stripped.rlike("(?U)" + "|".join(rules.HEADING_PATTERNS)) & (F.length(stripped) > 2)) if heading is None else heading
-    own = Window.partitionBy(key).orderBy("line_no")
-    upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    page = F.last(F.regexp_extract("line", PAGE_MARKER, 1).try_cast("int"), ignorenulls=True)
-    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = lines_of(docs, key, text).withColumns({"page": F.coalesce(page.over(upto), F.lit(1)), "last_page": F.coalesce(page.over(whole), F.lit(1))}).where(~F.col("line").rlike(PAGE_MARKER))
-    rows = rows.withColumns({"is_heading": is_heading, "n": F.row_number().over(own)})
-    rows = rows.withColumn("run", F.col("n") - F.sum(F.col("is_heading").cast("int")).over(upto))
-    in_run = F.row_number().over(Window.partitionBy(key, "run", "is_heading").orderBy("line_no"))
-    at_start = F.min("n").over(Window.partitionBy(key, "run", "is_heading")) == 1
-    odd = (in_run + at_start.cast("int")) % 2 == 1
-    rows = rows.withColumn("starts", F.col("is_heading") & odd)
-    rows = rows.withColumn("section_no", F.sum(F.col("starts").cast("int")).over(upto))
-    # A section's page is read when the next heading ends it.
-    rows = rows.withColumn("page_at_end", F.coalesce(F.lead("page", 1).over(own), "last_page"))
-    body = F.array_sort(F.collect_list(F.when(~F.col("starts"), F.struct("line_no", "line"))))
-    out = rows.groupBy(key, "section_no").agg(
-        F.max(F.when(F.col("starts"), C.strip(F.col("line")))).alias("heading"), body.alias("body"),
-        F.max_by("page_at_end", "line_no").alias("page_number"),
-    )
-    content = C.strip(F.array_join(F.col("body.line"), "\n"))
-    return out.select(key, "section_no", F.coalesce("heading", F.lit(first)).alias("heading"), content.alias("content"), "page_number").where("content <> ''")
+    part = _parts(docs, key, text, heading).select(key, F.explode("parts").alias("p"))
+    return part.select(
+        key, "p.section_no", F.coalesce(C.strip(F.col("p.heading")), F.lit(first)).alias("heading"), C.strip(F.col("p.content")).alias("content"), "p.page_number"
+    ).where("content <> ''")
 
 
 def forced_parts(text: str, most: int = CHUNK_MOST, ends: Sequence[str] = rules.SENTENCE_ENDS) -> list[str]:
@@ -111,25 +131,38 @@ def packed_sections(parts: Sequence[tuple[str, str, int]], most: int = CHUNK_MOS
 
 
 def chunks(sectioned: DataFrame, key: str, most: int = CHUNK_MOST, least: int = CHUNK_LEAST) -> DataFrame:
-    """(key, chunk_index, chunk_text, section_path, page_number) from the rows of ``sections``.
-
-    A document's sections are one row's array; the fold is a small helper in
-    Arrow batches, without a further shuffle.
-    """
+    """(key, chunk_index, chunk_text, section_path, page_number) from a table of sections, which shuffles by document."""
     part = F.struct("section_no", "heading", "content", "page_number")
-    rows = sectioned.groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    return _packed(sectioned.groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("parts")), key, most, least)
+
+
+def document_chunks(docs: DataFrame, key: str, text: str, heading: Callable[[Column], Column] = default_heading, most: int = CHUNK_MOST, least: int = CHUNK_LEAST,
+                    first: str = rules.FIRST_HEADING) -> DataFrame:
+    """``chunks`` of ``sections`` without a shuffle; each row of ``docs`` is a document of its own."""
+
+    def clean(p: Column) -> Column:
+        return F.struct(p["section_no"].alias("section_no"), F.coalesce(C.strip(p["heading"]), F.lit(first)).alias("heading"), C.strip(p["content"]).alias("content"), p["page_number"].alias("page_number"))
+
+    parts = F.filter(F.transform("parts", clean), lambda p: p["content"] != "")
+    return _packed(_parts(docs, key, text, heading).select(key, parts.alias("parts")), key, most, least)
+
+
+def _packed(rows: DataFrame, key: str, most: int, least: int) -> DataFrame:
+    """Chunks of rows (key, parts); the fold is a small helper in Arrow batches."""
     kind = rows.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                (k, i, *c)
-                for k, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                for i, c in enumerate(packed_sections([(p["heading"], p["content"], p["page_number"]) for p in parts], most, least))
-            ]
-            columns = list(zip(*found)) if found else [()] * 5
-            types = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [key, "chunk_index", "chunk_text", "section_path", "page_number"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [
+                    (k, i, *c)
+                    for k, parts in zip(part.column(0).to_pylist(), part.column(1).to_pylist())
+                    for i, c in enumerate(packed_sections([(p["heading"], p["content"], p["page_number"]) for p in parts], most, least))
+                ]
+                columns = list(zip(*found)) if found else [()] * 5
+                types = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [key, "chunk_index", "chunk_text", "section_path", "page_number"])
 
     return rows.mapInArrow(work, f"`{key}` {kind}, chunk_index int, chunk_text string, section_path string, page_number int")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .common import BROADCAST_ROWS, small, top_per_key
+from .common import BROADCAST_ROWS, cut, small, top_per_key
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -50,30 +50,33 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "q
                tokens=C.bigram_tokens) -> DataFrame:
     """R2: (query_id, chunk_id, score, rank) by Okapi BM25; repeated query tokens count as often.
 
-    Lengths and document frequencies come from the whole corpus; only tokens
-    that a query has (a broadcast semi-join) go on to term frequencies. A token
+    Two passes over the chunks. The first counts lengths and document frequencies of the whole corpus, combined by token
+    before they move; this vocabulary and the queries' tokens are stored (a checkpoint, where the session has a folder).
+    In the second only tokens that a query has (a broadcast semi-join) go on to term frequencies. A token
     in more than half the chunks has a negative weight, which the mean weight times
     ``EPSILON`` replaces. Chunks without a query token score 0 and are left out.
     """
-    wanted = queries.select(query_id, F.explode(tokens(F.col(query_text))).alias("token")).groupBy(query_id, "token").agg(F.count(F.lit(1)).alias("times"))
+    wanted = cut(queries.select(query_id, F.explode(tokens(F.col(query_text))).alias("token")).groupBy(query_id, "token").agg(F.count(F.lit(1)).alias("times")))
     asked = small(wanted.select("token").distinct())
+    # Outer, as Spark would tokenise once more to leave out what an inner explode drops.
     tokened = chunks.select(chunk_id, tokens(F.col(text)).alias("tokens"))
-    lengths = tokened.select(chunk_id, F.size("tokens").alias("len"))
-    size = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("avg_len"))
-    frequency = tokened.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    weighted = frequency.crossJoin(F.broadcast(size)).withColumn("raw", weight)  # one row
+    once = tokened.select(F.size("tokens").cast("long").alias("len"), F.posexplode_outer(F.array_distinct("tokens")).alias("pos", "token"))
+    at_first = F.coalesce(F.col("pos"), F.lit(0)) == 0  # one row of each chunk
+    counts = cut(once.groupBy("token").agg(F.count("token").alias("df"), F.count_if(at_first).alias("docs"), F.sum(F.when(at_first, F.col("len"))).alias("len")))
+    size = counts.agg(F.sum("docs").alias("docs"), (F.sum("len") / F.nullif(F.sum("docs"), F.lit(0))).alias("avg_len"))
+    raw = F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    weighted = counts.where("token IS NOT NULL").select("token", "df").crossJoin(F.broadcast(size)).withColumn("raw", raw)  # one row
     mean = weighted.agg(F.avg("raw").alias("mean_raw"))
     idf = (
         weighted.join(asked, "token", "left_semi").crossJoin(F.broadcast(mean))  # one row
         .select("token", "avg_len", F.when(F.col("raw") < 0, EPSILON * F.col("mean_raw")).otherwise(F.col("raw")).alias("idf"))
     )
     counted = (
-        tokened.select(chunk_id, F.size("tokens").alias("len"), F.explode("tokens").alias("token"))
+        tokened.select(chunk_id, F.size("tokens").alias("len"), F.explode_outer("tokens").alias("token"))
         .join(asked, "token", "left_semi").groupBy(chunk_id, "len", "token").agg(F.count(F.lit(1)).alias("tf"))
     )
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = counted.join(wanted.join(idf, "token"), "token").groupBy(query_id, chunk_id).agg(F.round(F.sum(part), 6).alias("score"))
+    scored = counted.join(small(wanted.join(idf, "token")), "token").groupBy(query_id, chunk_id).agg(F.round(F.sum(part), 6).alias("score"))
     return top_per_key(scored, [query_id], k, F.desc("score"), F.col(chunk_id), rank="rank")
 
 

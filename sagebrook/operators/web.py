@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from .common import first_per_key, top_per_key
+from .common import cut, first_per_key, top_per_key
 
 _ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']+)["'][^>]*>(.*?)</a\s*>"""
 #: Entities of HTML that texts commonly hold.
@@ -173,7 +173,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int, most: int | None =
     found = frontier
     for level in range(1, depth + 1):
         step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = _cut(step.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)))
+        frontier = cut(step.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)))
         found = found.unionByName(frontier)
     return found
 
@@ -189,12 +189,6 @@ def sitemap_pages(sitemaps: DataFrame, seeds: DataFrame, key: str, body: str, de
     return found.where(~F.col("is_sitemap")).join(opened, key).groupBy("loc").agg(F.min("depth").alias("depth"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint where the session has a folder for it; else the plan as it is."""
-    sc = df.sparkSession.sparkContext
-    return df.checkpoint() if sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() else df
-
-
 def robots_sitemaps(robots: DataFrame, key: str, body: str) -> DataFrame:
     """H7: the URLs of ``Sitemap:`` lines."""
     lines = robots.select(key, F.explode(F.split(body, r"\r?\n")).alias("line")).where(F.col("line").rlike("(?i)^sitemap:"))

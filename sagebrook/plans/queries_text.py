@@ -226,9 +226,9 @@ def page_titles(spark, d):
     return table(spark, d, "pages").select("page_id", C.title_of_text(F.regexp_replace(text, "(?m)^[#-]+ ", "")).alias("title"))
 
 
-def _heading():
+def _heading(line):
     """Headings of the given texts: short lines that start a sentence and hold no bar."""
-    stripped = C.strip(F.col("line"))
+    stripped = C.strip(line)
     return (F.length(stripped) <= 60) & (F.length(stripped) > 2) & ~F.contains(stripped, F.lit("|"))
 
 
@@ -244,18 +244,18 @@ SECTIONS_SQL = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10)))
 
 @query(SECTIONS_SQL)
 def section_split(spark, d):
-    out = D.sections(table(spark, d, "documents"), "doc_id", "text", _heading())
+    out = D.sections(table(spark, d, "documents"), "doc_id", "text", _heading)
     return out.select("doc_id", F.col("section_no"), "heading", C.content_hash(F.col("content")).alias("content_hash"))
 
 
 @query(f"SELECT count(*) AS sections, count(DISTINCT doc_id) AS documents, count(*) FILTER (heading = '冒頭') AS untitled FROM ({SECTIONS_SQL})")
 def section_stats(spark, d):
-    out = D.sections(table(spark, d, "documents"), "doc_id", "text", _heading())
+    out = D.sections(table(spark, d, "documents"), "doc_id", "text", _heading)
     return out.agg(F.count(F.lit(1)).alias("sections"), F.count_distinct("doc_id").alias("documents"), F.count_if(F.col("heading") == rules.FIRST_HEADING).alias("untitled"))
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return D.chunks(D.sections(table(spark, d, "documents"), "doc_id", "text", _heading()), "doc_id")
+    return D.document_chunks(table(spark, d, "documents"), "doc_id", "text", _heading)
 
 
 @query()

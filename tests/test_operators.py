@@ -12,7 +12,7 @@ from sagebrook.sources import tables as S
 
 
 def sections(spark, text, heading=None):
-    rows = D.sections(spark.createDataFrame([(1, text)], "k int, text string"), "k", "text", heading).orderBy("section_no").collect()
+    rows = D.sections(spark.createDataFrame([(1, text)], "k int, text string"), "k", "text", heading or D.default_heading).orderBy("section_no").collect()
     return [(r.heading, r.content, r.page_number) for r in rows]
 
 
@@ -45,7 +45,7 @@ def test_sections_equal_the_loop(spark):
     texts = ["\n".join(rng.choice(["H1x", "b", "", "--- Page 2 ---", "H2x", "--- Page 7 ---"]) for _ in range(rng.randint(1, 12))) for _ in range(150)]
     df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
     got = {}
-    for r in D.sections(df, "k", "text", F.col("line").startswith("H")).orderBy("k", "section_no").collect():
+    for r in D.sections(df, "k", "text", lambda line: line.startswith("H")).orderBy("k", "section_no").collect():
         got.setdefault(r.k, []).append((r.heading, r.content, r.page_number))
     for k, text in enumerate(texts):
         assert got.get(k, []) == by_loop(text, lambda x: x.startswith("H")), text
@@ -64,6 +64,7 @@ def test_chunks():
 def test_chunk_table(spark):
     docs = spark.createDataFrame([(1, "a" * 100 + "\n1. H\n" + "b" * 2000), (2, None), (3, "")], "doc_id int, text string")
     rows = D.chunks(D.sections(docs, "doc_id", "text"), "doc_id").orderBy("doc_id", "chunk_index").collect()
+    assert D.document_chunks(docs, "doc_id", "text").orderBy("doc_id", "chunk_index").collect() == rows
     assert [r.doc_id for r in rows] == [1] * len(rows) and [r.chunk_index for r in rows] == list(range(len(rows)))
     assert all(80 <= len(r.chunk_text) <= 900 for r in rows) and rows[0].section_path == "冒頭"
 
