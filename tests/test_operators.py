@@ -1,8 +1,11 @@
 """Table operators on literal cases."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
+from sagebrook.functions import rules
 from sagebrook.operators import coverage as V
 from sagebrook.operators import docs as D
 from sagebrook.operators import match as M
@@ -38,6 +41,33 @@ def by_loop(text, is_heading):
     return [s for s in out if s[1]]
 
 
+def test_sections_of_odd_rows(spark):
+    """Null and empty texts have none; rows that share a key are documents of their own; a page number that is too large is none."""
+    rows = [(1, None), (2, ""), (3, "a\n1. H\nb"), (3, "c"), (None, "d"), (4, "--- Page 2 ---\ne\n--- Page 99999999999 ---")]
+    df = spark.createDataFrame(rows, "k int, text string").withColumn("section_no", F.lit("clash"))
+    found = sorted((str(r.k), r.section_no, r.heading, r.content, r.page_number) for r in D.sections(df, "k", "text").collect())
+    first = rules.FIRST_HEADING
+    assert found == [("3", 0, first, "a", 1), ("3", 0, first, "c", 1), ("3", 1, "1. H", "b", 1), ("4", 0, first, "e", 2), ("None", 0, first, "d", 1)]
+    assert D.sections(df.where("false"), "k", "text").count() == 0 and D.document_chunks(df.where("false"), "k", "text").count() == 0
+
+
+def test_bm25_counts(spark):
+    """Against the formula: repeated query tokens, a token in most chunks, empty and null chunks."""
+    texts = {1: "a b a", 2: "a c", 3: "a", 4: "", 5: None, 6: "a d d"}
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id int, text string")
+    queries = spark.createDataFrame([(1, "a d d"), (2, "b"), (3, "zz")], "query_id int, query string")
+    words = {i: (t or "").split() for i, t in texts.items()}
+    mean = sum(map(len, words.values())) / len(words)
+    df = {t: sum(t in w for w in words.values()) for t in "abcd"}
+    raw = {t: math.log(len(words) - n + 0.5) - math.log(n + 0.5) for t, n in df.items()}
+    idf = {t: v if v >= 0 else 0.25 * sum(raw.values()) / len(raw) for t, v in raw.items()}
+    score = lambda q, w: sum(idf[t] * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for t in q.split() if t in w)
+    want = {(q, i): round(score(t, w), 6) for q, t in ((1, "a d d"), (2, "b")) for i, w in words.items() if set(t.split()) & set(w)}
+    tokens = lambda t: F.filter(F.split(F.coalesce(t, F.lit("")), " "), lambda w: w != "")
+    got = R.bm25_top_k(queries, chunks, 10, tokens=tokens).collect()
+    assert {(r.query_id, r.chunk_id): r.score for r in got} == pytest.approx(want)
+
+
 def test_sections_equal_the_loop(spark):
     import random
 
