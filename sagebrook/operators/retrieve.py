@@ -6,15 +6,21 @@ them. A query table is broadcast only after a check of its size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import columns as C
 from .common import BROADCAST_ROWS, cut, small, top_per_key
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: So many query vectors are held by each task.
+MATRIX_QUERIES = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,18 +38,64 @@ def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str =
     """(query_id, chunk_id, score, rank): the ``k`` chunks nearest to each query, exact.
 
     Each query meets every chunk that passes its filters (pairs of query and
-    chunk column that must be equal): a stated query set against all rows. Each
-    task keeps k chunks a query before the shuffle. Scores are rounded to 6
-    digits before ranking; ties go by id.
+    chunk column that must be equal): a stated query set against all rows. Up to ``MATRIX_QUERIES``
+    queries (read when the plan is built) go to the tasks as matrices, which multiply the chunks' vectors in slices and pass on what can
+    be among a task's k best; more queries meet the chunks in a join. Scores are rounded to 6
+    digits before ranking; ties go by id. Zero vectors, vectors with nulls or NaN and vectors of
+    other lengths have no score and come last.
     """
-    whole, norm = F.col(vector).cast("array<double>"), F.sqrt(dot(F.col(vector), F.col(vector)))  # lengths once a row, not once a pair
-    q = queries.select(query_id, whole.alias("_q"), norm.alias("_qn"), *[F.col(a).alias(f"_f{n}") for n, (a, _) in enumerate(equal)])
-    c = chunks.select(chunk_id, whole.alias("_c"), norm.alias("_cn"), *[F.col(b).alias(f"_g{n}") for n, (_, b) in enumerate(equal)])
-    on = F.lit(True)
-    for n in range(len(equal)):
-        on = on & (F.col(f"_f{n}") == F.col(f"_g{n}"))
-    pairs = c.join(small(q, 10_000), on).select(query_id, chunk_id, F.round(dot(F.col("_q"), F.col("_c")) / F.nullif(F.col("_qn") * F.col("_cn"), F.lit(0.0)), 6).alias("score"))
-    return top_per_key(pairs, [query_id], k, F.desc("score"), F.col(chunk_id), rank="rank")
+    whole = F.col(vector).cast("array<double>")
+    q = queries.select(query_id, whole.alias("_q"), *[F.col(a).alias(f"_f{n}") for n, (a, _) in enumerate(equal)])
+    c = chunks.select(chunk_id, whole.alias("_c"), *[F.col(b).alias(f"_g{n}") for n, (_, b) in enumerate(equal)])
+    asked = q.limit(MATRIX_QUERIES + 1).collect()
+    if len(asked) <= MATRIX_QUERIES:
+        names = q.sparkSession.createDataFrame([(n, r[0]) for n, r in enumerate(asked)], StructType([StructField("_n", IntegerType()), q.schema[query_id]]))
+        found = _nearest([(r[1], tuple(r[2:])) for r in asked], c, k).join(F.broadcast(names), "_n")  # at most MATRIX_QUERIES rows
+    else:
+        on = F.lit(True)
+        for n in range(len(equal)):
+            on = on & (F.col(f"_f{n}") == F.col(f"_g{n}"))
+        lengths = [q.withColumn("_qn", F.sqrt(dot(F.col("_q"), F.col("_q")))), c.withColumn("_cn", F.sqrt(dot(F.col("_c"), F.col("_c"))))]  # once a row, not once a pair
+        found = lengths[1].join(lengths[0], on).withColumn("score", F.nanvl(dot(F.col("_q"), F.col("_c")) / F.nullif(F.col("_qn") * F.col("_cn"), F.lit(0.0)), F.lit(None)))
+    return top_per_key(found.select(query_id, chunk_id, F.round("score", 6).alias("score")), [query_id], k, F.desc("score"), F.col(chunk_id), rank="rank")
+
+
+def _nearest(asked: Sequence[tuple[Sequence[float] | None, tuple]], chunks: DataFrame, k: int) -> DataFrame:
+    """(_n, chunk id, score): for the n-th of ``asked`` (vector, values) all chunks (id, vector, values) with these values that can be among its k best."""
+    grouped: dict[tuple, list[int]] = {}
+    for n, (v, values) in enumerate(asked):
+        if None not in values:
+            grouped.setdefault((values, len(v or ())), []).append(n)
+    matrices = []
+    for (values, width), ns in grouped.items():
+        m = np.array([asked[n][0] or () for n in ns], float).reshape(len(ns), width)
+        matrices.append((values, np.array(ns, np.int32), m, np.sqrt((m * m).sum(1))))
+    shared = chunks.sparkSession.sparkContext.broadcast(matrices)
+    name, kind = chunks.columns[0], chunks.schema[0].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [np.full((len(ns), k), -np.inf) for _, ns, _, _ in shared.value]
+        rows = max(1, 4_000_000 // max(1, len(asked)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                values = list(zip(*[part.column(i).to_pylist() for i in range(2, part.num_columns)])) or [()] * part.num_rows
+                sizes = pc.fill_null(pc.list_value_length(part.column(1)), -1).to_numpy()
+                for g, (wanted, ns, matrix, lengths) in enumerate(shared.value):
+                    own = np.flatnonzero([v == wanted for v in values])
+                    score = np.full((len(ns), len(own)), -np.inf)
+                    same = np.flatnonzero(sizes[own] == matrix.shape[1])
+                    m = part.column(1).take(pa.array(own[same])).flatten().to_numpy(zero_copy_only=False).reshape(len(same), matrix.shape[1])
+                    with np.errstate(all="ignore"):
+                        s = matrix @ m.T / (lengths[:, None] * np.sqrt((m * m).sum(1)))
+                    score[:, same] = np.where(np.isfinite(s), s, -np.inf)
+                    best[g] = np.sort(np.concatenate([best[g], score], 1), 1)[:, -k:]
+                    i, j = np.nonzero(score >= best[g][:, :1] - 2e-6)  # what is lower is lower after rounding, too
+                    out = score[i, j]
+                    columns = [pa.array(ns[i]), part.column(0).take(pa.array(own[j])), pa.array(out, mask=np.isinf(out))]
+                    yield pa.RecordBatch.from_arrays(columns, ["_n", name, "score"])
+
+    return chunks.mapInArrow(work, f"_n int, `{name}` {kind}, score double")
 
 
 def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query", chunk_id: str = "chunk_id", text: str = "text",

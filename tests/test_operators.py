@@ -51,6 +51,22 @@ def test_sections_of_odd_rows(spark):
     assert D.sections(df.where("false"), "k", "text").count() == 0 and D.document_chunks(df.where("false"), "k", "text").count() == 0
 
 
+@pytest.mark.parametrize("most", [10_000, 2])
+def test_vectors_by_matrix_and_join(spark, monkeypatch, most):
+    """Ties by id; zero, null, odd and short vectors last, without a score; filters; both ways of meeting."""
+    monkeypatch.setattr(R, "MATRIX_QUERIES", most)
+    vectors = {1: [1.0, 0.0], 2: [2.0, 0.0], 3: [1.0, 1.0], 4: [0.0, 0.0], 5: None, 6: [1.0], 7: [None, 1.0], 8: [0.0, -1.0], 9: [float("nan"), 1.0]}
+    chunks = spark.createDataFrame([(i, v, "ab"[i % 2]) for i, v in vectors.items()], "chunk_id int, vector array<double>, g string")
+    queries = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 0.0], "b"), (3, None, None), (4, [0.0, 1.0], "b")], "query_id int, vector array<double>, f string")
+    rows = R.vector_top_k(queries, chunks, 9).orderBy("query_id", "rank").collect()
+    of = lambda q: [(r.chunk_id, r.score) for r in rows if r.query_id == q]
+    last = [(i, None) for i in (4, 5, 6, 7, 9)]
+    assert of(1) == [(1, 1.0), (2, 1.0), (3, 0.707107), (8, 0.0), *last] and of(2) == of(3) == [(i, None) for i in vectors]
+    assert of(4) == [(3, 0.707107), (1, 0.0), (2, 0.0), (8, -1.0), *last]
+    few = R.vector_top_k(queries, chunks, 2, equal=[("f", "g")]).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.chunk_id, r.rank) for r in few] == [(1, 2, 1), (1, 8, 2), (2, 1, 1), (2, 3, 2), (4, 3, 1), (4, 1, 2)]
+
+
 def test_bm25_counts(spark):
     """Against the formula: repeated query tokens, a token in most chunks, empty and null chunks."""
     texts = {1: "a b a", 2: "a c", 3: "a", 4: "", 5: None, 6: "a d d"}
