@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, language_model, packing, quality_model, quality_rules, sharding, simhash, toxicity
+from . import bpe, exact_dedup, language_id, language_model, packing, prefix_trie, quality_model, quality_rules, secret_scan, sharding, simhash, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -110,8 +110,20 @@ def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.page_languages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_spans(_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_embeddings(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_classifier, op3_sharding, op4_toxicity, op5_simhash, op6_quality_rules, op7_language_model, op8_byte_bpe, op9_packing, op10_language_id, page_languages)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_quality_classifier, op3_sharding, op4_toxicity, op5_simhash, op6_quality_rules, op7_language_model, op8_byte_bpe, op9_packing, op10_language_id, op11_secret_scan, op12_embedding_whitening, op13_prefix_trie, page_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
