@@ -76,7 +76,22 @@ def nfkc(text: pd.Series) -> pd.Series:
 def match_key(text: Column, full: bool = True) -> Column:
     """normalised text without blanks and separators; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
-    return F.translate(nfkc(text) if full else fold_width(text), " 　・･／", "")
+    if full:  # NFKC leaves ASCII as it is, so such texts don't travel
+        normal = F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    else:
+        normal = fold_width(text)
+    return F.translate(normal, " 　・･／", "")
+
+
+def sorted_tokens(text: Column) -> Column:
+    """The white-space tokens of a text in order, with one blank between them: what ``indel_ratio`` compares."""
+    return F.array_join(F.array_sort(F.filter(F.split(text, r"(?U)[\s\x1C-\x1F]+"), lambda t: t != "")), " ")
+
+
+def numbered_characters(text: Column) -> Column:
+    """The characters of a text, each with how many of it came before: two texts share as many of these as characters, repeats included."""
+    signs = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(text, i, F.lit(1))))
+    return F.transform(signs, lambda c, i: F.concat(c, (i - F.array_position(signs, c)).cast("string")))
 
 
 def composite_key(name: Column, sub: Column, full: bool = True) -> Column:

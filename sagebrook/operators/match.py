@@ -7,11 +7,13 @@ the block as an equi-key, so no unit meets another entity's names.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .common import top_per_key
+from .common import small, top_per_key
 
 FUZZY, REVIEW = 90.0, 75.0
 
@@ -33,34 +35,69 @@ def exact_matches(items: DataFrame, known: DataFrame, full: bool = True) -> Data
     return by_sub.select(*columns).unionByName(by_unit.select(*columns)).withColumns({"score": F.lit(100.0), "method": F.lit("exact")})
 
 
+def _least_shared(n: Column, m: Column, least: float, sql: bool) -> Column:
+    """How many characters, repeats included, texts of these lengths share at least if they score ``least``."""
+    bound = F.greatest(n, m) * least / 100 if sql else (n + m) * least / 200
+    return F.ceil(bound - 1e-9).cast("int")
+
+
+def candidates(asked: DataFrame, units: DataFrame, on: Sequence[str], least: float = REVIEW, sql: bool = False) -> DataFrame:
+    """(on ..., a, b): the pairs of distinct keys ``a`` of ``asked`` and ``b`` of ``units`` that can score ``least``, each once; none that does is missing.
+
+    Such a pair shares a least number of characters, repeats included, that follows from its lengths. With the
+    characters of every key in one order, the rarest first, both keys must have one of that order's first few in common
+    (as many as may stay unshared, and one); so keys meet by block and character, and only those that share enough go on.
+    A pair comes from the rarest character that it shares, so it needn't be made distinct.
+    """
+    if not 0 < least <= 100:
+        raise ValueError("least must be above 0, at most 100")
+    on = list(on)
+
+    def signs(df: DataFrame, key: str) -> DataFrame:
+        keys = df.select(*on, key).distinct()
+        return keys.select(*on, key, F.explode(C.numbered_characters(key if sql else C.sorted_tokens(F.col(key)))).alias("sign"))
+
+    common = small(signs(units, "b").groupBy("sign").agg(F.count(F.lit(1)).alias("df")))
+
+    def ordered(df: DataFrame, key: str, name: str) -> DataFrame:
+        """(on ..., key, its characters with the rarest first, their number): one row for each of the first few, with its place."""
+        rare = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "sign")
+        rows = signs(df, key).join(common, "sign", "left").groupBy(*on, key).agg(F.array_sort(F.collect_list(rare)).alias("s"))
+        n = F.length(F.col(key) if sql else C.sorted_tokens(F.col(key)))
+        rows = rows.select(*on, key, F.col("s.sign").alias(name), n.alias(f"n_{name}"))
+        n = F.col(f"n_{name}")
+        shortest = n if sql else F.ceil(n * least / (200 - least) - 1e-9)
+        first = F.slice(name, F.lit(1), n - _least_shared(n, shortest, least, sql) + 1)
+        return rows.select("*", F.posexplode(first).alias(f"at_{name}", "sign"))
+
+    n, m = F.col("n_s"), F.col("n_t")
+    shared = F.array_intersect("s", "t")
+    enough = _least_shared(n, m, least, sql)
+    pairs = ordered(asked, "a", "s").join(ordered(units, "b", "t"), [*on, "sign"])
+    pairs = pairs.where((enough <= F.least(n, m)) & (F.col("at_s") <= n - enough) & (F.col("at_t") <= m - enough))
+    return pairs.where((F.size(shared) >= enough) & (F.get(shared, F.lit(0)) == F.col("sign"))).select(*on, "a", "b")
+
+
 def fuzzy_matches(items: DataFrame, known: DataFrame, full: bool = True, sql: bool = False, least: float = REVIEW) -> DataFrame:
     """The best known key of the block with a score of ``least`` or more; the first in order on a tie.
 
-    Whole units compare by name with every distinct key; items with a sub-unit
-    compare the composite key with units of their type that have one. Names repeat
-    among items, so each distinct key of a block is compared once and its match
-    joined back to the items that have it. Lengths that can't reach the score don't
-    get as far as it. ``sql`` takes the edit ratio.
+    Whole units compare by name; items with a sub-unit compare the composite key with units of their type that have one.
+    Names repeat, so distinct keys meet, as ``candidates`` that share enough characters, and a match is joined
+    back to the items that have the key. ``sql`` takes the edit ratio.
     """
     items, known = keyed(items, full), keyed(known, full)
     score = (lambda a, b: C.edit_ratio(a, b)) if sql else (lambda a, b: C.indel_ratio(a, b))
-    la, lb = F.length("a"), F.length("b")
-    if sql:
-        possible = F.least(la, lb) * 100.0 >= F.greatest(la, lb) * least
-    else:
-        possible = F.least(la, lb) * 200.0 >= (la + lb) * least
-
     columns = ["block", "input_pos", "item_pos", "unit_id", "confidence", "score"]
 
     def best(asked: DataFrame, units: DataFrame, on: list[str]) -> DataFrame:
-        pairs = asked.select(*on, "a").distinct().join(units, on).where(possible)
-        scored = pairs.withColumn("score", score(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+        pairs = candidates(asked, units, on, least, sql).withColumn("score", score(F.col("a"), F.col("b")))
+        scored = pairs.where(F.col("score") >= least).join(units, [*on, "b"])
         won = top_per_key(scored, [*on, "a"], 1, F.desc("score"), F.col("pos")).select(*on, "a", "unit_id", "score")
         return asked.join(won, [*on, "a"]).select(*columns)
 
     units = known.groupBy("block", F.col("name_key").alias("b")).agg(F.min("pos").alias("pos"), F.min_by("unit_id", "pos").alias("unit_id"))
     whole = best(items.where("sub_key = ''").withColumnRenamed("name_key", "a"), units, ["block"])
-    subs = known.where("sub_key <> ''").select("block", "unit_type", F.col("full_key").alias("b"), "pos", "unit_id")
+    subs = known.where("sub_key <> ''").groupBy("block", "unit_type", F.col("full_key").alias("b")).agg(F.min("pos").alias("pos"), F.min_by("unit_id", "pos").alias("unit_id"))
     part = best(items.where("sub_key <> ''").withColumnRenamed("full_key", "a"), subs, ["block", "unit_type"])
     return whole.unionByName(part).withColumn("method", F.when(F.col("score") >= FUZZY, "fuzzy").otherwise("llm"))
 

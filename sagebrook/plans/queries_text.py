@@ -458,6 +458,34 @@ def fuzzy_match(spark, d):
     return M.fuzzy_matches(_items(spark, d), _known(spark, d))
 
 
+def _sub_known(spark: SparkSession, d: str) -> DataFrame:
+    sub = F.concat(F.lit("size "), F.col("p_size").cast("string"))
+    return table(spark, d, "part").select(F.col("p_brand").alias("block"), F.col("p_partkey").alias("unit_id"), F.col("p_partkey").alias("pos"), F.col("p_type").alias("unit_type"), F.col("p_name").alias("name"), sub.alias("sub"))
+
+
+def _sub_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every part as an item with a sub-unit, a third of the names and a third of the sub-units cut short."""
+    k, name, sub = F.col("p_partkey") % 3, F.col("name"), F.col("sub")
+    rows = table(spark, d, "part").withColumns({"name": F.col("p_name"), "sub": F.concat(F.lit("size"), F.col("p_size").cast("string"))})
+    cut = F.when(k == 1, F.substr(name, F.lit(2))).otherwise(name)
+    return rows.select(F.col("p_brand").alias("block"), F.col("p_partkey").alias("input_pos"), F.lit(0).alias("item_pos"), F.col("p_type").alias("unit_type"), cut.alias("name"),
+                       F.when(k == 2, F.substr(sub, F.lit(2))).otherwise(sub).alias("sub"), F.lit("high").alias("confidence"))
+
+
+@query("""WITH u AS (SELECT p_brand AS block, p_type AS t, replace(p_name || '/size' || p_size, ' ', '') AS b, min(p_partkey) AS pos FROM part GROUP BY ALL),
+ i AS (SELECT p_brand AS block, p_type AS t, p_partkey AS input_pos, replace(CASE WHEN p_partkey % 3 = 1 THEN substr(p_name, 2) ELSE p_name END || '/' || CASE WHEN p_partkey % 3 = 2 THEN 'ize' ELSE 'size' END || p_size, ' ', '') AS a FROM part),
+ s AS (SELECT i.block, input_pos, pos, 100.0::DOUBLE * (greatest(length(a), length(b)) - levenshtein(a, b)) / greatest(length(a), length(b)) AS score FROM i JOIN u ON u.block = i.block AND u.t = i.t)
+ SELECT block, input_pos, pos AS unit_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY block, input_pos ORDER BY score DESC, pos) AS k FROM s WHERE score >= 75) WHERE k = 1""")
+def sub_unit_match_edit(spark, d):
+    out = M.fuzzy_matches(_sub_items(spark, d), _sub_known(spark, d), full=False, sql=True)
+    return out.select("block", "input_pos", "unit_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def sub_unit_match(spark, d):
+    return M.fuzzy_matches(_sub_items(spark, d), _sub_known(spark, d))
+
+
 @query()
 def match_resolved(spark, d):
     return M.resolved(_items(spark, d), _known(spark, d))
