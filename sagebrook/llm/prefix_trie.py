@@ -52,14 +52,14 @@ def conversation_paths(turns: DataFrame, conv_col: str = "conv_id", turn_col: st
 
 
 def rebuilt_paths(paths: DataFrame, every: int = 20, most: int = 4) -> DataFrame:
-    """Each conversation c with its first h turns replaced by those of conversation c - c % ``every``, h = crc32(c) % ``most``.
+    """Each conversation c with its first h turns replaced by those of conversation c - c % ``every`` (the multiple at or below c), h = crc32(c) % ``most``.
 
-    A conversation that isn't there has no turns to give. One meets at most 2 * ``every`` - 1 others, over its first turns only.
+    A conversation that isn't there has no turns to give. One meets at most ``every`` conversations, over its first turns only.
     """
     c = F.col("conv")
     first = paths.where(c % every == 0).select(c.alias("base"), F.slice("path", 1, most - 1).alias("first"))
     h = (F.crc32(c.cast("string").cast("binary")) % most).cast("int")
-    joined = paths.select("conv", "path", (c - c % every).alias("base"), h.alias("h")).join(first, "base", "left")
+    joined = paths.select("conv", "path", (c - F.pmod(c, F.lit(every))).alias("base"), h.alias("h")).join(first, "base", "left")
     given = F.coalesce(F.slice("first", F.lit(1), F.col("h")), F.slice("path", 1, 0))
     return joined.select("conv", F.concat(given, F.slice(F.col("path"), F.col("h") + 1, F.size("path"))).alias("path"))
 
