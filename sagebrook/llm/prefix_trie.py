@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import SPACES, attach, stored
 
 #: A container holds at most so many distinct conversations.
-CONTAINER = 4096
+CONTAINER = 512
 #: So many heads are broadcast (some 50 bytes each); more are joined through a shuffle.
 BROADCAST_HEADS = 65_536
 #: Ids of equal conversations are joined to texts of about so many characters before they meet.

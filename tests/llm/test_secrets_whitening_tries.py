@@ -198,7 +198,7 @@ def test_trie_query(spark):
     assert plain(queries.op13_prefix_trie(spark, D).collect()) == plain_trie(rows)
 
 
-@pytest.mark.parametrize("container", [1, 2, 4096])
+@pytest.mark.parametrize("container", [1, 2, 512])
 def test_trie_of_shared_and_odd_conversations(spark, monkeypatch, container):
     """Long shared beginnings, prefixes of one another, many copies, missing first conversations, nulls; containers that burst at every size."""
     monkeypatch.setattr(prefix_trie, "CHUNK", 40)
