@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sagebrook.llm import tokens as tokens_module
+from sagebrook.llm.common import new_path
 from sagebrook.llm import bpe, language_id, language_model, quality_model, quality_rules, toxicity
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -284,6 +285,36 @@ def test_toxicity_against_plain_kneser_ney(spark, order):
     assert np.allclose(got, [ratio(w) for w in asked], atol=1e-4)
 
 
+def test_toxicity_pairs_and_evidence_against_plain_counts(spark):
+    """Weights of pairs by the rule, and all four parts of a text's evidence from plain dictionaries."""
+    rng = np.random.default_rng(8)
+    word = lambda: str(rng.choice(["an", "er", "tist", "the", "r\u00e9", "bring", "dinner"]))
+    texts = [(int(i % 4 == 0), " ".join(word() for _ in range(int(rng.integers(1, 9))))) for i in range(80)]
+    split = lambda text: re.findall(r"[a-z\x80-\U0010ffff]+", text.lower())
+    holds = [collections.Counter(), collections.Counter()]
+    for label, text in texts:
+        w = split(text)
+        holds[label].update(set(zip(w, w[1:])))
+    n = [sum(h.values()) for h in holds]
+
+    def weight(pair):
+        rest = 0.75 if holds[0][pair] else 0.375
+        p = [(max(holds[k][pair] - 0.75, 0) + rest) / n[k] for k in (0, 1)]
+        return math.log(p[1] / p[0]) if holds[1][pair] else 0.0
+
+    df = spark.createDataFrame(texts, "label int, text string")
+    got = sorted(r.weight for r in toxicity.pair_weights(df, new_path(spark, "pairs")).collect())
+    assert np.allclose(got, sorted(w for w in map(weight, holds[1]) if w > 0), atol=1e-5)
+    model, ratio = toxicity.count_model(df, 5), plain_kneser_ney(texts, 5)
+    asked = [t for _, t in texts[:30]] + ["", "bring dinner bring dinner", "new words the end"]
+    for text, found in zip(asked, model.evidence(pa.array(asked))):
+        w = split(text)
+        ratios = {x: ratio(x) for x in w}
+        top = lambda values: sum(sorted((v for v in values if v > 0), reverse=True)[:3])
+        want = sum(ratios[x] for x in w) / (len(w) + 1), top(ratios.values()), top(map(weight, set(zip(w, w[1:])))), math.log1p(len(ratios))
+        assert np.allclose(found, want, atol=1e-3)
+
+
 def test_long_texts_give_what_short_steps_give(spark, monkeypatch):
     """Texts cut into many parts have the evidence, features, likelihoods and counts of whole ones."""
     rng = np.random.default_rng(6)
