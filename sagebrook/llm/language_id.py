@@ -30,8 +30,8 @@ from .tokens import LOWER, overlapping, sums_by_row
 FOLDS, HELD_OUT = 5, 0
 #: Rows of each language that the trigram model is fitted on, at most.
 SAMPLE = 2_000
-#: A declared language with fewer rows outside the held-out fold is evidence but no class.
-LEAST_ROWS = 20
+#: A declared language with fewer rows is evidence but no class. One row makes a class: a table without rows to fit is as flat as that of no language.
+LEAST_ROWS = 1
 BUCKETS = 1 << 15
 #: Languages of one table of the model, and bytes of a step: their product bounds a worker's memory.
 BLOCK, STEP = 32, 1 << 18
@@ -104,11 +104,11 @@ class Trigrams:
 def fit_trigrams(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int, least_rows: int = LEAST_ROWS) -> Trigrams:
     """Log-probabilities of the trigrams of each language with ``least_rows`` declared rows, from at most ``sample`` rows of each.
 
-    Rows of the held-out fold, with null texts or without a language subtag don't count. The
+    Rows with null texts or without a language subtag don't count; those of the held-out fold declare a language but aren't fitted. The
     sample takes the first rows by hash of id and language; rows that repeat the last one's id come with it.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), primary_subtag(F.col(lang_col)).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of("doc_id", FOLDS) != HELD_OUT))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= least_rows).collect()  # subtags have two or three letters
     langs = sorted(r["lang"] for r in sizes)
     folder = new_path(docs.sparkSession, "language-model")
@@ -116,7 +116,7 @@ def fit_trigrams(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sam
         return Trigrams([], folder)
     numbers = F.broadcast(docs.sparkSession.createDataFrame([(n, k, int(r["rows"])) for r in sizes for k, n in [(langs.index(r["lang"]), r["lang"])]], "lang string, number int, rows long"))
     order = F.xxhash64("doc_id", "lang")
-    near = rows.withColumn("hash", order).join(numbers, "lang").where(F.col("hash") / float(1 << 64) + 0.5 <= F.lit(2.0 * sample) / F.col("rows"))  # about twice the sample
+    near = rows.where(fold_of("doc_id", FOLDS) != HELD_OUT).withColumn("hash", order).join(numbers, "lang").where(F.col("hash") / float(1 << 64) + 0.5 <= F.lit(2.0 * sample) / F.col("rows"))  # about twice the sample
     place = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
     last = near.select("lang", "hash").withColumn("place", place).where(F.col("place") <= sample).groupBy("lang").agg(F.max("hash").alias("last"))
     chosen = near.join(F.broadcast(last), "lang").where(F.col("hash") <= F.col("last"))  # a row for each language; texts don't move
@@ -134,7 +134,8 @@ def fit_trigrams(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sam
         save(folder, f"trigrams-{block}", np.log(table / table.sum(axis=0)).astype(np.float32))
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32())], ["block"])
 
-    counts = trigram_counts(chosen).join(numbers, "lang").select(F.expr(f"cast(number div {BLOCK} as int)").alias("block"), "number", "bucket", "n")
+    counts = trigram_counts(chosen).unionByName(numbers.select("lang", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("n")))  # languages without rows to fit, too
+    counts = counts.join(numbers, "lang").select(F.expr(f"cast(number div {BLOCK} as int)").alias("block"), "number", "bucket", "n")
     counts.repartitionById(blocks, "block").mapInArrow(work, "block int").collect()  # a number for each block
     return Trigrams(langs, folder)
 
@@ -285,7 +286,8 @@ def page_languages(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", u
 
 
 def drop_unidentified(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", host_col: str = "source", sample: int = SAMPLE, least: float = LEAST
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", host_col: str = "source", sample: int = SAMPLE, least: float = LEAST,
+    least_rows: int = LEAST_ROWS,
 ) -> DataFrame:
     """``docs`` without the rows whose language stays undetermined, all columns as they came.
 
@@ -294,7 +296,7 @@ def drop_unidentified(
     ids too, and go through a bit filter, so that texts don't shuffle. If rows that share id and text
     differ in declaration or source, they go only if all of them are rejected.
     """
-    model = fit_trigrams(docs, id_col, text_col, lang_col, sample)
+    model = fit_trigrams(docs, id_col, text_col, lang_col, sample, least_rows)
     found = identify(document_rows(docs, id_col, text_col, lang_col, host_col), model, least)
     rejected = found.groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept")).where(~F.col("kept"))
     return without_rows(docs, id_col, text_col, rejected)

@@ -382,3 +382,18 @@ def test_evidence_without_text_comes_from_host_and_declaration(spark):
     french = docs.where("lang = 'fr'").selectExpr("doc_id + 100000 AS doc_id", "text", "lang", "'only-french' AS source")
     rows = {r.doc_id: r for r in language_id.document_languages(docs.select("doc_id", "text", "lang", "source").unionByName(french).unionByName(extra)).collect()}
     assert rows[10**7].language == "fr" and rows[10**7 + 1].language == "de"
+
+
+@pytest.mark.parametrize("rows", [1, 15])
+def test_rare_declared_languages_stay(spark, rows):
+    """A language that 15 documents declare, or one that no fitted row does, is a class of its own; its documents stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    shifted = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "nopqrstuvwxyzabcdefghijklm")
+    held = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0) if rows == 1 else F.lit(True)
+    rare = docs.where(F.length("text") > 300).where(held).orderBy("doc_id").limit(rows).select((F.col("doc_id") if rows == 1 else F.col("doc_id") + 100_000).alias("doc_id"), shifted.alias("text"), F.lit("ga").alias("lang"), F.lit("src0").alias("source"))
+    every = docs.join(rare.select("doc_id"), "doc_id", "left_anti").unionByName(rare)
+    kept = language_id.drop_unidentified(every)
+    assert kept.join(rare.select("doc_id"), "doc_id").count() == rows
+    found = language_id.document_languages(every).join(rare.select("doc_id"), "doc_id")
+    assert {r.language for r in found.collect()} == {"ga"}
+    assert kept.count() >= 0.97 * every.where(F.length("text") > 300).count()
