@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A dimension with at most so many rows is broadcast; a larger one is joined through a shuffle.
@@ -22,6 +24,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint() if sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() else df
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``; without that setting a temporary folder, for a local master only."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="sagebrook-")
+    return f"{folder.rstrip('/')}/sagebrook/{name}-{uuid.uuid4().hex}"
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order; the order should end in a unique column."""
     return top_per_key(df, keys, 1, *order)

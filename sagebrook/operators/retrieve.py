@@ -6,21 +6,23 @@ them. A query table is broadcast only after a check of its size.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions import columns as C
-from .common import BROADCAST_ROWS, cut, small, top_per_key
+from .common import BROADCAST_ROWS, cut, small, top_per_key, work_path
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-#: So many query vectors are held by each task.
-MATRIX_QUERIES = 10_000
+#: So many query vectors are held by each task; of more, blocks of so many meet tiles of so many chunks.
+MATRIX_QUERIES, TILE_CHUNKS = 10_000, 50_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,7 +42,8 @@ def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str =
     Each query meets every chunk that passes its filters (pairs of query and
     chunk column that must be equal): a stated query set against all rows. Up to ``MATRIX_QUERIES``
     queries (read when the plan is built) go to the tasks as matrices, which multiply the chunks' vectors in slices and pass on what can
-    be among a task's k best; more queries meet the chunks in a join. Scores are rounded to 6
+    be among a task's k best. More queries are dealt to blocks and the chunks to tiles (both counted when the plan is built); a task
+    multiplies one block by one tile and passes on the tile's k best of each query. Scores are rounded to 6
     digits before ranking; ties go by id. Zero vectors, vectors with nulls or NaN and vectors of
     other lengths have no score and come last.
     """
@@ -52,52 +55,197 @@ def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str =
         names = q.sparkSession.createDataFrame([(n, r[0]) for n, r in enumerate(asked)], StructType([StructField("_n", IntegerType()), q.schema[query_id]]))
         found = _nearest([(r[1], tuple(r[2:])) for r in asked], c, k).join(F.broadcast(names), "_n")  # at most MATRIX_QUERIES rows
     else:
-        on = F.lit(True)
-        for n in range(len(equal)):
-            on = on & (F.col(f"_f{n}") == F.col(f"_g{n}"))
-        lengths = [q.withColumn("_qn", F.sqrt(dot(F.col("_q"), F.col("_q")))), c.withColumn("_cn", F.sqrt(dot(F.col("_c"), F.col("_c"))))]  # once a row, not once a pair
-        found = lengths[1].join(lengths[0], on).withColumn("score", F.nanvl(dot(F.col("_q"), F.col("_c")) / F.nullif(F.col("_qn") * F.col("_cn"), F.lit(0.0)), F.lit(None)))
+        found = _tiled(q, c, k)
     return top_per_key(found.select(query_id, chunk_id, F.round("score", 6).alias("score")), [query_id], k, F.desc("score"), F.col(chunk_id), rank="rank")
 
 
-def _nearest(asked: Sequence[tuple[Sequence[float] | None, tuple]], chunks: DataFrame, k: int) -> DataFrame:
-    """(_n, chunk id, score): for the n-th of ``asked`` (vector, values) all chunks (id, vector, values) with these values that can be among its k best."""
+def _matrices(asked: Sequence[tuple[Sequence[float] | None, tuple]]) -> list[tuple]:
+    """(values, places, vectors, lengths) of the queries (vector, values) with the same values and width."""
     grouped: dict[tuple, list[int]] = {}
     for n, (v, values) in enumerate(asked):
         if None not in values:
             grouped.setdefault((values, len(v or ())), []).append(n)
-    matrices = []
+    out = []
     for (values, width), ns in grouped.items():
         m = np.array([asked[n][0] or () for n in ns], float).reshape(len(ns), width)
-        matrices.append((values, np.array(ns, np.int32), m, np.sqrt((m * m).sum(1))))
-    shared = chunks.sparkSession.sparkContext.broadcast(matrices)
+        out.append((values, np.array(ns, np.int32), m, np.sqrt((m * m).sum(1))))
+    return out
+
+
+class _Best:
+    """The k best scores of each query so far, over chunks that come in parts (id, vector, values ...)."""
+
+    def __init__(self, matrices: list[tuple], k: int):
+        self.matrices, self.k = matrices, k
+        self.best = [np.full((len(ns), k), -np.inf) for _, ns, _, _ in matrices]
+        self.codes = {values: n for n, values in enumerate({m[0]: None for m in matrices})}
+        self.rows = max(1, 4_000_000 // max(1, sum(len(m[1]) for m in matrices)))
+
+    def add(self, batch: pa.RecordBatch | pa.Table) -> Iterator[tuple[np.ndarray, pa.Array, pa.Array]]:
+        """(places of queries, chunk ids, scores) of what can be among the k best, slice by slice."""
+        for at in range(0, batch.num_rows, self.rows):
+            part = batch.slice(at, self.rows)
+            values = zip(*[part.column(i).to_pylist() for i in range(2, part.num_columns)]) if part.num_columns > 2 else [()] * part.num_rows
+            code = np.fromiter((self.codes.get(v, -1) for v in values), np.int64, part.num_rows)
+            vectors = part.column(1)
+            sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy()
+            for g, (wanted, ns, matrix, lengths) in enumerate(self.matrices):
+                own = np.flatnonzero(code == self.codes[wanted])
+                score = np.full((len(ns), len(own)), -np.inf)
+                same = np.flatnonzero(sizes[own] == matrix.shape[1])
+                m = pc.list_flatten(vectors.take(pa.array(own[same]))).to_numpy(zero_copy_only=False).reshape(len(same), matrix.shape[1])
+                with np.errstate(all="ignore"):
+                    s = matrix @ m.T / (lengths[:, None] * np.sqrt((m * m).sum(1)))
+                score[:, same] = np.where(np.isfinite(s), s, -np.inf)
+                self.best[g] = np.sort(np.concatenate([self.best[g], score], 1), 1)[:, -self.k :]
+                i, j = np.nonzero(score >= self.best[g][:, :1] - 2e-6)  # what is lower is lower after rounding, too
+                out = score[i, j]
+                yield ns[i], part.column(0).take(pa.array(own[j])), pa.array(out, mask=np.isinf(out))
+
+
+def _nearest(asked: Sequence[tuple[Sequence[float] | None, tuple]], chunks: DataFrame, k: int) -> DataFrame:
+    """(_n, chunk id, score): for the n-th of ``asked`` (vector, values) all chunks (id, vector, values) with these values that can be among its k best."""
+    shared = chunks.sparkSession.sparkContext.broadcast(_matrices(asked))
     name, kind = chunks.columns[0], chunks.schema[0].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [np.full((len(ns), k), -np.inf) for _, ns, _, _ in shared.value]
-        rows = max(1, 4_000_000 // max(1, len(asked)))
+        best = _Best(shared.value, k)
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                values = list(zip(*[part.column(i).to_pylist() for i in range(2, part.num_columns)])) or [()] * part.num_rows
-                sizes = pc.fill_null(pc.list_value_length(part.column(1)), -1).to_numpy()
-                for g, (wanted, ns, matrix, lengths) in enumerate(shared.value):
-                    own = np.flatnonzero([v == wanted for v in values])
-                    score = np.full((len(ns), len(own)), -np.inf)
-                    same = np.flatnonzero(sizes[own] == matrix.shape[1])
-                    m = part.column(1).take(pa.array(own[same])).flatten().to_numpy(zero_copy_only=False).reshape(len(same), matrix.shape[1])
-                    with np.errstate(all="ignore"):
-                        s = matrix @ m.T / (lengths[:, None] * np.sqrt((m * m).sum(1)))
-                    score[:, same] = np.where(np.isfinite(s), s, -np.inf)
-                    best[g] = np.sort(np.concatenate([best[g], score], 1), 1)[:, -k:]
-                    i, j = np.nonzero(score >= best[g][:, :1] - 2e-6)  # what is lower is lower after rounding, too
-                    out = score[i, j]
-                    columns = [pa.array(ns[i]), part.column(0).take(pa.array(own[j])), pa.array(out, mask=np.isinf(out))]
-                    yield pa.RecordBatch.from_arrays(columns, ["_n", name, "score"])
+            for n, ids, scores in best.add(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(n), ids, scores], ["_n", name, "score"])
 
     return chunks.mapInArrow(work, f"_n int, `{name}` {kind}, score double")
 
 
+def _tiled(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(query id, chunk id, score) as ``_nearest``, for any number of queries: every block of queries meets every tile of chunks in a task of its own."""
+    blocks = -(-queries.count() // MATRIX_QUERIES)
+    tiles = max(1, -(-chunks.count() // TILE_CHUNKS))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    own = lambda df, n, name: F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).cast("int").alias(name)
+    left = queries.select("*", own(queries, blocks, "_block"), every(tiles, "_tile"))
+    right = chunks.select("*", own(chunks, tiles, "_tile"), every(blocks, "_block"))
+    names = queries.columns[0], chunks.columns[0]
+    kinds = queries.schema[0].dataType.simpleString(), chunks.schema[0].dataType.simpleString()
+    width = len(queries.columns)
+
+    def work(asked: pa.Table, tile: pa.Table) -> pa.Table:
+        rows = list(zip(asked.column(1).to_pylist(), zip(*[asked.column(i).to_pylist() for i in range(2, width)]) if width > 2 else [()] * asked.num_rows))
+        ids = asked.column(0).combine_chunks()
+        found = [pa.table([ids.take(pa.array(n)), c, s], [*names, "score"]) for n, c, s in _Best(_matrices(rows), k).add(tile.select(range(width)).combine_chunks())]
+        none = pa.table([ids.slice(0, 0), tile.column(0).slice(0, 0), pa.array([], pa.float64())], [*names, "score"])
+        return pa.concat_tables([none, *found])
+
+    pairs = left.groupBy("_block", "_tile").cogroup(right.groupBy("_block", "_tile"))
+    return pairs.applyInArrow(work, f"`{names[0]}` {kinds[0]}, `{names[1]}` {kinds[1]}, score double")
+
+
+_POSTING = ["token", "chunk_id", "tf", "len"]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(token, chunk_id, tf, len) of rows (chunk_id, tokens): each distinct token of a chunk, and a row without a token for the chunk itself."""
+    for batch in batches:
+        tokens = batch.column(1)
+        sizes = pc.fill_null(pc.list_value_length(tokens), 0).cast(pa.int64())
+        words = pc.list_flatten(tokens).dictionary_encode()
+        each = pc.list_parent_indices(tokens).to_numpy().astype(np.int64) << 32 | words.indices.to_numpy(zero_copy_only=False)
+        pair, tf = np.unique(each, return_counts=True)
+        yield pa.RecordBatch.from_arrays([words.dictionary.cast(pa.string()).take(pa.array(pair & 0xFFFFFFFF)), batch.column(0).take(pa.array(pair >> 32)), pa.array(tf), sizes.take(pa.array(pair >> 32))], _POSTING)
+        yield pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.string()), batch.column(0), pa.array(np.zeros(batch.num_rows, np.int64)), sizes], _POSTING)
+
+
+#: Postings of a token that one file holds at most, about; buckets of tokens in a small index and in others.
+SPLIT, BUCKETS = 1 << 22, (16, 64)
+
+
+def index_chunks(chunks: DataFrame, path: str, chunk_id: str = "chunk_id", text: str = "text", tokens=C.bigram_tokens) -> int:
+    """Adds the chunks that the inverted index at ``path`` hasn't got; returns how many.
+
+    A chunk is tokenised once, in its row. ``postings`` (token, chunk_id, tf, len) lie by bucket of the token, each file sorted by
+    token, so that a query reads the buckets of its tokens and there the row groups that can hold them;
+    ``terms`` has a token's document frequency, largest tf and least length in the part. Each run writes a part, listed in ``parts`` when it is whole: a
+    run that fails leaves nothing that counts. A token of very many chunks is split over files by chunk. Null texts have no tokens.
+    """
+    spark = chunks.sparkSession
+    done = _parts(spark, path)
+    new = chunks.select(F.col(chunk_id).alias("chunk_id"), tokens(F.col(text)).alias("tokens"))
+    if done:
+        new = new.join(_read(spark, path, "postings", done).where(F.col("bucket") == -1).select("chunk_id"), "chunk_id", "left_anti")
+    kind = new.schema["chunk_id"].dataType.simpleString()
+    counted = new.mapInArrow(_counted, f"token string, chunk_id {kind}, tf long, len long")
+    rows = new.select("chunk_id").count()
+    if not rows:
+        return 0
+    splits = rows // SPLIT + 1
+    buckets = done[0]["buckets"] if done else BUCKETS[0 if rows < BUCKETS[1] * 1024 else 1]
+    bucket = F.when(F.col("token").isNull(), -1).otherwise(_bucket(F.col("token"), buckets))
+    place = (F.col("bucket") + 1) * splits + F.pmod(F.xxhash64("chunk_id"), F.lit(splits)).cast("int")
+    part = uuid.uuid4().hex
+    dealt = counted.withColumn("bucket", bucket).repartitionById((buckets + 1) * splits, place).sortWithinPartitions("bucket", "token")
+    dealt.write.partitionBy("bucket").parquet(f"{path}/postings/part={part}")
+    own = _read(spark, path, "postings", [{"part": part}])
+    own.where("bucket >= 0").groupBy("token", "bucket").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len")).write.parquet(f"{path}/terms/part={part}")
+    size = own.where("bucket = -1").agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("len"))
+    size.select(F.lit(part).alias("part"), F.lit(buckets).alias("buckets"), "docs", "len").coalesce(1).write.mode("append").parquet(f"{path}/parts")
+    return next(r["docs"] for r in _parts(spark, path) if r["part"] == part)
+
+
+def _bucket(token: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
+
+
+def _parts(spark: SparkSession, path: str) -> list:
+    """The finished parts of an index (part, buckets, docs, len): a row for each run that added to it."""
+    try:
+        return spark.read.parquet(f"{path}/parts").collect()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return []
+
+
+def _read(spark: SparkSession, path: str, table: str, parts: Sequence) -> DataFrame:
+    return spark.read.option("basePath", f"{path}/{table}").parquet(*[f"{path}/{table}/part={p['part']}" for p in parts])
+
+
+def bm25_search(queries: DataFrame, path: str, k: int, query_id: str = "query_id", query_text: str = "query", chunk_id: str = "chunk_id", tokens=C.bigram_tokens) -> DataFrame:
+    """R2: (query_id, chunk_id, score, rank) by Okapi BM25 from the index at ``path``, without the chunks' texts; repeated query tokens count as often.
+
+    Only postings of the queries' tokens are read. A token in more than half the chunks has a negative weight, which the mean
+    weight of the vocabulary times ``EPSILON`` replaces. A query with less than ``k`` hits is filled up with chunks of score 0, the first by id.
+    """
+    spark = queries.sparkSession
+    parts = _parts(spark, path)
+    docs, total = sum(p["docs"] for p in parts), sum(p["len"] for p in parts)
+    if not docs:
+        raise ValueError(f"no index at {path}")
+    average = total / docs
+    wanted = queries.select(query_id, F.explode(tokens(F.col(query_text))).alias("token")).groupBy(query_id, "token").agg(F.count(F.lit(1)).alias("times"))
+    terms = _read(spark, path, "terms", parts).groupBy("token").agg(F.sum("df").alias("df"))
+    weighted = terms.withColumn("raw", F.log(F.lit(docs) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = weighted.agg(F.avg("raw").alias("mean_raw"))
+    asked = wanted.join(weighted, "token").crossJoin(F.broadcast(mean))  # one row
+    idf = F.when(F.col("raw") < 0, EPSILON * F.col("mean_raw")).otherwise(F.col("raw"))
+    asked = cut(asked.select(query_id, "token", _bucket(F.col("token"), parts[0]["buckets"]).alias("bucket"), (F.col("times") * idf).alias("weight")))
+    postings = _read(spark, path, "postings", parts).select("token", "bucket", F.col("chunk_id").alias(chunk_id), "tf", "len")
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(average)))
+    scored = postings.join(small(asked), ["bucket", "token"]).groupBy(query_id, chunk_id).agg(F.round(F.sum(part), 6).alias("score"))
+    return _filled(scored, queries, postings.where("bucket = -1"), k, query_id, chunk_id)
+
+
+def _filled(scored: DataFrame, queries: DataFrame, chunks: DataFrame, k: int, query_id: str, chunk_id: str) -> DataFrame:
+    """The ``k`` best of (query, chunk, score) with their rank; queries with less hits go on with the first chunks that they didn't hit, with score 0.
+
+    The few queries that need it meet 2 k chunk ids: of these k at least aren't hits.
+    """
+    found = cut(top_per_key(scored, [query_id], k, F.desc("score"), F.col(chunk_id)))
+    first = chunks.select(chunk_id).orderBy(chunk_id).limit(2 * k)
+    few = queries.select(query_id).join(found.groupBy(query_id).count().where(F.col("count") >= k), query_id, "left_anti").distinct()
+    zero = few.crossJoin(F.broadcast(first)).join(found.select(query_id, chunk_id), [query_id, chunk_id], "left_anti").withColumn("score", F.lit(0.0))  # 2 k ids
+    return top_per_key(found.unionByName(zero), [query_id], k, F.desc("score"), F.col(chunk_id), rank="rank")
+
+
 def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id", query_text: str = "query", chunk_id: str = "chunk_id", text: str = "text",
                tokens=C.bigram_tokens) -> DataFrame:
     """R2: (query_id, chunk_id, score, rank) by Okapi BM25; repeated query tokens count as often.
@@ -106,7 +254,8 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "q
     before they move; this vocabulary and the queries' tokens are stored (a checkpoint, where the session has a folder).
     In the second only tokens that a query has (a broadcast semi-join) go on to term frequencies. A token
     in more than half the chunks has a negative weight, which the mean weight times
-    ``EPSILON`` replaces. Chunks without a query token score 0 and are left out.
+    ``EPSILON`` replaces. A query with less than ``k`` hits is filled up with chunks of score 0, the first by id.
+    For chunks that are searched again and again there is ``index_chunks``.
     """
     wanted = cut(queries.select(query_id, F.explode(tokens(F.col(query_text))).alias("token")).groupBy(query_id, "token").agg(F.count(F.lit(1)).alias("times")))
     asked = small(wanted.select("token").distinct())
@@ -129,7 +278,7 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "q
     )
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = counted.join(small(wanted.join(idf, "token")), "token").groupBy(query_id, chunk_id).agg(F.round(F.sum(part), 6).alias("score"))
-    return top_per_key(scored, [query_id], k, F.desc("score"), F.col(chunk_id), rank="rank")
+    return _filled(scored, queries, chunks, k, query_id, chunk_id)
 
 
 def fused(rankings: Sequence[DataFrame], query_id: str = "query_id", chunk_id: str = "chunk_id", k: int = 60, top: int = 20) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators import filters as P
 from ..operators import match as M
 from ..operators import retrieve as R
 from ..operators import web as W
-from ..operators.common import share_of_total, small, top_per_key
+from ..operators.common import share_of_total, small, top_per_key, work_path
 from .queries_core import HOST_SQL
 from .registry import query, table
 
@@ -325,7 +325,7 @@ def vector_topk_filtered(spark, d):
 
 def word_tokens(text):
     """Lower-cased words, for texts in Latin letters."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\P{L}+"), "")
 
 
 TOKENS_SQL = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}]+'), lambda x: x <> '')"
@@ -347,6 +347,16 @@ def bm25_topk(spark, d):
     return R.bm25_top_k(_queries(spark, d), _texts(spark, d), 10, tokens=word_tokens)
 
 
+@query(f"WITH {BM25_SQL} SELECT * FROM bm WHERE rank <= 10")
+def bm25_index_topk(spark, d):
+    """The same from a stored index that grows by a part and is then searched without the texts."""
+    path, texts = work_path(spark, "bm25"), _texts(spark, d)
+    english = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("chunk_id"), "text")
+    R.index_chunks(english, path, tokens=word_tokens)
+    R.index_chunks(texts, path, tokens=word_tokens)  # all that the first part hasn't got
+    return R.bm25_search(_queries(spark, d), path, 10, tokens=word_tokens)
+
+
 FUSED_SQL = f"""vt AS ({VECTOR_SQL} true)) WHERE rank <= 20), rr AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM
  (SELECT query_id, chunk_id, rank FROM vt UNION ALL SELECT query_id, chunk_id, rank FROM bm WHERE rank <= 20) GROUP BY ALL),
  fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM rr)"""

@@ -81,7 +81,42 @@ def test_bm25_counts(spark):
     want = {(q, i): round(score(t, w), 6) for q, t in ((1, "a d d"), (2, "b")) for i, w in words.items() if set(t.split()) & set(w)}
     tokens = lambda t: F.filter(F.split(F.coalesce(t, F.lit("")), " "), lambda w: w != "")
     got = R.bm25_top_k(queries, chunks, 10, tokens=tokens).collect()
-    assert {(r.query_id, r.chunk_id): r.score for r in got} == pytest.approx(want)
+    assert {(r.query_id, r.chunk_id): r.score for r in got if r.score} == pytest.approx(want)
+    for q in (1, 2):  # filled up with the first chunks that have no query token
+        own = sorted((r.rank, r.chunk_id, r.score) for r in got if r.query_id == q)
+        assert [r[0] for r in own] == list(range(1, min(10, len(words)) + 1))
+        assert [c for _, c, score in own if not score] == sorted(i for i in words if (q, i) not in want)[: len(own) - sum(k[0] == q for k in want)]
+
+
+def test_bm25_index_grows_and_is_searched_again(spark, tmp_path):
+    """Parts added one after another search like one index; known chunks aren't added again, texts aren't read by a search, an unfinished part doesn't count."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
+    path, tokens = f"{tmp_path}/index", lambda t: F.filter(F.split(F.lower(F.coalesce(t, F.lit(""))), " "), lambda w: w != "")
+    assert R.index_chunks(docs.where("chunk_id % 3 = 0"), path, tokens=tokens) == docs.where("chunk_id % 3 = 0").count()
+    rest = R.index_chunks(docs, path, tokens=tokens)
+    assert rest == docs.where("chunk_id % 3 <> 0").count() and R.index_chunks(docs, path, tokens=tokens) == 0
+    spark.range(1).write.parquet(f"{path}/postings/part=broken/bucket=0")
+    for queries in ("chunk_id < 20", "chunk_id % 50 = 7"):
+        asked = docs.where(queries).select(F.col("chunk_id").alias("query_id"), F.substring("text", 1, 200).alias("query"))
+        asked = spark.createDataFrame(asked.collect(), asked.schema)
+        found = R.bm25_search(asked, path, 10, tokens=tokens)
+        whole = R.bm25_top_k(asked, docs, 10, tokens=tokens)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect())) and found.count() == 10 * asked.count()
+        assert not [f for f in found.inputFiles() if "documents" in f]
+
+
+def test_many_queries_meet_tiles_of_chunks(spark, monkeypatch):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    q, c = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label"), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
+    c = c.unionByName(spark.createDataFrame([(-1, None, 1), (-2, [0.0] * 64, 1), (-3, [1.0], None)], "chunk_id long, vector array<float>, label int"))
+    for equal in ([], [("label", "label")]):
+        want = sorted(map(tuple, R.vector_top_k(q, c, 5, equal=equal).collect()))
+        monkeypatch.setattr(R, "MATRIX_QUERIES", 60)
+        monkeypatch.setattr(R, "TILE_CHUNKS", 90)
+        found = R.vector_top_k(q, c, 5, equal=equal)
+        assert sorted(map(tuple, found.collect())) == want
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.undo()
 
 
 def test_sections_equal_the_loop(spark):
