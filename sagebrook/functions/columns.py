@@ -89,9 +89,10 @@ def sorted_tokens(text: Column) -> Column:
 
 
 def numbered_characters(text: Column) -> Column:
-    """The characters of a text, each with how many of it came before: two texts share as many of these as characters, repeats included."""
-    signs = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substr(text, i, F.lit(1))))
-    return F.transform(signs, lambda c, i: F.concat(c, (i - F.array_position(signs, c)).cast("string")))
+    """The characters of a text, each with how many of it came before, as one number: two texts share as many of these as characters, repeats included."""
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  (a lambda's variable is evaluated once, not once a character)
+    signs = lambda t: F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.substr(t, i, F.lit(1))))
+    return once(text, lambda t: once(signs(t), lambda s: F.transform(s, lambda c, i: F.ascii(c) * F.lit(1 << 32) + i - F.array_position(s, c))))
 
 
 def composite_key(name: Column, sub: Column, full: bool = True) -> Column:
@@ -276,26 +277,25 @@ def recovered_json(text: Column) -> Column:
     return F.when(F.try_parse_json(body).isNotNull(), body)
 
 
+def indel_score(x: str, y: str) -> float:
+    """F20 of two strings: 200 x longest common subsequence / total length, of their sorted tokens; 100 for two empty ones."""
+    x, y = (" ".join(sorted(t.split())) for t in (x, y))
+    if not x and not y:
+        return 100.0
+    where: dict[str, int] = {}
+    for i, c in enumerate(x):
+        where[c] = where.get(c, 0) | 1 << i
+    row = 0
+    for c in y:  # bit-parallel rows of the table
+        both = where.get(c, 0) | row
+        row = both & (both ^ (both - (row << 1 | 1)))
+    return 200.0 * row.bit_count() / (len(x) + len(y))
+
+
 @F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """200 x longest common subsequence / total length, of the two texts' sorted tokens; 100 for two empty ones."""
-
-    def ratio(x: str | None, y: str | None) -> float | None:
-        if x is None or y is None:
-            return None
-        x, y = (" ".join(sorted(t.split())) for t in (x, y))
-        if not x and not y:
-            return 100.0
-        where: dict[str, int] = {}
-        for i, c in enumerate(x):
-            where[c] = where.get(c, 0) | 1 << i
-        row = 0
-        for c in y:  # bit-parallel rows of the table
-            both = where.get(c, 0) | row
-            row = both & (both ^ (both - (row << 1 | 1)))
-        return 200.0 * row.bit_count() / (len(x) + len(y))
-
-    return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+    """``indel_score`` in Arrow batches; null if either is."""
+    return pd.Series([None if x is None or y is None else indel_score(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def edit_ratio(a: Column, b: Column) -> Column:

@@ -7,10 +7,12 @@ the block as an equi-key, so no unit meets another entity's names.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import columns as C
 from .common import small, top_per_key
@@ -42,7 +44,7 @@ def _least_shared(n: Column, m: Column, least: float, sql: bool) -> Column:
 
 
 def candidates(asked: DataFrame, units: DataFrame, on: Sequence[str], least: float = REVIEW, sql: bool = False) -> DataFrame:
-    """(on ..., a, b): the pairs of distinct keys ``a`` of ``asked`` and ``b`` of ``units`` that can score ``least``, each once; none that does is missing.
+    """(on ..., a, b, most): the pairs of distinct keys ``a`` of ``asked`` and ``b`` of ``units`` that can score ``least``, each once, and what they score at most; none that does is missing.
 
     Such a pair shares a least number of characters, repeats included, that follows from its lengths. With the
     characters of every key in one order, the rarest first, both keys must have one of that order's first few in common
@@ -63,7 +65,7 @@ def candidates(asked: DataFrame, units: DataFrame, on: Sequence[str], least: flo
         """(on ..., key, its characters with the rarest first, their number): one row for each of the first few, with its place."""
         rare = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "sign")
         rows = signs(df, key).join(common, "sign", "left").groupBy(*on, key).agg(F.array_sort(F.collect_list(rare)).alias("s"))
-        n = F.length(F.col(key) if sql else C.sorted_tokens(F.col(key)))
+        n = F.length(key) if sql else F.length(C.sorted_tokens(F.col(key)))
         rows = rows.select(*on, key, F.col("s.sign").alias(name), n.alias(f"n_{name}"))
         n = F.col(f"n_{name}")
         shortest = n if sql else F.ceil(n * least / (200 - least) - 1e-9)
@@ -75,7 +77,46 @@ def candidates(asked: DataFrame, units: DataFrame, on: Sequence[str], least: flo
     enough = _least_shared(n, m, least, sql)
     pairs = ordered(asked, "a", "s").join(ordered(units, "b", "t"), [*on, "sign"])
     pairs = pairs.where((enough <= F.least(n, m)) & (F.col("at_s") <= n - enough) & (F.col("at_t") <= m - enough))
-    return pairs.where((F.size(shared) >= enough) & (F.get(shared, F.lit(0)) == F.col("sign"))).select(*on, "a", "b")
+    found = pairs.where((F.size(shared) >= enough) & (F.get(shared, F.lit(0)) == F.col("sign")))
+    most = F.size(shared) * 100.0 / F.greatest(n, m, F.lit(1)) if sql else F.size(shared) * 200.0 / F.greatest(n + m, F.lit(1))
+    return found.select(*on, "a", "b", F.when(n + m > 0, most).otherwise(100.0).alias("most"))
+
+
+def _first_best(on: Sequence[str], least: float):
+    """For tasks over rows (on ..., a, b, most, pos, unit_id) sorted by key, highest ``most`` and ``pos``: the best unit of each key.
+
+    A key's pairs are scored until no later one can reach the best so far, so most pairs of a key with a near match aren't scored at all.
+    """
+    width = len(on) + 1
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, best, rows = None, None, []
+        for batch in batches:
+            for *new, b, most, pos, unit in zip(*(c.to_pylist() for c in batch.columns)):
+                if new != key:
+                    if best:
+                        rows.append((*key, best[2], best[0]))
+                    key, best = new, None
+                if best and most < best[0] - 1e-9:
+                    continue
+                score = C.indel_score(key[-1], b)
+                if score >= least and (not best or (-score, pos) < (-best[0], best[1])):
+                    best = score, pos, unit
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds(batch))], names(batch))
+                rows = []
+            schema = batch
+        if best:
+            rows.append((*key, best[2], best[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds(schema))], names(schema))
+
+    def kinds(batch: pa.RecordBatch) -> list[pa.DataType]:
+        return [*(batch.schema.types[:width]), batch.schema.types[-1], pa.float64()]
+
+    def names(batch: pa.RecordBatch) -> list[str]:
+        return [*batch.schema.names[:width], "unit_id", "score"]
+
+    return work
 
 
 def fuzzy_matches(items: DataFrame, known: DataFrame, full: bool = True, sql: bool = False, least: float = REVIEW) -> DataFrame:
@@ -86,13 +127,17 @@ def fuzzy_matches(items: DataFrame, known: DataFrame, full: bool = True, sql: bo
     back to the items that have the key. ``sql`` takes the edit ratio.
     """
     items, known = keyed(items, full), keyed(known, full)
-    score = (lambda a, b: C.edit_ratio(a, b)) if sql else (lambda a, b: C.indel_ratio(a, b))
     columns = ["block", "input_pos", "item_pos", "unit_id", "confidence", "score"]
 
     def best(asked: DataFrame, units: DataFrame, on: list[str]) -> DataFrame:
-        pairs = candidates(asked, units, on, least, sql).withColumn("score", score(F.col("a"), F.col("b")))
-        scored = pairs.where(F.col("score") >= least).join(units, [*on, "b"])
-        won = top_per_key(scored, [*on, "a"], 1, F.desc("score"), F.col("pos")).select(*on, "a", "unit_id", "score")
+        pairs = candidates(asked, units, on, least, sql).join(units, [*on, "b"])
+        if sql:
+            scored = pairs.withColumn("score", C.edit_ratio(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+            won = top_per_key(scored, [*on, "a"], 1, F.desc("score"), F.col("pos")).select(*on, "a", "unit_id", "score")
+        else:
+            rows = pairs.select(*on, "a", "b", "most", "pos", "unit_id").repartition(*on, "a").sortWithinPartitions(*on, "a", F.desc("most"), "pos")
+            schema = StructType([*(rows.schema[c] for c in (*on, "a", "unit_id")), StructField("score", DoubleType())])
+            won = rows.mapInArrow(_first_best(on, least), schema)
         return asked.join(won, [*on, "a"]).select(*columns)
 
     units = known.groupBy("block", F.col("name_key").alias("b")).agg(F.min("pos").alias("pos"), F.min_by("unit_id", "pos").alias("unit_id"))
