@@ -211,13 +211,29 @@ def looked_up(df: DataFrame, dimension: DataFrame, key: str, value: str, default
 
 
 def exact_else_like(names: DataFrame, dimension: DataFrame, name: str) -> DataFrame:
-    """For each wanted name the row of that name, else the first (by name) that holds it in any case.
+    """For each wanted name (column ``wanted``) the row of that name, else the first (by name) that holds it in any case.
 
-    ``names`` is a checked, small table of wanted names (column ``wanted``); the dimension is read once.
+    A name holds what it holds the rarest three letters of (fewer if it has fewer): names meet by these, by an equi-join, and
+    are compared then. Names that no row holds and null ones have no row; an empty one is held by every name.
     """
-    hit = F.contains(F.lower(F.col(name)), F.lower(F.col("wanted")))
-    found = dimension.join(small(names), hit)
-    return top_per_key(found.withColumn("exact", F.col(name) == F.col("wanted")), ["wanted"], 1, F.desc("exact"), F.col(name))
+    low = lambda c: F.lower(F.col(c))
+    size = lambda c: F.length(low(c))
+
+    def grams(c: str, n: Column) -> Column:
+        last = size(c) - n
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substr(low(c), i + 1, n)))
+
+    asked = names.select("wanted").where("wanted IS NOT NULL").distinct()
+    lengths = asked.select(F.least(size("wanted"), F.lit(3)).alias("n")).distinct()  # at most four rows
+    known = dimension.select(F.col(name).alias("_name")).where("_name IS NOT NULL").distinct()
+    held = known.crossJoin(F.broadcast(lengths)).where(size("_name") >= F.col("n")).select("_name", F.explode(grams("_name", F.col("n"))).alias("gram"))
+    own = asked.select("wanted", F.explode(grams("wanted", F.least(size("wanted"), F.lit(3)))).alias("gram"))
+    often = held.join(small(own.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = own.join(often, "gram").groupBy("wanted").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    pairs = held.join(small(rarest), "gram").where(F.contains(low("_name"), low("wanted")))
+    best = top_per_key(pairs.select("wanted", "_name", (F.col("_name") == F.col("wanted")).alias("exact")), ["wanted"], 1, F.desc("exact"), F.col("_name"))
+    rows = dimension.join(small(best), F.col(name) == F.col("_name")).drop("_name")
+    return top_per_key(rows, ["wanted"], 1, *[F.col(c) for c in dimension.columns])
 
 
 def units_by_type(units: DataFrame, entity: str, value: str, unit_type: str, name: str) -> DataFrame:
@@ -262,21 +278,45 @@ def authoritative_merge(authority: DataFrame, gaps: DataFrame, keys: Sequence[st
     return top_per_key(both, keys, 1, F.col("_p")).drop("_p")
 
 
-def field_peers(profiles: DataFrame, key: str, entity: str, field: str, most: int = 8) -> DataFrame:
-    """For each profile up to ``most`` profiles of other entities with the most shared fields.
+#: A field that more profiles have is hot, and its pairs are dealt to so many parts.
+HOT_FIELD, PARTS = 1_000, 64
 
-    ``profiles`` has a row for each profile and field; repeated rows count once. Profiles meet by field and by a
-    part of the other's key, so that the pairs of a field that very many share are made by
-    many tasks; the number of pairs is that of the question itself. Counts combine before they move.
+
+def field_peers(profiles: DataFrame, key: str, entity: str, field: str, most: int = 8, hot: int = HOT_FIELD) -> DataFrame:
+    """For each profile up to ``most`` profiles of other entities with the most shared fields; ties go by key.
+
+    ``profiles`` has a row for each profile and field; repeated rows count once. Profiles meet by fields that at most ``hot`` of
+    them have. A profile whose ``most`` best share more of these than it has hot fields needs no other candidates, as one that shares hot fields only
+    can't get there: of its candidates those within reach look their hot fields up. Only the others meet everyone with
+    their hot fields, in parts by the peer's key. ``field_pairs`` counts the pairs of both kinds.
     """
-    parts = 16
-    once = profiles.select(key, entity, field).distinct()
-    a = once.select(F.col(key).alias("profile"), F.col(entity).alias("of"), field, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    b = once.select(F.col(key).alias("peer"), F.col(entity).alias("other"), field, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"))
-    pairs = a.join(b, [field, "part"]).where("of <> other").groupBy("profile", "peer").agg(F.count(F.lit(1)).alias("shared"))
+    once = profiles.select(F.col(key).alias("profile"), F.col(entity).alias("of"), F.col(field).alias("field")).where("profile IS NOT NULL AND field IS NOT NULL").distinct()
+    sizes = once.groupBy("field").agg(F.count(F.lit(1)).alias("n"))
+    common = small(sizes.where(F.col("n") > hot).select("field"))
+    rare, often = once.join(common, "field", "left_anti"), once.join(common, "field", "left_semi")
+    as_peer = lambda df: df.select(F.col("profile").alias("peer"), F.col("of").alias("other"), "field")
+
+    near = rare.join(as_peer(rare), "field").where("of <> other").groupBy("profile", "peer").agg(F.count(F.lit(1)).alias("shared"))
+    held = often.groupBy("profile").agg(F.count(F.lit(1)).alias("held"))
+    last = top_per_key(near, ["profile"], most, F.desc("shared"), F.col("peer"), rank="rank").where(F.col("rank") == most).select("profile", F.col("shared").alias("last"))
+    state = held.join(last, "profile", "left").withColumn("open", F.coalesce(F.col("last") <= F.col("held"), F.lit(True)))
+
+    within = near.join(state.where("NOT open"), "profile").where(F.col("shared") + F.col("held") >= F.col("last")).select("profile", "peer")
+    looked_up_hot = within.join(often.select("profile", "field"), "profile").join(often.select(F.col("profile").alias("peer"), "field"), ["peer", "field"])
+    part = F.pmod(F.xxhash64("peer"), F.lit(PARTS)).cast("int").alias("part")
+    asking = often.join(state.where("open").select("profile"), "profile", "left_semi").select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    met = asking.join(as_peer(often).select("*", part), ["field", "part"]).where("of <> other")
+    more = looked_up_hot.select("profile", "peer").unionByName(met.select("profile", "peer")).groupBy("profile", "peer").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = near.unionByName(more).groupBy("profile", "peer").agg(F.sum("shared").alias("shared"))
     return top_per_key(pairs, ["profile"], most, F.desc("shared"), F.col("peer"), rank="rank")
 
 
+def field_pairs(profiles: DataFrame, key: str, field: str, hot: int = HOT_FIELD) -> DataFrame:
+    """(is_hot, fields, pairs): ordered pairs of profiles that share a field, by whether the field is hot."""
+    sizes = profiles.select(key, field).dropna().distinct().groupBy(field).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy((F.col("n") > hot).alias("is_hot")).agg(F.count(F.lit(1)).alias("fields"), F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"))
+
+
 def completed_profiles(df: DataFrame, name: str, sub: str, affiliation: str, suffix: str) -> DataFrame:
     """Names without prefix and brackets; a missing sub-unit is the token of the affiliation that ends in ``suffix``."""
     found = F.nullif(C.suffix_token(F.col(affiliation), suffix), F.lit(""))

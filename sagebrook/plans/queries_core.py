@@ -9,7 +9,7 @@ from ..functions import columns as C
 from ..operators import coverage as V
 from ..operators import filters as P
 from ..operators import match as M
-from ..operators.common import first_per_key, percent, share_of_total, small, top_per_key
+from ..operators.common import first_per_key, percent, share_of_total, small, top_per_key, work_path
 from ..sources import tables as S
 from .registry import query, table
 
@@ -234,6 +234,18 @@ def upsert_merge(spark, d):
     return S.upsert(part(orders.where(f"o_orderdate < DATE '{CUT}'")), part(orders.where(f"o_orderdate >= DATE '{CUT}'")), ["o_custkey", "o_orderstatus"])
 
 
+@query(f"""WITH old AS (SELECT o_custkey, o_orderstatus, max(o_totalprice) AS price FROM orders WHERE o_orderdate < DATE '{CUT}' GROUP BY ALL),
+ new AS (SELECT o_custkey, o_orderstatus, max(o_totalprice) AS price FROM orders WHERE o_orderdate >= DATE '{CUT}' GROUP BY ALL)
+ SELECT o_custkey, o_orderstatus, coalesce(new.price, old.price) AS price FROM old FULL JOIN new USING (o_custkey, o_orderstatus)""")
+def upsert_stored(spark, d):
+    """The whole table as it lies there after the changes."""
+    orders, keys, path = table(spark, d, "orders"), ["o_custkey", "o_orderstatus"], work_path(spark, "orders")
+    part = lambda rows: rows.groupBy(*keys).agg(F.max("o_totalprice").alias("price"))
+    S.store_keyed(part(orders.where(f"o_orderdate < DATE '{CUT}'")), path, keys, 16)
+    S.upsert_stored(spark, path, part(orders.where(f"o_orderdate >= DATE '{CUT}'")), keys, partitions=16)
+    return spark.read.parquet(path).drop("key_partition")
+
+
 @query(f"""WITH old AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate < DATE '{CUT}'), new AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= DATE '{CUT}')
  SELECT CASE WHEN old.o_custkey IS NULL THEN 'inserted' WHEN new.o_custkey IS NOT NULL THEN 'updated' ELSE 'kept' END AS action, count(*) AS n FROM old FULL JOIN new ON old.o_custkey = new.o_custkey GROUP BY 1""")
 def upsert_stats(spark, d):
@@ -298,6 +310,16 @@ def exact_else_like(spark, d):
     return V.exact_else_like(wanted, nation, "n_name").select("wanted", "n_name", "exact")
 
 
+@query("""WITH w AS (SELECT DISTINCT right(c_name, 4) AS wanted FROM customer UNION SELECT upper(c_name) FROM customer),
+ f AS (SELECT wanted, c_name, c_name = wanted AS exact, row_number() OVER (PARTITION BY wanted ORDER BY (c_name = wanted) DESC, c_name) AS k FROM w JOIN customer ON contains(lower(c_name), lower(wanted)))
+ SELECT wanted, c_name, exact FROM f WHERE k = 1""")
+def names_held(spark, d):
+    """Every customer is looked up by the end of its name and by its name in capitals."""
+    c = table(spark, d, "customer")
+    wanted = c.select(F.substr("c_name", F.lit(-4)).alias("wanted")).union(c.select(F.upper("c_name"))).distinct()
+    return V.exact_else_like(wanted, c, "c_name").select("wanted", "c_name", "exact")
+
+
 @query("SELECT c_mktsegment, string_agg(c_name, ', ' ORDER BY c_name) AS names, count(*) AS n FROM customer WHERE c_nationkey = 3 GROUP BY 1")
 def units_by_type(spark, d):
     return V.units_by_type(table(spark, d, "customer"), "c_nationkey", 3, "c_mktsegment", "c_name")
@@ -361,6 +383,11 @@ def shared_field_peers(spark, d):
     return V.field_peers(named, "s_suppkey", "s_nationkey", "field")
 
 
+@query("SELECT n > 1000 AS is_hot, count(*) AS fields, sum(n * (n - 1))::BIGINT AS pairs FROM (SELECT l_partkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1) GROUP BY 1")
+def shared_field_pairs(spark, d):
+    return V.field_pairs(table(spark, d, "lineitem"), "l_suppkey", "l_partkey")
+
+
 @query("""SELECT c_nationkey, c_custkey, c_name FROM customer UNION ALL SELECT s_nationkey, s_suppkey, s_name FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = s_suppkey AND c_nationkey = s_nationkey)""")
 def authoritative_merge(spark, d):
     own = table(spark, d, "customer").select("c_nationkey", "c_custkey", "c_name")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
+from ..operators.common import work_path
 
 
 def scan(spark: SparkSession, path: str, columns: Sequence[str] | None = None, equal: Mapping[str, object] | None = None,
@@ -105,6 +106,35 @@ def upsert(target: DataFrame, changes: DataFrame, keys: Sequence[str], order: Co
     return old.join(fresh, same, "full_outer").select(*[F.coalesce(f"new.{c}", f"old.{c}").alias(c) for c in target.columns], action.alias("action"))
 
 
+#: A stored table's rows lie in so many partitions by the hash of their key.
+KEY_PARTITIONS = 256
+
+
+def store_keyed(df: DataFrame, path: str, keys: Sequence[str], partitions: int = KEY_PARTITIONS) -> None:
+    """Writes ``df`` as a table that ``upsert_stored`` can change in part: partitioned by the hash of the key."""
+    place = F.pmod(F.xxhash64(*keys), F.lit(partitions)).cast("int")
+    df.withColumn("key_partition", place).repartition("key_partition").write.partitionBy("key_partition").parquet(path)
+
+
+def upsert_stored(spark: SparkSession, path: str, changes: DataFrame, keys: Sequence[str], order: Column | None = None, partitions: int = KEY_PARTITIONS) -> DataFrame:
+    """``upsert`` into a table of ``store_keyed``; reads and rewrites only the partitions that ``changes`` has keys of.
+
+    The merged rows (with their ``action``) are written to the shared folder first and returned from there; then they replace the touched
+    partitions by Spark's dynamic partition overwrite. If that is cut short, the same call repairs it as long as the
+    changes are the same and no partition is lost; the merged rows in the shared folder are whole in any case. Files of other partitions stay as they are.
+    """
+    place = F.pmod(F.xxhash64(*keys), F.lit(partitions)).cast("int")
+    touched = sorted(r[0] for r in changes.select(place).distinct().collect())  # at most a number for each partition
+    stored = spark.read.parquet(path)
+    columns = [c for c in stored.columns if c != "key_partition"]
+    merged = upsert(stored.where(F.col("key_partition").isin(touched)).select(*columns), changes, keys, order)
+    folder = work_path(spark, "upsert")
+    merged.withColumn("key_partition", place).repartition("key_partition").write.parquet(folder)
+    out = spark.read.parquet(folder)
+    out.drop("action").repartition("key_partition").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("key_partition").parquet(path)
+    return out.drop("key_partition")
+
+
 def load_statistics(merged: DataFrame) -> DataFrame:
     """Rows by action."""
     return merged.groupBy("action").agg(F.count(F.lit(1)).alias("n"))

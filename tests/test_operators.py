@@ -315,8 +315,46 @@ def test_field_peers_against_all_pairs(spark):
     for k in fields:
         shared = Counter({p: len(fields[k] & fields[p]) for p in fields if p % 5 != k % 5 and fields[k] & fields[p]})
         want |= {(k, p, n) for p, n in itertools.islice(sorted(shared.items(), key=lambda x: (-x[1], x[0])), 8)}
-    got = V.field_peers(spark.createDataFrame(rows, "k int, e int, f int"), "k", "e", "f").collect()
-    assert {(r.profile, r.peer, r.shared) for r in got} == want
+    df = spark.createDataFrame(rows, "k int, e int, f int")
+    for hot in (1000, 30, 12, 0):  # no field hot, one, some, all
+        got = V.field_peers(df, "k", "e", "f", hot=hot).collect()
+        assert {(r.profile, r.peer, r.shared) for r in got} == want and len(got) == len(want)
+    pairs = {r.is_hot: (r.fields, r.pairs) for r in V.field_pairs(df, "k", "f", hot=30).collect()}
+    n = Counter(f for own in fields.values() for f in own)
+    assert pairs[True] == (sum(c > 30 for c in n.values()), sum(c * (c - 1) for c in n.values() if c > 30))
+
+
+def test_field_peers_with_a_field_of_all(spark):
+    """Profiles with enough in common needn't meet through the field that all share; lonely ones do."""
+    from collections import Counter
+
+    rows = [(k, k % 3, f) for k in range(90) for f in ([0, 1] if k % 10 == 0 else [0, k % 4 + 2, k % 4 + 10, k % 4 + 20])]
+    own = {k: {f for q, _, f in rows if q == k} for k in range(90)}
+    want = set()
+    for k in own:
+        shared = Counter({p: len(own[k] & own[p]) for p in own if p % 3 != k % 3})
+        want |= {(k, p, n) for p, n in sorted(shared.items(), key=lambda x: (-x[1], x[0]))[:8]}
+    for hot in (1000, 40, 15):
+        got = V.field_peers(spark.createDataFrame(rows, "k int, e int, f int"), "k", "e", "f", hot=hot).collect()
+        assert {(r.profile, r.peer, r.shared) for r in got} == want
+
+
+def test_exact_else_like_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abAB ") for _ in range(rng.randrange(0, 9))) for _ in range(150)] + [None, "ab", "AB"]
+    wanted = ["".join(rng.choice("abB ") for _ in range(rng.randrange(0, 6))) for _ in range(60)] + [None, "", "zzz", "ab", "aba"]
+    dim, asked = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, i int"), spark.createDataFrame([(w,) for w in wanted], "wanted string")
+    want = {}
+    for w in {w for w in wanted if w is not None}:
+        hits = sorted((n != w, n) for n in names if n is not None and w.lower() in n.lower())
+        if hits:
+            want[w] = (hits[0][1], not hits[0][0])
+    df = V.exact_else_like(asked, dim, "name")
+    got = df.collect()
+    assert len(got) == len(want) and {r.wanted: (r["name"], r.exact) for r in got} == want
+    assert "on true" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
 def test_versions(spark):

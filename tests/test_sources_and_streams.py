@@ -68,3 +68,38 @@ def test_daily_stream(spark, tmp_path):
     got = {r.day: r.n for r in spark.table("days").collect()}
     want = {r.day: r.n for r in events.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n")).collect()}
     assert got == want
+
+
+def test_upsert_leaves_other_partitions_alone(spark, tmp_path):
+    """Only partitions that the changes have keys of get new files; the table equals the plain upsert; a repeated call changes nothing."""
+    import pathlib
+
+    path, schema = str(tmp_path / "t"), "k int, j string, v int, w string"
+    rows = [(k, None if k % 7 == 0 else "a", k, "x") for k in range(400)]
+    S.store_keyed(spark.createDataFrame(rows, schema), path, ["k", "j"], 32)
+    files = lambda: {p: p.stat().st_mtime_ns for p in pathlib.Path(path).rglob("*.parquet")}
+    before = files()
+    changes = spark.createDataFrame([(7, None, 70, None), (7, None, 71, "y"), (1000, "n", 1, "z")], schema)
+    out = S.upsert_stored(spark, path, changes, ["k", "j"], F.col("v"), 32)
+    assert {(r.k, r.action) for r in out.where("action <> 'kept'").collect()} == {(7, "updated"), (1000, "inserted")}
+    changed = {p.parent.name for p in set(before) ^ set(files())}
+    assert 1 <= len(changed) <= 2 and all(files()[p] == t for p, t in before.items() if p.parent.name not in changed)
+    S.upsert_stored(spark, path, changes, ["k", "j"], F.col("v"), 32)
+    want = S.upsert(spark.createDataFrame(rows, schema), changes, ["k", "j"], F.col("v")).drop("action")
+    assert sorted(map(str, spark.read.parquet(path).select("k", "j", "v", "w").collect())) == sorted(map(str, want.collect()))
+
+
+def test_judged_answers_to_means(spark, tmp_path):
+    """A JSON array of judged answers, read and averaged."""
+    answers = [{"no": n, "question": "q\n2", "university": "AB"[n % 2], "faithfulness": n / 10, "answer_relevancy": 0.5, "context_precision": None, "elapsed": 3} for n in range(6)]
+    (tmp_path / "judged.json").write_text(json.dumps(answers, ensure_ascii=False, indent=2))
+    df = S.read_judged(spark, str(tmp_path / "judged.json"))
+    assert df.count() == 6 and df.schema["elapsed"].dataType.typeName() == "double" and "ground_truth" in df.columns
+    got = {r.university: r.f for r in df.groupBy("university").agg(F.round(F.avg("faithfulness"), 6).alias("f")).collect()}
+    assert got == {"A": 0.2, "B": 0.3}
+
+
+def test_keys_and_unions(spark):
+    a, b = spark.createDataFrame([("u", 1)], "url string, n int"), spark.createDataFrame([(2, "v")], "n int, url string")
+    keyed = {r.url: r.page_key for r in S.with_page_keys(S.union_all(a, b)).collect()}
+    assert keyed == {"u": __import__("hashlib").md5(b"u").hexdigest(), "v": __import__("hashlib").md5(b"v").hexdigest()}
