@@ -140,6 +140,120 @@ def _tiled(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return pairs.applyInArrow(work, f"`{names[0]}` {kinds[0]}, `{names[1]}` {kinds[1]}, score double")
 
 
+#: Vectors that clusters are fitted on, at most, and rounds of the fit.
+FIT_VECTORS, FIT_ROUNDS = 20_000, 8
+
+
+def _unit(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors that have this width, a length and finite entries only, and these vectors at length 1."""
+    at = np.flatnonzero(pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False) == width)
+    m = pc.list_flatten(column.take(pa.array(at))).to_numpy(zero_copy_only=False).astype(float).reshape(len(at), width)
+    size = np.sqrt((m * m).sum(1))
+    good = np.isfinite(size) & (size > 0)
+    return at[good], m[good] / size[good, None]
+
+
+def index_vectors(chunks: DataFrame, path: str, clusters: int = 64, chunk_id: str = "chunk_id", vector: str = "vector") -> None:
+    """Stores ``chunks`` (chunk_id, vector) by the nearest of ``clusters`` centres, with each cluster's size and radius (the widest angle to its centre).
+
+    The centres are fitted on the first ``FIT_VECTORS`` chunks by hash; every chunk is stored. Chunks whose vector is null, zero, not finite or of
+    another length than the most of that sample lie in cluster -1, which no search reads.
+    """
+    spark = chunks.sparkSession
+    rows = chunks.select(F.col(chunk_id).alias("chunk_id"), F.col(vector).cast("array<double>").alias("vector"))
+    sample = rows.where(F.size("vector") > 0).orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(FIT_VECTORS).select("vector").toArrow()["vector"].combine_chunks()
+    lengths = pc.list_value_length(sample).to_numpy(zero_copy_only=False)
+    width = int(np.bincount(lengths).argmax()) if len(lengths) else 0
+    m = _unit(sample, width)[1] if width else np.zeros((0, 0))
+    centres = np.unique(m, axis=0)
+    centres = centres[np.linspace(0, len(centres) - 1, min(clusters, len(centres))).astype(int)] if len(centres) else np.zeros((1, width))
+    for _ in range(FIT_ROUNDS):
+        own = (m @ centres.T).argmax(1) if len(m) else np.zeros(0, int)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, m)
+        size = np.sqrt((sums * sums).sum(1))[:, None]
+        centres = np.where(size > 0, sums / np.maximum(size, 1e-300), centres)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cluster, angle = np.full(batch.num_rows, -1, np.int32), np.zeros(batch.num_rows)
+            at, unit = _unit(batch.column(1), width)
+            if len(at):
+                near = unit @ centres.T
+                cluster[at] = near.argmax(1)
+                angle[at] = np.arccos(np.clip(near.max(1), -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cluster), pa.array(angle)], ["chunk_id", "vector", "cluster", "angle"])
+
+    kind = rows.schema["chunk_id"].dataType.simpleString()
+    schema = f"chunk_id {kind}, vector array<double>, cluster int, angle double"
+    rows.mapInArrow(work, schema).write.partitionBy("cluster").parquet(f"{path}/chunks")
+    rows.select("chunk_id").limit(0).coalesce(1).write.parquet(f"{path}/ids")  # the type of the ids, also of an empty index
+    sizes = spark.read.schema(schema).parquet(f"{path}/chunks").where("cluster >= 0").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius"))
+    fitted = spark.createDataFrame([(n, c.tolist()) for n, c in enumerate(centres)], "cluster int, centre array<double>")
+    sizes.join(fitted, "cluster").coalesce(1).write.parquet(f"{path}/clusters")  # a row for each cluster
+
+
+def vector_search(queries: DataFrame, path: str, k: int, first: int = 4, query_id: str = "query_id", vector: str = "vector", chunk_id: str = "chunk_id") -> DataFrame:
+    """(query_id, chunk_id, score, rank) from an index of ``index_vectors``, exact.
+
+    A query first meets its ``first`` nearest clusters. No chunk of another cluster is nearer than the angle to its centre less its
+    radius; so the query goes on only to the clusters that can reach the k-th best score so far. Clusters are split into tiles and queries into
+    blocks as in ``vector_top_k``. What pruning saves depends on how well the vectors cluster.
+    """
+    spark = queries.sparkSession
+    kept = sorted(spark.read.parquet(f"{path}/clusters").collect())  # a row for each cluster
+    kind = spark.read.parquet(f"{path}/ids").schema["chunk_id"].dataType.simpleString()
+    stored = spark.read.schema(f"chunk_id {kind}, vector array<double>, cluster int").parquet(f"{path}/chunks").where("cluster >= 0").select(F.col("chunk_id").alias(chunk_id), "vector", "cluster")
+    own = queries.select(query_id, F.col(vector).cast("array<double>").alias("vector"))
+    kinds = own.schema[0].dataType.simpleString(), stored.schema[0].dataType.simpleString()
+    if not kept:
+        return spark.createDataFrame([], f"`{query_id}` {kinds[0]}, `{chunk_id}` {kinds[1]}, score double, rank int")
+    numbers, tiles = np.array([r["cluster"] for r in kept], np.int32), np.array([-(-r["n"] // TILE_CHUNKS) for r in kept])
+    radii, centres = np.array([r["radius"] for r in kept]), np.array([r["centre"] for r in kept])
+    blocks = -(-own.count() // MATRIX_QUERIES) or 1
+
+    def asked(df: DataFrame, last: bool) -> DataFrame:
+        """(query, vector, cluster, tile): the first clusters of each query, or all others within its reach (column ``least``)."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, unit = _unit(batch.column(1), centres.shape[1])
+                near = unit @ centres.T
+                order = np.argsort(-near, axis=1, kind="stable")
+                want = np.zeros(near.shape, bool)
+                np.put_along_axis(want, order[:, :first], True, axis=1)
+                if last:
+                    least = pc.fill_null(batch.column(2), -2.0).to_numpy(zero_copy_only=False)[at]
+                    reach = np.cos(np.maximum(0, np.arccos(np.clip(near, -1, 1)) - radii - 1e-7))
+                    want = ~want & (reach >= least[:, None] - 2e-6)
+                q, c = np.nonzero(want)
+                q, c = np.repeat(q, tiles[c]), np.repeat(c, tiles[c])
+                tile = np.arange(len(c)) - np.searchsorted(q * len(numbers) + c, q * len(numbers) + c)
+                yield pa.RecordBatch.from_arrays([*(x.take(pa.array(at[q])) for x in batch.columns[:2]), pa.array(numbers[c]), pa.array(tile.astype(np.int32))], [query_id, "vector", "cluster", "tile"])
+
+        return df.mapInArrow(work, f"`{query_id}` {kinds[0]}, vector array<double>, cluster int, tile int")
+
+    by = ["cluster", "tile", "block"]
+    split = F.element_at(F.lit([int(t) for t in tiles]), F.array_position(F.lit([int(n) for n in numbers]), F.col("cluster")).cast("int"))
+    right = stored.select("*", F.pmod(F.xxhash64(chunk_id), split).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+
+    def work(left: pa.Table, tile: pa.Table) -> pa.Table:
+        ids = left.column(0).combine_chunks()
+        rows = [(v, ()) for v in left.column(1).to_pylist()]
+        found = [pa.table([ids.take(pa.array(n)), c, s], [query_id, chunk_id, "score"]) for n, c, s in _Best(_matrices(rows), k).add(tile.select(range(2)).combine_chunks())]
+        return pa.concat_tables([pa.table([ids.slice(0, 0), tile.column(0).slice(0, 0), pa.array([], pa.float64())], [query_id, chunk_id, "score"]), *found])
+
+    def met(df: DataFrame, last: bool) -> DataFrame:
+        left = asked(df, last).withColumn("block", F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int"))
+        pairs = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(work, f"`{query_id}` {kinds[0]}, `{chunk_id}` {kinds[1]}, score double")
+        return top_per_key(pairs.withColumn("score", F.round("score", 6)), [query_id], k, F.desc("score"), F.col(chunk_id))
+
+    near = cut(met(own, False))
+    least = near.groupBy(query_id).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+    far = met(own.join(least, query_id, "left"), True)
+    return top_per_key(near.unionByName(far), [query_id], k, F.desc("score"), F.col(chunk_id), rank="rank")
+
+
 _POSTING = ["token", "chunk_id", "tf", "len"]
 
 

@@ -323,6 +323,14 @@ def vector_topk_filtered(spark, d):
     return R.vector_top_k(_queries(spark, d), _vectors(spark, d), 5, equal=[("q_label", "label")])
 
 
+@query(VECTOR_SQL + "true)) WHERE rank <= 10")
+def vector_index_topk(spark, d):
+    """The same from an index by clusters."""
+    path = work_path(spark, "vectors")
+    R.index_vectors(_vectors(spark, d), path, 16)
+    return R.vector_search(_queries(spark, d), path, 10)
+
+
 def word_tokens(text):
     """Lower-cased words, for texts in Latin letters."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\P{L}+"), "")

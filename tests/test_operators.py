@@ -105,6 +105,27 @@ def test_bm25_index_grows_and_is_searched_again(spark, tmp_path):
         assert not [f for f in found.inputFiles() if "documents" in f]
 
 
+def test_vector_index_is_exact_and_prunes(spark, tmp_path, monkeypatch):
+    """Clustered vectors, copies of one vector, odd vectors: the same hits as the whole search, split or not; queries skip clusters that are too far."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(12, 8)) * 4
+    rows = [(n, (middle[n % 12] + rng.normal(size=8) * 0.1).tolist()) for n in range(600)] + [(n, middle[0].tolist()) for n in range(600, 800)]
+    rows += [(900, None), (901, [0.0] * 8), (902, [1.0]), (903, [float("nan")] * 8)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, vector array<double>")
+    queries = spark.createDataFrame([(n, (middle[n % 12] + rng.normal(size=8)).tolist()) for n in range(40)], "query_id long, vector array<double>")
+    R.index_vectors(chunks, f"{tmp_path}/v", 12)
+    want = sorted(map(tuple, R.vector_top_k(queries, chunks, 5).collect()))
+    for first, tile, block in ((1, 50_000, 10_000), (2, 60, 15), (12, 60, 15)):
+        monkeypatch.setattr(R, "TILE_CHUNKS", tile)
+        monkeypatch.setattr(R, "MATRIX_QUERIES", block)
+        assert sorted(map(tuple, R.vector_search(queries, f"{tmp_path}/v", 5, first).collect())) == want
+    assert spark.read.parquet(f"{tmp_path}/v/chunks").count() == len(rows)
+    R.index_vectors(chunks.where("false"), f"{tmp_path}/none")
+    assert R.vector_search(queries, f"{tmp_path}/none", 5).count() == 0
+
+
 def test_many_queries_meet_tiles_of_chunks(spark, monkeypatch):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     q, c = e.where("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label"), e.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
