@@ -210,6 +210,20 @@ def looked_up(df: DataFrame, dimension: DataFrame, key: str, value: str, default
     return df.join(small(dimension.select(key, value)), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 
+#: Registers of a distinct sketch: 2 to this power, for a standard error of 1.04 / sqrt(registers), 1.6 %.
+SKETCH_BITS = 12
+
+
+def distinct_sketches(df: DataFrame, by: Sequence[str], column: str) -> DataFrame:
+    """(by ..., sketch): a mergeable sketch of the distinct values of a column for each group, to be stored."""
+    return df.groupBy(*by).agg(F.hll_sketch_agg(column, F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def merged_distinct(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by ..., distinct): the number of distinct values of merged groups, within the sketches' error, without the rows."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))
+
+
 def exact_else_like(names: DataFrame, dimension: DataFrame, name: str) -> DataFrame:
     """For each wanted name (column ``wanted``) the row of that name, else the first (by name) that holds it in any case.
 
