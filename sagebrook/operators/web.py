@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from .common import cut, first_per_key, top_per_key
+from .common import first_per_key, top_per_key, work_path
 
 _ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']+)["'][^>]*>(.*?)</a\s*>"""
 #: Entities of HTML that texts commonly hold.
@@ -164,18 +164,36 @@ def sitemap_urls(sitemaps: DataFrame, key: str, body: str, most: int = 3000) ->
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int, most: int | None = None) -> DataFrame:
     """H6, H8: (node, depth): what is reached from ``seeds`` (node) over ``edges`` (src, dst, pos), each node once.
 
-    One join a level; a level holds only new nodes and is cut off from its
-    lineage by a checkpoint. ``most`` keeps the first children of a node, in order of ``pos``.
+    Edges and visited nodes are stored once, in buckets by node, so that a level shuffles only its new nodes: it joins the last level's nodes with the
+    edges where they lie, takes out what was visited before, and is added as one more partition. A level's plan is as small at the twelfth
+    as at the first. Levels end early when nothing is new. ``most`` keeps the first children of a node, in order of ``pos``. The tables'
+    names are dropped at the end, their files stay in the shared folder; all levels run when this is called.
     """
+    spark = edges.sparkSession
     if most is not None:
         edges = top_per_key(edges, ["src"], most, F.col("pos"), F.col("dst"))
-    frontier = seeds.select("node").distinct().withColumn("depth", F.lit(0))
-    found = frontier
-    for level in range(1, depth + 1):
-        step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(level)))
-        found = found.unionByName(frontier)
-    return found
+    buckets, path = int(spark.conf.get("spark.sql.shuffle.partitions")), work_path(spark, "reach")
+    known, visited = (f"{name}_{path.rsplit('-', 1)[1]}" for name in ("edges", "visited"))
+
+    def add(level: DataFrame, number: int) -> None:
+        rows = level.withColumn("depth", F.lit(number)).repartition(buckets, "node")
+        rows.write.mode("append").partitionBy("depth").bucketBy(buckets, "node").option("path", f"{path}/visited").saveAsTable(visited)
+
+    try:
+        edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").repartition(buckets, "src").write.bucketBy(buckets, "src").option("path", f"{path}/edges").saveAsTable(known)
+        add(seeds.select("node").where("node IS NOT NULL").distinct(), 0)
+        for level in range(1, depth + 1):
+            before = spark.table(visited)
+            last = before.where(F.col("depth") == level - 1)
+            if last.isEmpty():
+                break
+            step = last.join(spark.table(known), F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+            add(step.join(before.select("node"), "node", "left_anti"), level)
+        kind = spark.table(visited).schema["node"].dataType.simpleString()
+    finally:
+        for name in (known, visited):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    return spark.read.schema(f"node {kind}, depth int").parquet(f"{path}/visited")
 
 
 def sitemap_pages(sitemaps: DataFrame, seeds: DataFrame, key: str, body: str, depth: int = 5, most: int = 3000) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from sagebrook.functions import rules
 from sagebrook.operators import coverage as V
@@ -420,6 +421,22 @@ def test_web(spark):
     assert [r.link_url for r in W.markdown_links(text, "k", "t").collect()] == ["https://a/y"]
 
 
+def test_reachable_many_levels(spark, monkeypatch):
+    """A chain of twelve levels beside a circle and a node with very many edges; a level's plan doesn't grow, and doesn't shuffle the edges."""
+    plans = []
+    real = DataFrame.repartition
+    monkeypatch.setattr(DataFrame, "repartition", lambda df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, *a))[1])
+    rows = [(f"c{n}", f"c{n + 1}", 0) for n in range(20)] + [("c20", "c0", 0), (None, "c1", 0), ("c1", None, 1)] + [("c2", f"leaf{n}", n + 1) for n in range(500)]
+    edges = spark.createDataFrame(rows, "src string, dst string, pos int")
+    got = {r.node: r.depth for r in W.reachable(edges, spark.createDataFrame([("c0",), ("c0",), (None,)], "node string"), 12).collect()}
+    assert got == {f"c{n}": n for n in range(13)} | {f"leaf{n}": 3 for n in range(500)}
+    levels = [p for p in plans if "Bucketed: true" in p and "LeftAnti" in p]
+    assert len(levels) == 12 and len(levels[-1].splitlines()) == len(levels[1].splitlines())
+    small = spark.createDataFrame([("a", "b", 0)], "src string, dst string, pos int")
+    assert {r.node: r.depth for r in W.reachable(small, spark.createDataFrame([("a",)], "node string"), 12).collect()} == {"a": 0, "b": 1}
+    assert W.reachable(small, spark.createDataFrame([], "node string"), 2).count() == 0 and not [t for t in spark.catalog.listTables() if t.name.startswith(("edges_", "visited_"))]
+
+
 def test_reachable(spark):
     edges = spark.createDataFrame([("a", "b", 0), ("b", "c", 0), ("c", "a", 0), ("a", "d", 1), ("d", "e", 0)], "src string, dst string, pos int")
     seeds = spark.createDataFrame([("a",)], "node string")
