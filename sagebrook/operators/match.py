@@ -90,7 +90,7 @@ def _first_best(on: Sequence[str], least: float):
     width = len(on) + 1
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, best, rows = None, None, []
+        key, best, rows, batch = None, None, [], None
         for batch in batches:
             for *new, b, most, pos, unit in zip(*(c.to_pylist() for c in batch.columns)):
                 if new != key:
@@ -100,15 +100,15 @@ def _first_best(on: Sequence[str], least: float):
                 if best and most < best[0] - 1e-9:
                     continue
                 score = C.indel_score(key[-1], b)
-                if score >= least and (not best or (-score, pos) < (-best[0], best[1])):
-                    best = score, pos, unit
+                place = pos is not None, pos  # nulls first
+                if score >= least and (not best or (-score, place) < (-best[0], best[1])):
+                    best = score, place, unit
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds(batch))], names(batch))
                 rows = []
-            schema = batch
         if best:
             rows.append((*key, best[2], best[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds(schema))], names(schema))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds(batch))], names(batch))
 
     def kinds(batch: pa.RecordBatch) -> list[pa.DataType]:
         return [*(batch.schema.types[:width]), batch.schema.types[-1], pa.float64()]

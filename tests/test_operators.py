@@ -106,6 +106,11 @@ def test_bm25_index_grows_and_is_searched_again(spark, tmp_path):
         assert not [f for f in found.inputFiles() if "documents" in f]
 
 
+def test_cosine(spark):
+    df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([2.0, 0.0], [-3.0, 0.0])], "a array<double>, b array<double>")
+    assert [r[0] and round(r[0], 6) for r in df.select(R.cosine(F.col("a"), F.col("b"))).collect()] == [0.707107, None, -1.0]
+
+
 def test_vector_index_is_exact_and_prunes(spark, tmp_path, monkeypatch):
     """Clustered vectors, copies of one vector, odd vectors: the same hits as the whole search, split or not; queries skip clusters that are too far."""
     import numpy as np
