@@ -220,8 +220,13 @@ def own_site(results: DataFrame, by: str, url: str, pos: str, preferred: str = r
 
 
 def with_better_titles(links: DataFrame, titles: DataFrame, url: str = "link_url", text: str = "link_text") -> DataFrame:
-    """The document's title instead of the link text where it says more."""
-    return links.join(titles.select(url, "title"), url, "left").withColumn(text, F.when(C.better_title(F.col("title"), F.col(text)), F.col("title")).otherwise(F.col(text))).drop("title")
+    """The document's title instead of the link text where it says more; every link once.
+
+    Of several titles of a URL (or of another key that both tables have) the longest one counts that could be better than any text, on a tie the first.
+    """
+    fit = titles.where(C.better_title(F.col("title"), F.lit(""))).groupBy(url).agg(F.min_by("title", F.struct(-F.length("title"), "title")).alias("_title"))
+    better = C.better_title(F.col("_title"), F.col(text))
+    return links.join(fit, url, "left").withColumn(text, F.when(better, F.col("_title")).otherwise(F.col(text))).drop("_title")
 
 
 def first_spreadsheet(links: DataFrame, key: str) -> DataFrame:

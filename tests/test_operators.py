@@ -467,3 +467,19 @@ def test_states_and_merge(spark):
     assert {r.k: r.state for r in V.progress_states(listed, counted, "k").collect()} == {"a": "done", "b": "in progress", "c": "not started"}
     merged = V.ordered_merge([counted.select("k", F.lit("g").alias("g"), F.lit(0).alias("pos")), listed.select("k", F.lit("g").alias("g"), F.lit(1).alias("pos"))], "k", "pos", "g", 2)
     assert sorted((r.k, r.source_no) for r in merged.collect()) == [("a", 0), ("b", 0)]
+
+
+def test_better_titles_keep_links(spark):
+    """A URL with several titles gives no link twice; the longest fitting title counts."""
+    links = spark.createDataFrame([(1, "u", "link"), (2, "u", None), (3, "v", "link"), (4, None, "link"), (5, "u", "a very long text of a link that says all")], "n int, link_url string, link_text string")
+    titles = spark.createDataFrame([("u", "Guide"), ("u", "Microsoft Word - a much longer name"), ("u", "Guide of fees"), ("u", "Rules of fees"), ("v", "file_1"), ("v", None), (None, "Guide")], "link_url string, title string")
+    got = sorted((r.n, r.link_text) for r in W.with_better_titles(links, titles).collect())
+    assert got == [(1, "Guide of fees"), (2, "Guide of fees"), (3, "link"), (4, "link"), (5, "a very long text of a link that says all")]
+
+
+def test_upgraded_link_texts_of_repeated_urls(spark, tmp_path):
+    from sagebrook import plans
+
+    spark.createDataFrame([(0, "u"), (1, "u"), (2, "u"), (3, None)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r.page_id, r.link_url, r.link_text) for r in plans.queries()["upgraded_link_texts"](spark, str(tmp_path)).collect())
+    assert got == [(0, "u", "募集要項 0"), (1, "u", "link"), (2, "u", "link"), (3, None, "募集要項 3")]
