@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import columns as C
-from .common import small, top_per_key
+from .common import cut, small, top_per_key
 
 FUZZY, REVIEW = 90.0, 75.0
 
@@ -75,7 +75,7 @@ def candidates(asked: DataFrame, units: DataFrame, on: Sequence[str], least: flo
     n, m = F.col("n_s"), F.col("n_t")
     shared = F.array_intersect("s", "t")
     enough = _least_shared(n, m, least, sql)
-    pairs = ordered(asked, "a", "s").join(ordered(units, "b", "t"), [*on, "sign"])
+    pairs = ordered(asked, "a", "s").join(ordered(units, "b", "t").hint("merge"), [*on, "sign"])  # Spark takes what an explode makes for small
     pairs = pairs.where((enough <= F.least(n, m)) & (F.col("at_s") <= n - enough) & (F.col("at_t") <= m - enough))
     found = pairs.where((F.size(shared) >= enough) & (F.get(shared, F.lit(0)) == F.col("sign")))
     most = F.size(shared) * 100.0 / F.greatest(n, m, F.lit(1)) if sql else F.size(shared) * 200.0 / F.greatest(n + m, F.lit(1))
@@ -123,22 +123,35 @@ def fuzzy_matches(items: DataFrame, known: DataFrame, full: bool = True, sql: bo
     """The best known key of the block with a score of ``least`` or more; the first in order on a tie.
 
     Whole units compare by name; items with a sub-unit compare the composite key with units of their type that have one.
-    Names repeat, so distinct keys meet, as ``candidates`` that share enough characters, and a match is joined
-    back to the items that have the key. ``sql`` takes the edit ratio.
+    Names repeat, so distinct keys meet, and a match is joined back to the items that have the key. Equal keys score 100 and need no comparison;
+    of the others the ``candidates`` for ``FUZZY``, which are few, are compared, and only keys that nothing of that score answers meet those for ``least``:
+    what scores less can't win before. Keys that are left are stored between these steps (checkpoints, where the session has a folder). ``sql`` takes the edit ratio.
     """
     items, known = keyed(items, full), keyed(known, full)
     columns = ["block", "input_pos", "item_pos", "unit_id", "confidence", "score"]
 
-    def best(asked: DataFrame, units: DataFrame, on: list[str]) -> DataFrame:
-        pairs = candidates(asked, units, on, least, sql).join(units, [*on, "b"])
+    def compared(asked: DataFrame, units: DataFrame, on: list[str], least: float) -> DataFrame:
+        """(on ..., a, unit_id, score): the best of those that score ``least``."""
+        pairs = candidates(asked, units, on, least, sql)
         if sql:
             scored = pairs.withColumn("score", C.edit_ratio(F.col("a"), F.col("b"))).where(F.col("score") >= least)
-            won = top_per_key(scored, [*on, "a"], 1, F.desc("score"), F.col("pos")).select(*on, "a", "unit_id", "score")
-        else:
-            rows = pairs.select(*on, "a", "b", "most", "pos", "unit_id").repartition(*on, "a").sortWithinPartitions(*on, "a", F.desc("most"), "pos")
-            schema = StructType([*(rows.schema[c] for c in (*on, "a", "unit_id")), StructField("score", DoubleType())])
-            won = rows.mapInArrow(_first_best(on, least), schema)
-        return asked.join(won, [*on, "a"]).select(*columns)
+            return top_per_key(scored.join(units.hint("merge"), [*on, "b"]), [*on, "a"], 1, F.desc("score"), F.col("pos")).select(*on, "a", "unit_id", "score")
+        rows = pairs.join(units.hint("merge"), [*on, "b"]).select(*on, "a", "b", "most", "pos", "unit_id").repartition(*on, "a").sortWithinPartitions(*on, "a", F.desc("most"), "pos")
+        schema = StructType([*(rows.schema[c] for c in (*on, "a", "unit_id")), StructField("score", DoubleType())])
+        return rows.mapInArrow(_first_best(on, least), schema)
+
+    def best(asked: DataFrame, units: DataFrame, on: list[str]) -> DataFrame:
+        form = (lambda c: F.col(c)) if sql else (lambda c: C.sorted_tokens(F.col(c)))
+        first = F.min_by("unit_id", F.struct(F.col("pos").isNotNull(), "pos"))  # nulls first
+        keys = asked.select(*on, "a").distinct()
+        won = keys.withColumn("_form", form("a")).join(units.groupBy(*on, form("b").alias("_form")).agg(first.alias("unit_id")).hint("merge"), [*on, "_form"])
+        won = won.select(*on, "a", "unit_id", F.lit(100.0).alias("score"))
+        rest = cut(keys.join(won.select(*on, "a").hint("merge"), [*on, "a"], "left_anti"))
+        if least < FUZZY:
+            near = cut(compared(rest, units, on, FUZZY))
+            won, rest = won.unionByName(near), cut(rest.join(near.select(*on, "a").hint("merge"), [*on, "a"], "left_anti"))
+        won = won.unionByName(compared(rest, units, on, least))
+        return asked.join(won.hint("merge"), [*on, "a"]).select(*columns)
 
     units = known.groupBy("block", F.col("name_key").alias("b")).agg(F.min("pos").alias("pos"), F.min_by("unit_id", "pos").alias("unit_id"))
     whole = best(items.where("sub_key = ''").withColumnRenamed("name_key", "a"), units, ["block"])

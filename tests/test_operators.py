@@ -483,3 +483,18 @@ def test_upgraded_link_texts_of_repeated_urls(spark, tmp_path):
     spark.createDataFrame([(0, "u"), (1, "u"), (2, "u"), (3, None)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     got = sorted((r.page_id, r.link_url, r.link_text) for r in plans.queries()["upgraded_link_texts"](spark, str(tmp_path)).collect())
     assert got == [(0, "u", "募集要項 0"), (1, "u", "link"), (2, "u", "link"), (3, None, "募集要項 3")]
+
+
+def test_candidates_are_not_broadcast(spark):
+    """Spark takes exploded keys for as small as their file: the meeting of keys must shuffle."""
+    df = spark.createDataFrame([("u", "ab"), ("u", "abc")], "block string, a string")
+    plan = M.candidates(df, df.withColumnRenamed("a", "b"), ["block"])._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "BroadcastHashJoin [block" in line]
+
+
+def test_fuzzy_steps(spark):
+    """Equal keys, near ones and far ones are found in steps; of units with the same sorted tokens the first counts."""
+    known = spark.createDataFrame([("u", 1, 5, "t", "b\ta", None), ("u", 2, 3, "t", "a\tb", None), ("u", 3, 9, "t", "abcdefghijkl", None), ("u", 4, 1, "t", "vwxyz", None)], KNOWN)
+    items = spark.createDataFrame([("u", n, 0, None, name, None, "high") for n, name in enumerate(["b\ta", "abcdefghijkl", "abcdefghijklm", "vwxy", "qqqq", None])], ITEMS)
+    got = {r.input_pos: (r.unit_id, round(r.score, 1)) for r in M.fuzzy_matches(items, known).collect()}
+    assert got == {0: (2, 100.0), 1: (3, 100.0), 2: (3, 96.0), 3: (4, 88.9)}
