@@ -498,3 +498,13 @@ def test_fuzzy_steps(spark):
     items = spark.createDataFrame([("u", n, 0, None, name, None, "high") for n, name in enumerate(["b\ta", "abcdefghijkl", "abcdefghijklm", "vwxy", "qqqq", None])], ITEMS)
     got = {r.input_pos: (r.unit_id, round(r.score, 1)) for r in M.fuzzy_matches(items, known).collect()}
     assert got == {0: (2, 100.0), 1: (3, 100.0), 2: (3, 96.0), 3: (4, 88.9)}
+
+
+def test_sub_units_in_two_steps(spark, monkeypatch):
+    """Only keys without a match of 90 meet the wide candidates."""
+    met, real = [], M.candidates
+    monkeypatch.setattr(M, "candidates", lambda asked, units, on, least, sql: met.append((least, {r.a for r in asked.collect()})) or real(asked, units, on, least, sql))
+    known = spark.createDataFrame([("u", 1, 1, "t", "abcdefghijkl", "north"), ("u", 2, 2, "t", "vwxyz", "s")], KNOWN)
+    items = spark.createDataFrame([("u", n, 0, "t", name, sub, "high") for n, (name, sub) in enumerate([("abcdefghijkl", "north"), ("abcdefghijk", "north"), ("vwxz", "s")])], ITEMS)
+    got = {r.input_pos: (r.unit_id, round(r.score, 1)) for r in M.fuzzy_matches(items, known).collect()}
+    assert got == {0: (1, 100.0), 1: (1, 97.1), 2: (2, 92.3)} and [m for m in met if m[1]] == [(90.0, {"abcdefghijk/north", "vwxz/s"})]
