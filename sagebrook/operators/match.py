@@ -163,12 +163,32 @@ def fuzzy_matches(items: DataFrame, known: DataFrame, full: bool = True, sql: bo
 def resolved(items: DataFrame, known: DataFrame, full: bool = True, sql: bool = False) -> DataFrame:
     """(block, unit_id, input_pos, item_pos, score, method, match_confidence): exact where a key exists, else fuzzy; each unit once.
 
-    The first item in (input_pos, item_pos) order has the unit; a loser doesn't try again.
+    The first item in (input_pos, item_pos) order has the unit; a loser doesn't try again. So of the items of a name only the first without a type and
+    the first of each type meet the unit's records: no other can win one.
     """
-    exact = exact_matches(items, known, full)
-    rest = items.join(exact.select("block", "input_pos", "item_pos").distinct(), ["block", "input_pos", "item_pos"], "left_anti")
+    asked, units = keyed(items, full), keyed(known, full)
+    order = F.col("input_pos"), F.col("item_pos")
+    place = ["block", "input_pos", "item_pos"]
+    every_type = asked.where("sub_key = '' AND unit_type IS NULL")
+    of_type = asked.where("sub_key = '' AND unit_type IS NOT NULL")
+    with_sub = asked.where("sub_key <> ''")
+    matched = (
+        with_sub.join(units.select("block", "full_key").distinct().hint("merge"), ["block", "full_key"], "left_semi").select(*place)
+        .unionByName(every_type.join(units.select("block", "name_key").distinct().hint("merge"), ["block", "name_key"], "left_semi").select(*place))
+        .unionByName(of_type.join(units.select("block", "name_key", "unit_type").distinct().hint("merge"), ["block", "name_key", "unit_type"], "left_semi").select(*place))
+    )
+    rest = items.join(matched.distinct().hint("merge"), place, "left_anti")
+    columns = ["block", "input_pos", "item_pos", "unit_id", "confidence"]
+    last = units.groupBy("block", "full_key").agg(F.max_by("unit_id", "pos").alias("unit_id"))
+    record = units.select("block", "name_key", "unit_type", "unit_id")
+
+    def firsts(df: DataFrame, on: list[str], owners: DataFrame) -> DataFrame:
+        return top_per_key(df.select(*on, "input_pos", "item_pos", "confidence"), on, 1, *order).join(owners.hint("merge"), on).select(*columns)
+
+    exact = firsts(with_sub, ["block", "full_key"], last).unionByName(firsts(every_type, ["block", "name_key"], record.drop("unit_type")))
+    exact = exact.unionByName(firsts(of_type, ["block", "name_key", "unit_type"], record)).withColumns({"score": F.lit(100.0), "method": F.lit("exact")})
     every = exact.unionByName(fuzzy_matches(rest, known, full, sql).select(*exact.columns))
-    once = top_per_key(every, ["block", "unit_id"], 1, F.col("input_pos"), F.col("item_pos"))
+    once = top_per_key(every, ["block", "unit_id"], 1, *order)
     return once.withColumn("match_confidence", C.match_confidence(F.col("score"), F.col("confidence"))).drop("confidence")
 
 

@@ -508,3 +508,13 @@ def test_sub_units_in_two_steps(spark, monkeypatch):
     items = spark.createDataFrame([("u", n, 0, "t", name, sub, "high") for n, (name, sub) in enumerate([("abcdefghijkl", "north"), ("abcdefghijk", "north"), ("vwxz", "s")])], ITEMS)
     got = {r.input_pos: (r.unit_id, round(r.score, 1)) for r in M.fuzzy_matches(items, known).collect()}
     assert got == {0: (1, 100.0), 1: (1, 97.1), 2: (2, 92.3)} and [m for m in met if m[1]] == [(90.0, {"abcdefghijk/north", "vwxz/s"})]
+
+
+def test_resolved_meets_first_items_only(spark):
+    """Of 2,000 items and 2,000 records of a name the pairs aren't made: a unit goes to the first item, of its type or without one."""
+    known = spark.range(2000).selectExpr("'u' block", "cast(id as int) unit_id", "cast(id as int) pos", "if(id % 2 = 0, 's', 't') unit_type", "'abc' name", "cast(null as string) sub")
+    items = spark.range(2000).selectExpr("'u' block", "cast(id as int) input_pos", "0 item_pos", "if(id < 5, 't', if(id < 7, null, 's')) unit_type", "'abc' name", "cast(null as string) sub", "'high' confidence")
+    out = M.resolved(items, known)
+    assert {tuple(r) for r in out.groupBy(F.col("unit_id") % 2, "input_pos", "method").count().collect()} == {(0, 5, "exact", 1000), (1, 0, "exact", 1000)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") >= 4  # the items of a name are cut to the first before they meet records
