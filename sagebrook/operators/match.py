@@ -26,14 +26,40 @@ def keyed(df: DataFrame, full: bool = True) -> DataFrame:
     return out.withColumn("full_key", F.when(F.col("sub_key") == "", F.col("name_key")).otherwise(F.concat_ws("/", "name_key", "sub_key")))
 
 
+#: Pairs of items and records that one task of ``exact_matches`` writes, about, and rows of a name on either side of a part.
+PAIRS, SIDE = 10_000_000, 1_000
+
+
 def exact_matches(items: DataFrame, known: DataFrame, full: bool = True) -> DataFrame:
-    """An item with a sub-unit matches the last known unit of its key; one without matches every record of the unit, of its type if it has one."""
+    """An item with a sub-unit matches the last known unit of its key; one without matches every record of the unit, of its type if it has one.
+
+    A name of n items and m records has n x m matches, all of which are wanted. Such a name is dealt to parts of at most about ``SIDE`` items and records, and the
+    parts to tasks by the number of pairs (counted when the plan is built).
+    """
     items, known = keyed(items, full), keyed(known, full)
     last = known.groupBy("block", "full_key").agg(F.max_by("unit_id", "pos").alias("unit_id"))
     by_sub = items.where("sub_key <> ''").join(last, ["block", "full_key"])
-    of_unit = known.select("block", "name_key", "unit_id", F.col("unit_type").alias("known_type"))
-    by_unit = items.where("sub_key = ''").join(of_unit, ["block", "name_key"]).where(F.col("unit_type").isNull() | (F.col("unit_type") == F.col("known_type")))
     columns = ["block", "input_pos", "item_pos", "unit_id", "confidence"]
+    asked = items.where("sub_key = ''").select("block", "name_key", "unit_type", *columns[1:3], "confidence")
+    of_unit = known.select("block", "name_key", "unit_id", F.col("unit_type").alias("known_type"))
+    on = ["block", "name_key"]
+    sizes = asked.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).join(of_unit.groupBy(*on).agg(F.count(F.lit(1)).alias("_m")), on)
+    pairs = sizes.agg(F.sum(F.col("_n").cast("double") * F.col("_m"))).head()[0] or 0
+    parts = lambda c: F.ceil(F.col(c) / SIDE).cast("int")
+    large = small(sizes.where(F.greatest("_n", "_m") > SIDE).select(*on, parts("_n").alias("_rows"), parts("_m").alias("_columns")))
+
+    def dealt(df: DataFrame, own: str, own_n: str, other: str, other_n: str, *by: str) -> DataFrame:
+        """Each row in the part of its own side, once for each part of the other."""
+        n = lambda c: F.coalesce(c, F.lit(1))
+        df = df.join(large, on, "left").withColumn(own, F.pmod(F.xxhash64(*by), n(own_n)).cast("int"))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0), n(other_n) - 1))).drop("_rows", "_columns")
+
+    asked, of_unit = dealt(asked, "_i", "_rows", "_j", "_columns", "input_pos", "item_pos"), dealt(of_unit, "_j", "_columns", "_i", "_rows", "unit_id")
+    every = [*on, "_i", "_j"]
+    tasks = int(pairs // PAIRS)
+    if tasks > 1:
+        asked, of_unit = asked.repartition(tasks, *every), of_unit.repartition(tasks, *every)
+    by_unit = asked.join(of_unit.hint("merge"), every).where(F.col("unit_type").isNull() | (F.col("unit_type") == F.col("known_type")))
     return by_sub.select(*columns).unionByName(by_unit.select(*columns)).withColumns({"score": F.lit(100.0), "method": F.lit("exact")})
 
 

@@ -518,3 +518,15 @@ def test_resolved_meets_first_items_only(spark):
     assert {tuple(r) for r in out.groupBy(F.col("unit_id") % 2, "input_pos", "method").count().collect()} == {(0, 5, "exact", 1000), (1, 0, "exact", 1000)}
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window") >= 4  # the items of a name are cut to the first before they meet records
+
+
+def test_exact_matches_in_parts(spark, monkeypatch):
+    """A name with many items and records: all pairs, each once, in many tasks."""
+    monkeypatch.setattr(M, "SIDE", 7)
+    monkeypatch.setattr(M, "PAIRS", 500)
+    known = spark.range(60).selectExpr("if(id < 0, 'v', 'u') block", "cast(id as int) unit_id", "cast(id as int) pos", "if(id % 2 = 0, 's', 't') unit_type", "if(id < 50, 'abc', 'x') name", "cast(null as string) sub")
+    items = spark.range(80).selectExpr("if(id < 0, 'v', 'u') block", "cast(id as int) input_pos", "0 item_pos", "if(id % 3 = 0, 't', null) unit_type", "if(id < 70, 'ａbc', 'x') name", "cast(null as string) sub", "'high' confidence")
+    out = M.exact_matches(items, known, full=False)
+    got = [(r.input_pos, r.unit_id) for r in out.collect()]
+    want = {(i, k) for i in range(80) for k in range(60) if (i < 70) == (k < 50) and (i % 3 or k % 2)}
+    assert len(got) == len(set(got)) and set(got) == want and out.rdd.getNumPartitions() >= 7
