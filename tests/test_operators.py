@@ -530,3 +530,20 @@ def test_exact_matches_in_parts(spark, monkeypatch):
     got = [(r.input_pos, r.unit_id) for r in out.collect()]
     want = {(i, k) for i in range(80) for k in range(60) if (i < 70) == (k < 50) and (i % 3 or k % 2)}
     assert len(got) == len(set(got)) and set(got) == want and out.rdd.getNumPartitions() >= 7
+
+
+def test_bm25_in_tasks_and_by_pairs(spark, monkeypatch):
+    """Scores from tasks are those of the shuffled pairs, also without hits, with null texts; only repeated ids need the pairs."""
+    split = lambda c: F.split(c, " ")
+    random = __import__("random").Random(3)
+    texts = [" ".join(random.choice("abcdefgh") for _ in range(random.randrange(1, 30))) for _ in range(200)]
+    chunks = spark.createDataFrame([*enumerate(texts), (200, None), (201, "")], "chunk_id int, text string").repartition(5)
+    queries = spark.createDataFrame([(1, "a b b"), (2, "c zz"), (3, "zz"), (4, "h g f")], "query_id int, query string")
+    calls, real = [], R._lexical
+    monkeypatch.setattr(R, "_lexical", lambda *a: calls.append(1) or real(*a))
+    ranked = lambda c: sorted(map(tuple, R.bm25_top_k(queries, c, 7, tokens=split).collect()))
+    got = ranked(chunks)
+    assert calls == [1] and len(got) == 28
+    ranked(chunks.unionByName(chunks.limit(1)))
+    monkeypatch.setattr(R, "CELLS", 0)
+    assert ranked(chunks) == got and calls == [1]
