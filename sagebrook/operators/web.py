@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,13 +94,17 @@ class _Outline(HTMLParser):
         return "\n".join(out)
 
 
-@F.pandas_udf(T.StringType())
-def html_to_markdown(html: pd.Series, url: pd.Series) -> pd.Series:
+#: Pages of a batch that a task holds as texts at a time.
+SLICE = 64
+
+
+@F.arrow_udf(T.StringType())
+def html_to_markdown(html: pa.Array, url: pa.Array) -> pa.Array:
     """H1: headings, paragraphs, list items and links as lines, in the order in which they begin; scripts, styles and page furniture cut out first.
 
     An element inside another gives a line of its own; a link's line is ``[text](absolute URL)``, its text that
     of all pieces between tags, each without outer white space. Elements nest as the mark-up says, and unclosed ones
-    end with what they stand in; regular expressions can't follow that, so pages are parsed, in Arrow batches. Null stays null.
+    end with what they stand in; regular expressions can't follow that, so pages are parsed, in slices of Arrow batches. Null stays null.
     """
 
     def one(page: str | None, at: str | None) -> str | None:
@@ -111,7 +115,8 @@ def html_to_markdown(html: pd.Series, url: pd.Series) -> pd.Series:
         outline.close()
         return outline.markdown()
 
-    return pd.Series([one(h, u) for h, u in zip(html, url)], dtype="object")
+    slices = ((html.slice(at, SLICE).to_pylist(), url.slice(at, SLICE).to_pylist()) for at in range(0, len(html), SLICE))
+    return pa.concat_arrays([pa.array([], pa.string()), *(pa.array(map(one, h, u), pa.string()) for h, u in slices)])
 
 
 def page_links(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
