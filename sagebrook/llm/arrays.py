@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_path
+from .common import giving_back, local_path
 
 
 def save(folder: str, name: str, array: np.ndarray) -> None:
@@ -70,6 +70,7 @@ def save_sorted(df: DataFrame, folder: str, name: str, columns: dict[str, type],
     A task holds one shard. Keys are distinct.
     """
 
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:

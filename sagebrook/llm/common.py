@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +75,27 @@ def stored(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Hands memory that this process has freed back to the system; otherwise allocators keep it for the worker's life."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's only
+    if trim:
+        trim(0)
+
+
+def giving_back(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """``work`` over Arrow batches whose worker keeps no memory of it after a task: Spark goes on using its Python workers, and idle ones stay."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def text_of(column: str) -> Column:
     """The text as a string; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

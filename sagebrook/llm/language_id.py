@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import mapped, save
-from .common import attach, fold_of, new_path, stored, text_of
+from .common import attach, fold_of, giving_back, new_path, stored, text_of
 from .exact_dedup import without_rows
 from .tokens import LOWER, overlapping, sums_by_row
 
@@ -76,6 +76,7 @@ def primary_subtag(lang: Column) -> Column:
 def trigram_counts(texts: DataFrame) -> DataFrame:
     """(lang, bucket, n) over rows (lang, text)."""
 
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = np.array(batch.column(0).to_pylist(), object)
@@ -122,6 +123,7 @@ def fit_trigrams(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sam
     chosen = near.join(F.broadcast(last), "lang").where(F.col("hash") <= F.col("last"))  # a row for each language; texts don't move
     blocks = -(-len(langs) // BLOCK)
 
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
@@ -151,6 +153,7 @@ def text_evidence(rows: DataFrame, model: Trigrams) -> DataFrame:
     """
     width = len(model.langs) + 1
 
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.tables()
         for batch in batches:

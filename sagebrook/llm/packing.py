@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import giving_back, stored, text_of
 
 SEQUENCE = 2048
 END_ID = 0
@@ -87,6 +87,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: st
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     end = np.array([END_ID], "<u4").tobytes()
 
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(tokenizer_file)
         for batch in batches:
@@ -151,6 +152,7 @@ def pack_documents(
     pieces = stored(token_pieces(docs, tokenizer_file, id_col, text_col, sequence), "pieces")
     tasks = max(1, -(-pieces.count() // pieces_per_task))
 
+    @giving_back
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:

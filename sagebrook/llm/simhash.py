@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, stored, text_of
+from .common import attach, giving_back, stored, text_of
 from .exact_dedup import without_rows
 
 SEED = 42
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_hash, fp) for each row, fp as a signed long."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_hash"), text_of(text_col).cast("binary").alias("text"))
 
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows)
@@ -170,6 +171,7 @@ def bucket_links(fps: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.nd
     return fps[leaf], fps[root[leaf]]
 
 
+@giving_back
 def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches sorted by (mask, key); a bucket that goes on in the next batch waits for it."""
     rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 3

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import looked_up, save_sorted, shard_of
-from .common import fold_of, new_path, stored, text_of
+from .common import fold_of, give_back, giving_back, new_path, stored, text_of
 from .tokens import LETTER, LONGEST_RUN, LOWER, RUN_CLASS, STEP, Step, gathered, mixed, runs, span_hashes, steps, sums_by_row
 
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
@@ -140,6 +140,7 @@ def _text_pairs(column: pa.Array) -> Iterator[np.ndarray]:
 def pair_weights(texts: DataFrame, folder: str) -> DataFrame:
     """(key, weight): log P(toxic) - log P(ordinary) of each pair of a toxic text, from rows (label, text)."""
 
+    @giving_back
     def toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for found in _text_pairs(batch.column(0)):
@@ -151,6 +152,7 @@ def pair_weights(texts: DataFrame, folder: str) -> DataFrame:
     bits = (kinds // SHARD).bit_length()
     shards = frozenset(save_sorted(own, folder, "toxic-pairs", {"n1": np.int64}, bits))
 
+    @giving_back
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for found in _text_pairs(batch.column(0)):
@@ -171,6 +173,7 @@ def pair_weights(texts: DataFrame, folder: str) -> DataFrame:
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, toxic, plain): texts of either class that hold the word, from rows (label, text)."""
 
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.uint64)
         for batch in batches:
@@ -202,6 +205,7 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def gram_counts(words: DataFrame, order: int = ORDER) -> DataFrame:
     """(tails, last, gram, toxic, plain): longest grams, the two bytes before their last (256 x first + second), and their words' counts, from ``word_counts``."""
 
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = _bytes(batch.column(0))
@@ -249,27 +253,31 @@ def gram_weights(gram: pa.Array, toxic: np.ndarray, plain: np.ndarray, shares: t
     size, n = np.diff(offsets), len(gram)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.float32)
-    back = np.arange(order)
-    byte = np.where(back < size[:, None], data[np.maximum(offsets[1:, None] - 1 - back, 0)], 0).astype(np.uint64) + np.uint64(1)
-    powers = np.cumprod(np.r_[np.uint64(1), np.full(order - 1, 0x9E3779B97F4A7C15, np.uint64)])
-    suffix = np.cumsum(byte * powers, axis=1)  # column k: the last k + 1 bytes
-    last = byte[:, 0]
-    ended, before = (byte[:, :2] - np.uint64(1)).astype(np.int64).T
+    bytes_at = lambda k: np.where(k < size, data[np.maximum(offsets[1:] - 1 - k, 0)], 0)
+    suffix = np.zeros((order, n), np.uint64)  # row k: the last k + 1 bytes
+    power = np.uint64(1)
+    for k in range(order):  # a byte at a time, as all at once would take four times the memory
+        suffix[k] = (bytes_at(k).astype(np.uint64) + np.uint64(1)) * power
+        if k:
+            suffix[k] += suffix[k - 1]
+        power = np.multiply(power, np.full(1, 0x9E3779B97F4A7C15, np.uint64))[0]
+    last = suffix[0]
+    ended, before = bytes_at(0).astype(np.int64), bytes_at(1).astype(np.int64)
     shared = np.where(size > 2, shares[1][before, ended], shares[0][ended])
     for length in range(3, order):
         at = np.flatnonzero(size > length)
         if not len(at):
             break
-        _, one = np.unique(suffix[at, length], return_index=True)
+        _, one = np.unique(suffix[length, at], return_index=True)
         longer = at[one]
-        own, first, inverse = np.unique(suffix[longer, length - 1], return_index=True, return_inverse=True)
+        own, first, inverse = np.unique(suffix[length - 1, longer], return_index=True, return_inverse=True)
         count = np.bincount(inverse)
         _, context = np.unique(own - last[longer[first]], return_inverse=True)
         total, kinds = np.bincount(context, count), np.bincount(context)
-        place = np.searchsorted(own, suffix[at, length - 1])
+        place = np.searchsorted(own, suffix[length - 1, at])
         c = context[place]
         shared[at] = (count[place] - DISCOUNT + DISCOUNT * kinds[c] * shared[at]) / total[c]
-    whole = suffix[np.arange(n), size - 1]
+    whole = suffix[size - 1, np.arange(n)]
     _, first, context = np.unique(whole - last, return_index=True, return_inverse=True)
     log, rest = np.zeros(n), np.zeros(len(first))
     for sign, counts in ((1, toxic), (-1, plain)):
@@ -361,6 +369,7 @@ def count_model(texts: DataFrame, order: int = ORDER) -> Model:
     grams = stored(gram_counts(stored(word_counts(texts), "word-counts"), order), "grams")
     shares = byte_shares(grams)
 
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
@@ -433,6 +442,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     known = stored(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "fold", "label", "weight", "text"), "labelled-texts")  # at most 2 x `sample` ids
     model = count_model(known.where(F.col("fold") != CALIBRATION))
 
+    @giving_back
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = model.evidence(batch.column(2))
@@ -461,6 +471,7 @@ def toxicity_scores(
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     model = fit_toxicity(docs, labels, id_col, text_col, label_col, label_id_col, sample)
 
+    @giving_back
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1)))], ["doc_id", "score"])
@@ -483,6 +494,8 @@ def drop_toxic(
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        return pa.array(model.scores(text))
+        found = pa.array(model.scores(text))
+        give_back()
+        return found
 
     return docs.where(score(text_of(text_col)) < threshold)
