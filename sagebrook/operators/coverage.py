@@ -6,8 +6,11 @@ shuffle, and which join is taken is left to Spark unless a size is checked.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -296,6 +299,56 @@ def authoritative_merge(authority: DataFrame, gaps: DataFrame, keys: Sequence[st
 HOT_FIELD, PARTS = 1_000, 64
 
 
+#: Pairs that a task combines at once, and combined ones that it holds.
+PAIR_SLICE, PAIRS_HELD = 1 << 22, 1 << 21
+
+
+def _pair_counts(once: DataFrame) -> DataFrame:
+    """(profile, peer, shared): how many fields each two profiles of different entities share, from distinct rows (profile, of, field).
+
+    Fields lie in tasks by ranges, as neighbours tend to have the same profiles; a task combines the pairs of a batch of fields before any
+    shuffles, and pairs are dealt by profile only, so that ranking them needs no other shuffle.
+    """
+    fields = once.repartitionByRange("field").groupBy("field").agg(F.collect_list(F.struct("profile", "of")).alias("members")).select("members")
+    kind = once.schema["profile"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            members = pc.list_flatten(lists)
+            names = members.field("profile").dictionary_encode()
+            own, of = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (names.indices, members.field("of").dictionary_encode().indices.fill_null(-1)))
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            after = np.repeat(np.cumsum(size), size) - np.arange(len(own)) - 1  # members of the field that follow each
+            ends, width = np.cumsum(after), max(1, len(names.dictionary))
+
+            def rows(pairs: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+                a, b = pairs // width, pairs % width
+                both = [names.dictionary.take(pa.array(np.r_[x, y])) for x, y in ((a, b), (b, a))]
+                return pa.RecordBatch.from_arrays([*both, pa.array(np.r_[n, n])], ["profile", "peer", "shared"])
+
+            at, found, counts = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+            while at < len(own):
+                before = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, before + PAIR_SLICE, "right")))
+                n = after[at:to]
+                left = np.repeat(np.arange(at, to), n)
+                right = left + 1 + np.arange(len(left)) - np.repeat(ends[at:to] - n - before, n)
+                other = (of[left] != of[right]) & (of[left] >= 0) & (of[right] >= 0)
+                left, right = own[left[other]], own[right[other]]
+                new, n = np.unique(np.minimum(left, right) * width + np.maximum(left, right), return_counts=True)
+                found, inverse = np.unique(np.r_[found, new], return_inverse=True)
+                counts = np.bincount(inverse, np.r_[counts, n], len(found)).astype(np.int64)
+                if len(found) > PAIRS_HELD:
+                    yield rows(found, counts)
+                    found, counts = found[:0], counts[:0]
+                at = to
+            yield rows(found, counts)
+
+    combined = fields.mapInArrow(work, f"profile {kind}, peer {kind}, shared long")
+    return combined.repartition("profile").groupBy("profile", "peer").agg(F.sum("shared").alias("shared"))
+
+
 def field_peers(profiles: DataFrame, key: str, entity: str, field: str, most: int = 8, hot: int = HOT_FIELD) -> DataFrame:
     """For each profile up to ``most`` profiles of other entities with the most shared fields; ties go by key.
 
@@ -306,11 +359,14 @@ def field_peers(profiles: DataFrame, key: str, entity: str, field: str, most: in
     """
     once = profiles.select(F.col(key).alias("profile"), F.col(entity).alias("of"), F.col(field).alias("field")).where("profile IS NOT NULL AND field IS NOT NULL").distinct()
     sizes = once.groupBy("field").agg(F.count(F.lit(1)).alias("n"))
-    common = small(sizes.where(F.col("n") > hot).select("field"))
+    common = sizes.where(F.col("n") > hot).select("field")
+    if common.isEmpty():
+        return top_per_key(_pair_counts(once), ["profile"], most, F.desc("shared"), F.col("peer"), rank="rank")
+    common = small(common)
     rare, often = once.join(common, "field", "left_anti"), once.join(common, "field", "left_semi")
     as_peer = lambda df: df.select(F.col("profile").alias("peer"), F.col("of").alias("other"), "field")
 
-    near = rare.join(as_peer(rare), "field").where("of <> other").groupBy("profile", "peer").agg(F.count(F.lit(1)).alias("shared"))
+    near = _pair_counts(rare)
     held = often.groupBy("profile").agg(F.count(F.lit(1)).alias("held"))
     last = top_per_key(near, ["profile"], most, F.desc("shared"), F.col("peer"), rank="rank").where(F.col("rank") == most).select("profile", F.col("shared").alias("last"))
     state = held.join(last, "profile", "left").withColumn("open", F.coalesce(F.col("last") <= F.col("held"), F.lit(True)))

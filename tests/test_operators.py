@@ -351,6 +351,17 @@ def test_field_peers_against_all_pairs(spark):
     assert pairs[True] == (sum(c > 30 for c in n.values()), sum(c * (c - 1) for c in n.values() if c > 30))
 
 
+def test_pairs_of_peers_are_combined_before_they_shuffle(spark, monkeypatch):
+    """20 profiles share 50 fields: what shuffles are pairs of profiles, not pairs of each field; small slices and bounds change nothing."""
+    rows = spark.createDataFrame([(k, k % 2, f) for k in range(20) for f in range(50)], "profile int, of int, field int")
+    for slice_, held in ((V.PAIR_SLICE, V.PAIRS_HELD), (3, 5)):
+        monkeypatch.setattr(V, "PAIR_SLICE", slice_), monkeypatch.setattr(V, "PAIRS_HELD", held)
+        got = V._pair_counts(rows)
+        assert {tuple(r) for r in got.collect()} == {(a, b, 50) for a in range(20) for b in range(20) if (a - b) % 2}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+
+
 def test_field_peers_with_a_field_of_all(spark):
     """Profiles with enough in common needn't meet through the field that all share; lonely ones do."""
     from collections import Counter
