@@ -230,27 +230,23 @@ def merged_distinct(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def exact_else_like(names: DataFrame, dimension: DataFrame, name: str) -> DataFrame:
     """For each wanted name (column ``wanted``) the row of that name, else the first (by name) that holds it in any case.
 
-    A name holds what it holds the rarest three letters of (fewer if it has fewer): names meet by these, by an equi-join, and
-    are compared then. Names that no row holds and null ones have no row; an empty one is held by every name.
+    What a name holds are its windows of the wanted names' lengths. Each window's first name is an aggregate that tasks combine before it moves, so wanted names
+    meet one row each, by an equi-join, however many names hold them. A name has at most as many windows as its length for each of these
+    lengths. Names that no row holds and null ones have no row; an empty one is held by every name.
     """
     low = lambda c: F.lower(F.col(c))
     size = lambda c: F.length(low(c))
-
-    def grams(c: str, n: Column) -> Column:
-        last = size(c) - n
-        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.substr(low(c), i + 1, n)))
-
     asked = names.select("wanted").where("wanted IS NOT NULL").distinct()
-    lengths = asked.select(F.least(size("wanted"), F.lit(3)).alias("n")).distinct()  # at most four rows
-    known = dimension.select(F.col(name).alias("_name")).where("_name IS NOT NULL").distinct()
-    held = known.crossJoin(F.broadcast(lengths)).where(size("_name") >= F.col("n")).select("_name", F.explode(grams("_name", F.col("n"))).alias("gram"))
-    own = asked.select("wanted", F.explode(grams("wanted", F.least(size("wanted"), F.lit(3)))).alias("gram"))
-    often = held.join(small(own.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = own.join(often, "gram").groupBy("wanted").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    pairs = held.join(small(rarest), "gram").where(F.contains(low("_name"), low("wanted")))
-    best = top_per_key(pairs.select("wanted", "_name", (F.col("_name") == F.col("wanted")).alias("exact")), ["wanted"], 1, F.desc("exact"), F.col("_name"))
-    rows = dimension.join(small(best), F.col(name) == F.col("_name")).drop("_name")
-    return top_per_key(rows, ["wanted"], 1, *[F.col(c) for c in dimension.columns])
+    lengths = F.broadcast(asked.agg(F.collect_set(size("wanted")).alias("lengths")))  # one row: no more lengths than the longest name has letters
+    firsts = top_per_key(dimension.where(F.col(name).isNotNull()), [name], 1, *[F.col(c) for c in dimension.columns])
+    known = dimension.select(F.col(name).alias("_name")).where("_name IS NOT NULL").distinct().crossJoin(lengths)
+    fit = F.filter("lengths", lambda n: n <= size("_name"))
+    windows = F.array_distinct(F.flatten(F.transform(fit, lambda n: F.transform(F.sequence(F.lit(1), F.when(n == 0, 1).otherwise(size("_name") - n + 1)), lambda i: F.substr(low("_name"), i, n)))))
+    held = known.select("_name", F.explode(windows).alias("window")).groupBy("window").agg(F.min("_name").alias("_like"))
+    best = asked.withColumn("window", low("wanted")).join(held.hint("merge"), "window")
+    best = best.join(known.select("_name").hint("merge"), F.col("wanted") == F.col("_name"), "left")
+    best = best.select("wanted", F.coalesce("_name", "_like").alias("_best"), F.col("_name").isNotNull().alias("exact"))
+    return best.join(firsts.hint("merge"), F.col("_best") == F.col(name)).drop("_best")
 
 
 def units_by_type(units: DataFrame, entity: str, value: str, unit_type: str, name: str) -> DataFrame:

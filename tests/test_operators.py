@@ -377,6 +377,16 @@ def test_field_peers_with_a_field_of_all(spark):
         assert {(r.profile, r.peer, r.shared) for r in got} == want
 
 
+def test_long_names_meet_one_row_of_a_window(spark):
+    """Numbered names hold the same letters; wanted in capitals, each may still meet no more than one row."""
+    names = [f"Customer#{n:09}" for n in range(300)]
+    dim = spark.createDataFrame([(n,) for n in names], "name string")
+    asked = spark.createDataFrame([(n.upper(),) for n in names] + [("0012",), ("R#",)], "wanted string")
+    got = V.exact_else_like(asked, dim, "name")
+    assert {(r.wanted, r.name, r.exact) for r in got.collect()} == {(n.upper(), n, False) for n in names} | {("0012", names[12], False), ("R#", names[0], False)}
+    assert "contains(" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_exact_else_like_against_all_pairs(spark):
     import random
 
