@@ -568,3 +568,62 @@ def test_bm25_in_tasks_and_by_pairs(spark, monkeypatch):
     ranked(chunks.unionByName(chunks.limit(1)))
     monkeypatch.setattr(R, "CELLS", 0)
     assert ranked(chunks) == got and calls == [1]
+
+
+def test_bm25_tokenises_a_chunk_once(spark):
+    """Frequencies of the corpus and of the queries' tokens come from one pass."""
+    chunks = spark.createDataFrame([(n, "a b" if n % 2 else "c d e") for n in range(40)], "chunk_id int, text string")
+    queries = spark.createDataFrame([(1, "a c")], "query_id int, query string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def words(text):
+        if len(text) != 3 or text != "a c":
+            seen.add(1)
+        return text.split(" ")
+
+    got = R.bm25_top_k(queries, chunks, 3, tokens=F.udf(words, "array<string>").asNondeterministic()).collect()
+    assert len(got) == 3 and seen.value == 40
+
+
+def test_index_search_scores_in_tasks(spark, monkeypatch, tmp_path):
+    """Postings are scored in tasks, not as pairs of query and chunk; the results are the same, with chunks over several splits and parts."""
+    split = lambda c: F.split(c, " ")
+    random = __import__("random").Random(5)
+    chunks = spark.createDataFrame([(n, " ".join(random.choice("abcdefgh") for _ in range(random.randrange(1, 30)))) for n in range(150)], "chunk_id int, text string")
+    queries = spark.createDataFrame([(1, "a b b"), (2, "c zz"), (3, "zz"), (4, "h g f")], "query_id int, query string")
+    monkeypatch.setattr(R, "SPLIT", 40)
+    R.index_chunks(chunks.where("chunk_id < 50"), f"{tmp_path}/i", tokens=split)
+    R.index_chunks(chunks, f"{tmp_path}/i", tokens=split)
+    calls, real = [], R._lexical
+    monkeypatch.setattr(R, "_lexical", lambda *a: calls.append(1) or real(*a))
+    ranked = lambda: sorted(map(tuple, R.bm25_search(queries, f"{tmp_path}/i", 7, tokens=split).collect()))
+    got = ranked()
+    assert calls == [1] and got == sorted(map(tuple, R.bm25_top_k(queries, chunks, 7, tokens=split).collect()))
+    monkeypatch.setattr(R, "CELLS", 0)
+    assert ranked() == got and calls == [1, 1]
+
+
+def test_hybrid_search_with_vectors_of_their_own(spark, monkeypatch):
+    """No text meets a vector; vectors without a chunk don't count."""
+    split = lambda c: F.split(c, " ")
+    texts = spark.createDataFrame([(n, f"word{n % 3} x{n}") for n in range(12)], "chunk_id int, text string")
+    vectors = spark.createDataFrame([(n, [1.0, n / 7]) for n in range(2, 20)], "chunk_id int, vector array<double>")
+    queries = spark.createDataFrame([(1, "word1 x4", [1.0, 0.5]), (2, "x7", [0.0, 1.0])], "query_id int, query string, vector array<double>")
+    given, real = [], R.vector_top_k
+    monkeypatch.setattr(R, "vector_top_k", lambda q, c, *a: given.append(c.columns) or real(q, c, *a))
+    got = R.hybrid_search(queries, texts, tokens=split, vectors=vectors)
+    want = R.hybrid_search(queries, texts.join(vectors, "chunk_id", "left"), tokens=split)
+    columns = ["query_id", "chunk_id", "score", "rerank_score", "rank"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect())) and "text" not in given[0]
+
+
+def test_document_chunks_take_one_python_pass(spark):
+    """Sections and chunks of a document come from one worker, with Unicode's outer white space off."""
+    from sagebrook.operators import docs as D
+
+    texts = ["\u3000Title\n" + "body text. " * 20 + "\x85\u2003", "one\n\x1ctwo " + "x" * 90 + "\x1c", None, "", "\n\n", "A head\n" + "word " * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    heading = lambda line: F.length(line) < 8
+    got = D.document_chunks(df, "k", "t", heading)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, D.chunks(D.sections(df, "k", "t", heading), "k").collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
