@@ -43,12 +43,17 @@ def split_sections(text: str, headings: Sequence[bool | None]) -> list[tuple[int
 _PART = pa.struct([("section_no", pa.int64()), ("heading", pa.string()), ("content", pa.string()), ("page_number", pa.int32())])
 
 
+def _lines(docs: DataFrame, key: str, text: str, heading: Callable[[Column], Column]) -> DataFrame:
+    """(key, text, headings): which lines of each text are headings."""
+    return docs.where(F.col(text).isNotNull()).select(key, text, F.transform(F.split(text, "\n"), heading).alias("headings"))
+
+
 def _parts(docs: DataFrame, key: str, text: str, heading: Callable[[Column], Column]) -> DataFrame:
     """(key, parts): the sections of each text as one array, blank ones too. No shuffle: a text's lines lie in one row.
 
     The heading rule is evaluated by Spark; the fold over the lines is a small helper in Arrow batches.
     """
-    rows = docs.where(F.col(text).isNotNull()).select(key, text, F.transform(F.split(text, "\n"), heading).alias("headings"))
+    rows = _lines(docs, key, text, heading)
     kind = rows.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,22 +138,22 @@ def packed_sections(parts: Sequence[tuple[str, str, int]], most: int = CHUNK_MOS
 def chunks(sectioned: DataFrame, key: str, most: int = CHUNK_MOST, least: int = CHUNK_LEAST) -> DataFrame:
     """(key, chunk_index, chunk_text, section_path, page_number) from a table of sections, which shuffles by document."""
     part = F.struct("section_no", "heading", "content", "page_number")
-    return _packed(sectioned.groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("parts")), key, most, least)
+    return _packed(sectioned.groupBy(key).agg(F.array_sort(F.collect_list(part)).alias("parts")), key, most, least, lambda parts: [(p["heading"], p["content"], p["page_number"]) for p in parts])
 
 
 def document_chunks(docs: DataFrame, key: str, text: str, heading: Callable[[Column], Column] = default_heading, most: int = CHUNK_MOST, least: int = CHUNK_LEAST,
                     first: str = rules.FIRST_HEADING) -> DataFrame:
-    """``chunks`` of ``sections`` without a shuffle; each row of ``docs`` is a document of its own."""
+    """``chunks`` of ``sections`` without a shuffle, in one Python pass; each row of ``docs`` is a document of its own."""
 
-    def clean(p: Column) -> Column:
-        return F.struct(p["section_no"].alias("section_no"), F.coalesce(C.strip(p["heading"]), F.lit(first)).alias("heading"), C.strip(p["content"]).alias("content"), p["page_number"].alias("page_number"))
+    def parts(text: str, headings: Sequence[bool | None]) -> list[tuple[str, str, int]]:
+        found = [(first if title is None else title.strip(C.SPACES), body.strip(C.SPACES), page) for _, title, body, page in split_sections(text, headings)]
+        return [p for p in found if p[1]]
 
-    parts = F.filter(F.transform("parts", clean), lambda p: p["content"] != "")
-    return _packed(_parts(docs, key, text, heading).select(key, parts.alias("parts")), key, most, least)
+    return _packed(_lines(docs, key, text, heading), key, most, least, parts)
 
 
-def _packed(rows: DataFrame, key: str, most: int, least: int) -> DataFrame:
-    """Chunks of rows (key, parts); the fold is a small helper in Arrow batches."""
+def _packed(rows: DataFrame, key: str, most: int, least: int, parts_of: Callable[..., list[tuple[str, str, int]]]) -> DataFrame:
+    """Chunks of rows (key, values ...), of which ``parts_of`` makes the sections; the fold is a small helper in Arrow batches."""
     kind = rows.schema[key].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +162,8 @@ def _packed(rows: DataFrame, key: str, most: int, least: int) -> DataFrame:
                 part = batch.slice(at, 64)
                 found = [
                     (k, i, *c)
-                    for k, parts in zip(part.column(0).to_pylist(), part.column(1).to_pylist())
-                    for i, c in enumerate(packed_sections([(p["heading"], p["content"], p["page_number"]) for p in parts], most, least))
+                    for k, *values in zip(*(c.to_pylist() for c in part.columns))
+                    for i, c in enumerate(packed_sections(parts_of(*values), most, least))
                 ]
                 columns = list(zip(*found)) if found else [()] * 5
                 types = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.int32()]
