@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ SEQUENCE = 2048
 END_ID = 0
 #: Pieces that one task packs, on average.
 PIECES_PER_TASK = 1 << 17
-#: Words kept with their ids, twice at most, in each worker.
+#: Words and pieces kept with their ids, twice at most, in each worker.
 CACHE_WORDS = 1 << 18
 
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -30,6 +31,11 @@ _WORD = re.compile("[^\t\n\x0b\x0c\r \x85\xa0  -     　]+")
 _LATIN = re.compile("[!-~\u00a1-\u024f]+")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
+#: The same for whole texts of such words and blanks, without three letters whose lower case is none of these.
+_LATIN_TEXT = re.compile("[\t-\r -~\xa0-\u012f\u0131-\u0239\u023b-\u023d\u023f-\u024f]*")
+_LETTERS, _NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ʯ", "0-9²³¹¼½¾"
+_LATIN_PIECES = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:[stmd]|re|ve|ll)|[^\t-\r \xa0{_LETTERS}{_NUMBERS}]+")
+
 
 def _byte_chars() -> dict[int, int]:
     """Byte-level letters: printable bytes stand for themselves, the others for 256 and on, in order."""
@@ -40,6 +46,10 @@ def _byte_chars() -> dict[int, int]:
 _BYTE_CHARS = _byte_chars()
 
 
+def _byte_level(piece: str) -> str:
+    return piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHARS)
+
+
 class WordIds:
     """Ids of texts as little-endian 32-bit integers, by a tokenizer that never joins across white space.
 
@@ -61,20 +71,27 @@ class WordIds:
             return [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)]
         plain = word.lower()
         pieces = [plain] if plain.isalpha() else _PIECES.findall(plain)
-        return [p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_CHARS) for p in pieces]
+        return [_byte_level(p) for p in pieces]
 
     def __call__(self, text: str) -> bytes:
-        words = _WORD.findall(text) if _ODD_SPACE.search(text) else text.split()
-        known = self.young
-        missing = [w for w in words if w not in known]
-        if missing:
-            if len(known) > CACHE_WORDS:
-                self.old, self.young = known, {}
-                known, missing = self.young, words
-            tokenize = self.tokenizer.model.tokenize
-            for word in dict.fromkeys(missing):
-                known[word] = self.old.get(word) or np.array([t.id for p in self._pieces(word) for t in tokenize(p)], "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        latin = _LATIN_TEXT.fullmatch(text)
+        if latin:  # pieces, which words share; their ids don't depend on what is beside them
+            parts = _LATIN_PIECES.findall(text.lower())
+        else:
+            parts = _WORD.findall(text) if _ODD_SPACE.search(text) else text.split()
+        ids = [*map(self.young.get, parts)]
+        if None in ids:
+            if len(self.young) > CACHE_WORDS:
+                self.old, self.young, ids = self.young, {}, [None] * len(parts)
+            known, old, tokenize = self.young, self.old, self.tokenizer.model.tokenize
+            for at, part in enumerate(parts):
+                if ids[at] is None:
+                    found = known.get(part) or old.get(part)
+                    if not found:
+                        found = [t.id for p in ([_byte_level(part)] if latin else self._pieces(part)) for t in tokenize(p)]
+                        found = struct.pack(f"<{len(found)}I", *found)
+                    known[part] = ids[at] = found
+        return b"".join(ids)
 
 
 @functools.cache

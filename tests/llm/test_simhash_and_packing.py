@@ -151,6 +151,17 @@ def test_cache_generations(monkeypatch):
         assert np.frombuffer(ids(text), "<u4").tolist() == whole_ids(text)[:-1]
 
 
+def test_latin_words_share_pieces():
+    """Words that differ in case or signs only are tokenised once; the pieces of every Latin letter are the tokenizer's."""
+    ids = packing.WordIds(TOKENIZER)
+    text = "Haus, haus. HAUS!! (haus) d'Haus"
+    assert np.frombuffer(ids(text), "<u4").tolist() == whole_ids(text)[:-1]
+    assert set(ids.young) == {"haus", ",", ".", "!!", "(", ")", "d", "'"}
+    signs = [chr(c) for c in range(1, 0x2B0)]
+    for text in ("".join(signs), " ".join(f"a{c}b {c}1 '{c}" for c in signs), *(f"x{c}Y{c}{c} 's{c}" for c in signs)):
+        assert np.frombuffer(ids(text), "<u4").tolist() == whole_ids(text)[:-1]
+
+
 def test_packing(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(ODD_TEXTS)] + [(3, ODD_TEXTS[3], "x")], "doc_id long, text string, piece string").unionByName(
         spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 100 AS doc_id", "text", "source AS piece")
