@@ -145,13 +145,42 @@ def _first_best(on: Sequence[str], least: float):
     return work
 
 
+#: Longer keys don't write out their texts with a character less; they meet candidates.
+SPELT = 256
+#: So many keys that are left meet candidates at once; of more those that are one character off are found first.
+FEW_KEYS = 10_000
+
+
+def _one_less(df: DataFrame) -> DataFrame:
+    """Each ``_form`` of 1 to ``SPELT`` characters as the texts that it is with one character less."""
+    n, at = F.length("_form"), F.col("_at")
+    df = df.where(n.between(1, SPELT)).withColumn("_at", F.explode(F.sequence(F.lit(1), n)))
+    return df.withColumn("_form", F.concat(F.substr("_form", F.lit(1), at - 1), F.substr("_form", at + 1))).drop("_at")
+
+
+def one_off(keys: DataFrame, forms: DataFrame, on: Sequence[str], least: float = REVIEW, sql: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(on ..., a, unit_id, score) of keys (on ..., a, _form) that some of ``forms`` (on ..., _form, pos, unit_id) has with one character more, and with one less.
+
+    Only an equal form scores more than one with a character more. One with a character less comes next by the Indel ratio, for keys of three characters or more;
+    by the edit ratio changed characters score the same, so there is no second table. Keys meet by equi-joins, as often as they have characters.
+    """
+    n = F.length("_form")
+    first = F.min_by("unit_id", F.struct(F.col("pos").isNotNull(), "pos"))  # nulls first
+    more = keys.join(_one_less(forms).groupBy(*on, "_form").agg(first.alias("unit_id")).hint("merge"), [*on, "_form"])
+    more = more.select(*on, "a", "unit_id", (F.lit(100.0) * n / (n + 1) if sql else F.lit(200.0) * n / (n + n + 1)).alias("score")).where(F.col("score") >= least)
+    if sql:
+        return more, None
+    less = _one_less(keys.where(n >= 3)).join(forms.hint("merge"), [*on, "_form"]).groupBy(*on, "a", n.alias("_n")).agg(first.alias("unit_id"))
+    return more, less.select(*on, "a", "unit_id", (F.lit(200.0) * F.col("_n") / (F.col("_n") + F.col("_n") + 1)).alias("score")).where(F.col("score") >= least)
+
+
 def fuzzy_matches(items: DataFrame, known: DataFrame, full: bool = True, sql: bool = False, least: float = REVIEW) -> DataFrame:
     """The best known key of the block with a score of ``least`` or more; the first in order on a tie.
 
     Whole units compare by name; items with a sub-unit compare the composite key with units of their type that have one.
-    Names repeat, so distinct keys meet, and a match is joined back to the items that have the key. Equal keys score 100 and need no comparison;
-    of the others the ``candidates`` for ``FUZZY``, which are few, are compared, and only keys that nothing of that score answers meet those for ``least``:
-    what scores less can't win before. Keys that are left are stored between these steps (checkpoints, where the session has a folder). ``sql`` takes the edit ratio.
+    Names repeat, so distinct keys meet, and a match is joined back to the items that have the key. Equal keys score 100 and need no comparison, and where many are left,
+    those that are ``one_off`` neither: nothing else scores more. Of the others the ``candidates`` for ``FUZZY``, which are few, are compared, and only keys that nothing of that score answers
+    meet those for ``least``: what scores less can't win before. Keys that are left are stored between these steps (checkpoints, where the session has a folder). ``sql`` takes the edit ratio.
     """
     items, known = keyed(items, full), keyed(known, full)
     columns = ["block", "input_pos", "item_pos", "unit_id", "confidence", "score"]
@@ -168,14 +197,28 @@ def fuzzy_matches(items: DataFrame, known: DataFrame, full: bool = True, sql: bo
 
     def best(asked: DataFrame, units: DataFrame, on: list[str]) -> DataFrame:
         form = (lambda c: F.col(c)) if sql else (lambda c: C.sorted_tokens(F.col(c)))
-        first = F.min_by("unit_id", F.struct(F.col("pos").isNotNull(), "pos"))  # nulls first
-        keys = asked.select(*on, "a").distinct()
-        won = keys.withColumn("_form", form("a")).join(units.groupBy(*on, form("b").alias("_form")).agg(first.alias("unit_id")).hint("merge"), [*on, "_form"])
-        won = won.select(*on, "a", "unit_id", F.lit(100.0).alias("score"))
-        rest = cut(keys.join(won.select(*on, "a").hint("merge"), [*on, "a"], "left_anti"))
+        first = F.struct(F.col("pos").isNotNull(), "pos")  # nulls first
+        units = cut(units)
+        forms = units.groupBy(*on, form("b").alias("_form")).agg(F.min_by("pos", first).alias("pos"), F.min_by("unit_id", first).alias("unit_id"))
+        keys = cut(asked.select(*on, "a").distinct().withColumn("_form", form("a")))
+        equal = keys.join(forms.hint("merge"), [*on, "_form"]).select(*on, "a", "unit_id", F.lit(100.0).alias("score"))
+        won, rest = equal, keys
+
+        def left(found: DataFrame) -> DataFrame:
+            return cut(rest.join(found.select(*on, "a").hint("merge"), [*on, "a"], "left_anti"))
+
+        rest = left(equal)
+        for k in range(1 if sql else 2):
+            if rest.limit(FEW_KEYS + 1).count() > FEW_KEYS:
+                found = cut(one_off(rest, forms, on, least, sql)[k])
+                won, rest = won.unionByName(found), left(found)
+        rest = rest.select(*on, "a")
+        if rest.isEmpty():
+            return asked.join(won.hint("merge"), [*on, "a"]).select(*columns)
+        units = units.join(small(rest.select(*on).distinct()), on, "left_semi")  # units that no key is left for aren't spelt out
         if least < FUZZY:
             near = cut(compared(rest, units, on, FUZZY))
-            won, rest = won.unionByName(near), cut(rest.join(near.select(*on, "a").hint("merge"), [*on, "a"], "left_anti"))
+            won, rest = won.unionByName(near), left(near)
         won = won.unionByName(compared(rest, units, on, least))
         return asked.join(won.hint("merge"), [*on, "a"]).select(*columns)
 

@@ -531,6 +531,26 @@ def test_sub_units_in_two_steps(spark, monkeypatch):
     assert got == {0: (1, 100.0), 1: (1, 97.1), 2: (2, 92.3)} and [m for m in met if m[1]] == [(90.0, {"abcdefghijk/north", "vwxz/s"})]
 
 
+def test_one_off_keys_meet_no_candidates(spark, monkeypatch):
+    """Of many keys those with a unit of one character more or less are answered by joins, with the results that candidates give, for both ratios."""
+    import random
+
+    draw = random.Random(7)
+    words = lambda n: sorted({"".join(draw.choice("ab c") for _ in range(draw.randrange(1, 8))) for _ in range(n)} | {"部学ab", "ab"})
+    known = spark.createDataFrame([("u", k, None if k == 4 else 50 - k, "st"[k % 2], w, "n") for k, w in enumerate(words(40))], KNOWN)
+    items = spark.createDataFrame([("u", n, 0, "st"[n % 2], w, "n", "high") for n, w in enumerate(words(60) + ["部ab", "x" * 300, "x" * 299])], ITEMS)
+    known = known.unionByName(spark.createDataFrame([("u", 90 + t, 90, "st"[t], "x" * 300, "n") for t in (0, 1)], KNOWN))
+    rows = lambda sql, least: sorted(map(tuple, M.fuzzy_matches(items, known, sql=sql, least=least).collect()))
+    want = {a: rows(*a) for a in ((False, 60.0), (True, 75.0))}
+    monkeypatch.setattr(M, "FEW_KEYS", 0)
+    assert {a: rows(*a) for a in want} == want
+    met, real = set(), M.candidates
+    monkeypatch.setattr(M, "candidates", lambda asked, units, on, least, sql: met.update(r.a for r in asked.collect()) or real(asked, units, on, least, sql))
+    known = spark.createDataFrame([("u", 1, 1, "t", "abcdefghijkl", "north"), ("u", 2, 2, "t", "vwxyz", "s")], KNOWN)
+    items = spark.createDataFrame([("u", n, 0, "t", name, "north", "high") for n, name in enumerate(["abcdefghijk", "abcdefghijklm", "abcdefghij"])], ITEMS)
+    assert {r.input_pos: round(r.score, 1) for r in M.fuzzy_matches(items, known).collect()} == {0: 97.1, 1: 97.3, 2: 94.1} and met == {"abcdefghij/north"}
+
+
 def test_resolved_meets_first_items_only(spark):
     """Of 2,000 items and 2,000 records of a name the pairs aren't made: a unit goes to the first item, of its type or without one."""
     known = spark.range(2000).selectExpr("'u' block", "cast(id as int) unit_id", "cast(id as int) pos", "if(id % 2 = 0, 's', 't') unit_type", "'abc' name", "cast(null as string) sub")
