@@ -590,6 +590,29 @@ def test_bm25_in_tasks_and_by_pairs(spark, monkeypatch):
     assert ranked(chunks) == got and calls == [1]
 
 
+def test_bm25_of_more_weights_than_a_driver_takes(spark, monkeypatch):
+    """Each query keeps all its hits where its tokens are few, but the weights of all queries are more than are collected; so do fused and hybrid rankings."""
+    split = lambda c: F.split(c, " ")
+    chunks = spark.createDataFrame([(n, "abcdef"[n % 6] + " " + "abcdef"[n // 6 % 6] + " g") for n in range(40)], "chunk_id int, text string")
+    queries = spark.createDataFrame([(n, f"a b {'cdef'[n % 4]}", [1.0, n / 3]) for n in range(9)], "query_id int, query string, vector array<double>")
+    vectors = spark.createDataFrame([(n, [n / 5, 1.0]) for n in range(40)], "chunk_id int, vector array<double>")
+    rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "chunk_id", "score", "rank").collect())
+    lexical = lambda: R.bm25_top_k(queries, chunks, 5, tokens=split)
+    rankings = [lexical, lambda: R.fused([R.vector_top_k(queries, vectors, 5), lexical()]), lambda: R.hybrid_search(queries, chunks, 5, 5, tokens=split, vectors=vectors)]
+    want = [rows(r()) for r in rankings]
+    assert all({q for q, *_ in w} == set(range(9)) for w in want) and all(score > 0 for _, _, score, _ in want[0])
+    monkeypatch.setattr(R, "BROADCAST_ROWS", 10)  # 6 tokens, 27 weights
+    assert [rows(r()) for r in rankings] == want
+
+
+def test_bm25_fills_up_with_different_chunks(spark):
+    """Chunks whose id repeats more often than 2 k times don't take the places of others."""
+    chunks = spark.createDataFrame([(1, "x")] * 10 + [(2, "y"), (3, "x"), (4, "y")], "chunk_id int, text string")
+    queries = spark.createDataFrame([(1, "zz"), (2, "y")], "query_id int, query string")
+    got = R.bm25_top_k(queries, chunks, 3, tokens=lambda c: F.split(c, " ")).collect()
+    assert sorted((r.query_id, r.rank, r.chunk_id) for r in got) == [(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 1, 2), (2, 2, 4), (2, 3, 1)]
+
+
 def test_bm25_tokenises_a_chunk_once(spark):
     """Frequencies of the corpus and of the queries' tokens come from one pass."""
     chunks = spark.createDataFrame([(n, "a b" if n % 2 else "c d e") for n in range(40)], "chunk_id int, text string")
