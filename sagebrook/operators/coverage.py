@@ -6,6 +6,8 @@ shuffle, and which join is taken is left to Spark unless a size is checked.
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .common import percent, small, top_per_key
+from .common import percent, small, top_per_key, work_path
 
 
 def covered_units(units: DataFrame, edges: DataFrame, key: str) -> DataFrame:
@@ -345,22 +347,255 @@ def _pair_counts(once: DataFrame) -> DataFrame:
     return combined.repartition("profile").groupBy("profile", "peer").agg(F.sum("shared").alias("shared"))
 
 
+#: Rows of profile and field whose lists a task holds, about; members that a task counts at once; lists that it looks up at once.
+SHARD_ROWS, MEMBERS, LISTS = 1 << 22, 1 << 21, 1 << 16
+#: Numbered profiles are broadcast up to so many: a few whole numbers each.
+NUMBERED_ROWS = 1_000_000
+
+
 def field_peers(profiles: DataFrame, key: str, entity: str, field: str, most: int = 8, hot: int = HOT_FIELD) -> DataFrame:
     """For each profile up to ``most`` profiles of other entities with the most shared fields; ties go by key.
 
-    ``profiles`` has a row for each profile and field; repeated rows count once. Profiles meet by fields that at most ``hot`` of
-    them have. A profile whose ``most`` best share more of these than it has hot fields needs no other candidates, as one that shares hot fields only
-    can't get there: of its candidates those within reach look their hot fields up. Only the others meet everyone with
-    their hot fields, in parts by the peer's key. ``field_pairs`` counts the pairs of both kinds.
+    ``profiles`` has a row for each profile and field; repeated rows count once. Each field's profiles are a list in the shared folder, as numbers in the order of the keys
+    (these are stored when the plan is built). A profile's places of lists meet in one task, which maps the lists, counts their members and passes on ``most`` of them: what
+    moves and is stored are rows of profile and field, never pairs of profiles. A profile whose ``most`` best share more of the fields
+    that at most ``hot`` have than it has hot fields needs no other candidates, as one that shares hot fields only can't get there: of its candidates
+    those within reach are looked up in its hot fields. Only the others go through their hot fields' lists. ``field_pairs`` counts the pairs of both kinds. On a cluster whose
+    session has no shared folder pairs shuffle.
+    """
+    spark = profiles.sparkSession
+    try:
+        folder = work_path(spark, "peers")
+    except ValueError:
+        return _peers_by_pairs(profiles, key, entity, field, most, hot)
+    rows = profiles.select(F.col(key).alias("profile"), F.col(entity).alias("of"), F.col(field).alias("field")).where("profile IS NOT NULL AND of IS NOT NULL AND field IS NOT NULL")
+    nodes = rows.groupBy("profile", "of").agg(F.count(F.lit(1)).alias("n"))
+    nodes.write.parquet(f"{folder}/nodes")
+    nodes = spark.read.schema(nodes.schema).parquet(f"{folder}/nodes")
+    count, total = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    names, profile_n = _numbered(nodes.select("profile"), f"{folder}/profiles")
+    entities, entity_n = _numbered(nodes.select("of"), f"{folder}/entities")
+    bits = max(1, entity_n.bit_length())
+    node = F.shiftleft(names["no"], bits).bitwiseOR(entities["no"]).alias("node")
+    nodes = nodes.join(names, "profile").join(entities, "of").select("profile", "of", node)
+    cores = spark.sparkContext.defaultParallelism
+    dealt = rows.join(small(nodes, NUMBERED_ROWS), ["profile", "of"]).select("node", "field").repartitionByRange(max(cores, -(-total // SHARD_ROWS)), "field")
+    kind = np.uint32 if profile_n << bits <= 1 << 32 else np.int64
+    listed = dealt.mapInArrow(_lists(f"{folder}/lists", kind), "node long, shard long, starts array<int>")
+    own = F.shiftright("node", bits).alias("own"), F.col("node").bitwiseAND(F.lit((1 << bits) - 1)).alias("entity")
+    listed = listed.select(*own, "shard", "starts").repartition(max(cores, -(-total * 4 // SHARD_ROWS)), "own").sortWithinPartitions("own")
+    best = listed.mapInArrow(_met_in_lists(f"{folder}/lists", kind, bits, most, hot, count > profile_n), "own long, _peer long, shared long, rank int")
+    names = small(names, NUMBERED_ROWS)
+    out = best.join(names.select(F.col("no").alias("own"), "profile"), "own").join(names.select(F.col("no").alias("_peer"), F.col("profile").alias("peer")), "_peer")
+    return out.select("profile", "peer", "shared", "rank")
+
+
+def _numbered(values: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """(value, no): the distinct values of a column, stored and numbered from 0 in their order; and how many there are."""
+    spark, name = values.sparkSession, values.columns[0]
+    place = F.monotonically_increasing_id()  # the part's number in the bits from 33 on
+    values.distinct().orderBy(name).select(name, F.shiftright(place, 33).alias("_part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")).write.parquet(path)
+    kept = spark.read.schema(values.select(name, F.lit(0).cast("long").alias("_part"), F.lit(0).cast("long").alias("_at")).schema).parquet(path)
+    sizes = sorted(kept.groupBy("_part").count().collect())  # a row for each part
+    before = np.cumsum([0, *(r["count"] for r in sizes)]).tolist()
+    firsts = spark.createDataFrame([(r["_part"], b) for r, b in zip(sizes, before)], "_part long, _first long")
+    return kept.join(F.broadcast(firsts), "_part").select(name, (F.col("_first") + F.col("_at")).alias("no")), before[-1]
+
+
+def _lists(folder: str, kind: type):
+    """Turns a task's rows (node, field) into a file of ``folder`` and rows (node, shard, starts).
+
+    The file has each field's number of nodes and then these nodes, ascending; a row has the places where a node's fields start in the file ``shard``.
+    Its name is random, so that a repeated task writes another file and its rows name that one.
+    """
+    from ..llm.arrays import save
+    from ..llm.common import giving_back
+
+    def distinct(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+        """The nodes, ascending, and the fields of the rows; and of each different row the place of its field and of its node, in this order."""
+        table = pa.Table.from_batches(parts)
+        nodes, own = np.unique(table.column(0).to_numpy(), return_inverse=True)
+        fields = table.column(1).combine_chunks().dictionary_encode()
+        pair = np.unique(fields.indices.to_numpy(zero_copy_only=False).astype(np.int64) << 32 | own)
+        return nodes, fields.dictionary, pair >> 32, pair & 0xFFFFFFFF
+
+    @giving_back
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, bound = [], 0, 2 * SHARD_ROWS
+        for batch in batches:
+            parts.append(batch)
+            held += batch.num_rows
+            if held > bound:  # rows may repeat very often
+                nodes, fields, field, own = distinct(parts)
+                parts = [pa.RecordBatch.from_arrays([pa.array(nodes[own]), fields.take(pa.array(field))], batch.schema.names)]
+                held = parts[0].num_rows
+                bound = 2 * held + SHARD_ROWS
+        if not held:
+            return
+        nodes, _, field, own = distinct(parts)
+        del parts
+        sizes = np.bincount(field)
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        file = np.empty(len(field) + len(sizes), kind)
+        file[starts] = sizes
+        file[np.arange(len(field)) + field + 1] = nodes[own]
+        shard = int.from_bytes(os.urandom(7), "big")
+        save(folder, str(shard), file)
+        ends = np.r_[0, np.cumsum(np.bincount(own))].astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(starts[field[np.argsort(own, kind="stable")]].astype(np.int32)))
+        out = pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.full(len(nodes), shard)), lists], ["node", "shard", "starts"])
+        for at in range(0, len(nodes), 4096):
+            yield out.slice(at, 4096)
+
+    return work
+
+
+@functools.lru_cache(1024)
+def _opened(folder: str, shard: int, kind: type) -> np.ndarray:
+    from ..llm.arrays import mapped
+
+    return np.asarray(mapped(folder, str(shard), kind))
+
+
+def _met_in_lists(folder: str, kind: type, bits: int, most: int, hot: int, several: bool):
+    """Turns rows (own, entity, shard, starts), a profile's next to one another, into its best peers (own, _peer, shared, rank); ``several``: profiles may have several entities."""
+    from ..llm.common import giving_back
+
+    opened = lambda shard: _opened(folder, shard, kind)
+
+    def by_shard(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(shard, from, to) of each run."""
+        edges = np.r_[np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]), len(shard)] if len(shard) else []
+        for a, b in zip(edges[:-1], edges[1:]):
+            yield int(shard[a]), int(a), int(b)
+
+    def members(lists: tuple[np.ndarray, ...], found: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Adds the members of lists (place of the profile, entity, shard, start, size) to the sorted peers ``found`` (place << 32 | peer) and their counts, a slice at a time."""
+        place, entity, shard, start, size = lists
+        ends = np.cumsum(size)
+        before = (-1, -1)
+        for low in range(0, int(ends[-1]) if len(ends) else 0, MEMBERS):
+            at = np.arange(low, min(low + MEMBERS, int(ends[-1])))
+            first, last = np.searchsorted(ends, (low, at[-1]), "right")
+            n = np.minimum(ends[first : last + 1], at[-1] + 1) - np.maximum(ends[first : last + 1] - size[first : last + 1], low)
+            of = np.repeat(np.arange(first, last + 1), n)
+            at += (start + 1 - ends + size)[of]
+            node = np.empty(len(at), np.int64)
+            for s, a, b in by_shard(shard[first : last + 1]):
+                a, b = np.searchsorted(of, (first + a, first + b))
+                node[a:b] = opened(s)[at[a:b]]
+            other = (node & (1 << bits) - 1) != entity[of]
+            of, peer = of[other], node[other] >> bits
+            if several and len(of):  # a peer counts once a list
+                once = (of != np.r_[before[0], of[:-1]]) | (peer != np.r_[before[1], peer[:-1]])
+                before = of[-1], peer[-1]
+                of, peer = of[once], peer[once]
+            new = np.sort(place[of] << 32 | peer)
+            edges = np.flatnonzero(np.r_[True, new[1:] != new[:-1]]) if len(new) else np.zeros(0, int)
+            new, n = new[edges], np.diff(np.r_[edges, len(new)])
+            if len(found):
+                new, inverse = np.unique(np.r_[found, new], return_inverse=True)
+                n = np.bincount(inverse, np.r_[counts, n], len(new)).astype(np.int64)
+            found, counts = new, n
+        return found, counts
+
+    def ranked(found: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the ``most`` best in ``found``, profile by profile, and their ranks from 1."""
+        place, top = found >> 32, int(counts.max(initial=0))
+        by = place * (top + 1) + top - counts
+        order = np.sort(by * len(found) + np.arange(len(found))) % len(found) if len(found) and int(by.max()) < (1 << 62) // len(found) else np.argsort(by, kind="stable")
+        place = place[order]
+        rank = np.arange(len(order)) - np.searchsorted(place, place) + 1
+        return order[rank <= most], rank[rank <= most]
+
+    def best(own: np.ndarray, lists: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        """Best peers of the profiles ``own`` by their lists."""
+        often = (lists[-1] > hot) & (not several)
+        found, counts = members(tuple(x[~often] for x in lists), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if often.any():
+            often = tuple(x[often] for x in lists)
+            held, last = np.bincount(often[0], minlength=len(own)), np.zeros(len(own), np.int64)
+            at, rank = ranked(found, counts)
+            at = at[rank == most]
+            last[found[at] >> 32] = counts[at]
+            wide = last <= held
+            within = np.flatnonzero(~wide[found >> 32] & (counts + held[found >> 32] >= last[found >> 32]))
+            place = found[within] >> 32
+            for p, _, shard, start, size in zip(*(x[~wide[often[0]]].tolist() for x in often)):
+                mine = within[slice(*np.searchsorted(place, (p, p + 1)))]
+                nodes, peers = opened(shard)[start + 1 : start + 1 + size], found[mine] & 0xFFFFFFFF
+                at = np.searchsorted(nodes, (peers << bits).astype(kind))
+                counts[mine] += (at < size) & (nodes[np.minimum(at, size - 1)] >> bits == peers)
+            found, counts = members(tuple(x[wide[often[0]]] for x in often), found, counts)
+        at, rank = ranked(found, counts)
+        return pa.RecordBatch.from_arrays([pa.array(own[found[at] >> 32]), pa.array(found[at] & 0xFFFFFFFF), pa.array(counts[at]), pa.array(rank.astype(np.int32))], ["own", "_peer", "shared", "rank"])
+
+    def met(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Best peers of whole profiles, a group of them at a time."""
+        own, entity, shard = (table.column(i).to_numpy() for i in range(3))
+        n = pc.list_value_length(table.column(3)).to_numpy().astype(np.int64)
+        edges = np.r_[np.flatnonzero(np.r_[True, own[1:] != own[:-1]]), len(own)] if len(own) else np.zeros(1, int)
+        total = np.r_[0, np.cumsum(n)][edges]  # lists before each profile
+        a = 0
+        while a < len(edges) - 1:
+            b = max(a + 1, int(np.searchsorted(total, total[a] + LISTS, "right")) - 1)
+            rows = slice(edges[a], edges[b])
+            place = np.repeat(np.repeat(np.arange(b - a), np.diff(edges[a : b + 1])), n[rows])
+            start = pc.list_flatten(table.column(3).slice(rows.start, rows.stop - rows.start)).to_numpy().astype(np.int64)
+            lists = [place, np.repeat(entity[rows], n[rows]), np.repeat(shard[rows], n[rows]), start]
+            if several:  # a profile with two entities at a field differs from all of its members
+                order = np.lexsort((start, lists[2], place))
+                place, _, shards, start = lists = [x[order] for x in lists]
+                same = (place[1:] == place[:-1]) & (shards[1:] == shards[:-1]) & (start[1:] == start[:-1])
+                lists[1] = np.where(np.r_[same, False], -1, lists[1])
+                lists = [x[~np.r_[False, same]] for x in lists]
+            size = np.empty(len(lists[3]), np.int64)
+            order = np.argsort(lists[2], kind="stable")
+            for s, c, d in by_shard(lists[2][order]):
+                size[order[c:d]] = opened(s)[lists[3][order[c:d]]]
+            weight = np.cumsum(np.bincount(lists[0], size, b - a).astype(np.int64))
+            c = 0
+            while c < b - a:  # profiles with about as many members as are counted at once
+                d = max(c + 1, int(np.searchsorted(weight, (weight[c - 1] if c else 0) + MEMBERS, "right")))
+                mine = order[(lists[0][order] >= c) & (lists[0][order] < d)]  # shard by shard
+                group = [x[mine] for x in (*lists, size)]
+                group[0] = group[0] - c
+                yield best(own[edges[a + c : a + d]], tuple(group))
+                c = d
+            a = b
+
+    @giving_back
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+                whole = int(np.searchsorted(table.column(0).to_numpy(), table.column(0)[-1].as_py()))
+                yield from met(table.slice(0, whole))
+                rest = table.slice(whole)
+        if rest is not None:
+            yield from met(rest)
+
+    return work
+
+
+def _peers_by_pairs(profiles: DataFrame, key: str, entity: str, field: str, most: int, hot: int) -> DataFrame:
+    """``field_peers`` by pairs of profiles that shuffle, where nothing can be shared in files.
+
+    Profiles meet by fields that at most ``hot`` of them have. Only those whose best can still change meet everyone with their hot fields, in parts by the peer's key.
+    Where a profile has several entities, all pairs of a field meet.
     """
     once = profiles.select(F.col(key).alias("profile"), F.col(entity).alias("of"), F.col(field).alias("field")).where("profile IS NOT NULL AND field IS NOT NULL").distinct()
+    as_peer = lambda df: df.select(F.col("profile").alias("peer"), F.col("of").alias("other"), "field")
+    if not once.select("profile", "of").distinct().groupBy("profile").count().where("count > 1").isEmpty():
+        pairs = once.join(as_peer(once), "field").where("of <> other").groupBy("profile", "peer").agg(F.count_distinct("field").alias("shared"))
+        return top_per_key(pairs, ["profile"], most, F.desc("shared"), F.col("peer"), rank="rank")
     sizes = once.groupBy("field").agg(F.count(F.lit(1)).alias("n"))
     common = sizes.where(F.col("n") > hot).select("field")
     if common.isEmpty():
         return top_per_key(_pair_counts(once), ["profile"], most, F.desc("shared"), F.col("peer"), rank="rank")
     common = small(common)
     rare, often = once.join(common, "field", "left_anti"), once.join(common, "field", "left_semi")
-    as_peer = lambda df: df.select(F.col("profile").alias("peer"), F.col("of").alias("other"), "field")
 
     near = _pair_counts(rare)
     held = often.groupBy("profile").agg(F.count(F.lit(1)).alias("held"))

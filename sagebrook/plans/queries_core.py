@@ -379,7 +379,7 @@ def ranked_listing(spark, d):
  SELECT profile, peer, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY shared DESC, peer) AS rank FROM n) WHERE rank <= 8""")
 def shared_field_peers(spark, d):
     rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("field"))
-    named = rows.join(small(table(spark, d, "supplier").select("s_suppkey", "s_nationkey")), "s_suppkey").distinct()
+    named = rows.join(small(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), V.NUMBERED_ROWS), "s_suppkey")
     return V.field_peers(named, "s_suppkey", "s_nationkey", "field")
 
 

@@ -377,6 +377,47 @@ def test_field_peers_with_a_field_of_all(spark):
         assert {(r.profile, r.peer, r.shared) for r in got} == want
 
 
+def test_pairs_of_peers_stay_off_the_disk(spark, monkeypatch):
+    """20,000 rows whose fields have 980,000 pairs, few of them alike: what is shuffled grows with the rows. Without a shared folder the result is the same."""
+    from pathlib import Path
+
+    df = spark.createDataFrame([(k, k % 7, (k * (2 * n + 1) + 37 * n * n) % 400) for k in range(1000) for n in range(20)], "k int, e int, f int")
+    shuffled = lambda: {f: f.stat().st_size for f in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
+    before = shuffled()
+    got = sorted(map(tuple, V.field_peers(df, "k", "e", "f").collect()))
+    assert len(got) == 8000 and sum(n for f, n in shuffled().items() if f not in before) < 2_000_000
+
+    def no_folder(*_):
+        raise ValueError
+
+    monkeypatch.setattr(V, "work_path", no_folder)
+    assert got == sorted(map(tuple, V.field_peers(df, "k", "e", "f").collect()))
+
+
+def test_field_peers_with_several_entities(spark, monkeypatch):
+    """A profile may have several entities, also at one field: a field counts once for a peer. Rows may repeat, keys may be texts, slices may be small."""
+    import random
+    from collections import Counter, defaultdict
+
+    rng = random.Random(5)
+    rows = [(f"k{rng.randint(0, 40)}", f"e{rng.randint(0, 2)}", f"f{rng.randint(0, 25)}") for _ in range(400)] * 2 + [("k1", None, "f1"), (None, "e1", "f1"), ("k2", "e1", None)]
+    at = defaultdict(set)
+    for k, e, f in rows:
+        if None not in (k, e, f):
+            at[f].add((k, e))
+    shared = Counter(pair for f in at for pair in {(a, b) for a, x in at[f] for b, y in at[f] if x != y})
+    want = set()
+    for k in {a for a, _ in shared}:
+        want |= {(k, p, n, i + 1) for i, (p, n) in enumerate(sorted(((b, n) for (a, b), n in shared.items() if a == k), key=lambda x: (-x[1], x[0]))[:8])}
+    df = spark.createDataFrame(rows, "k string, e string, f string")
+    for members, lists, held in ((V.MEMBERS, V.LISTS, V.SHARD_ROWS), (7, 5, 50)):
+        monkeypatch.setattr(V, "MEMBERS", members), monkeypatch.setattr(V, "LISTS", lists), monkeypatch.setattr(V, "SHARD_ROWS", held)
+        got = [tuple(r) for r in V.field_peers(df, "k", "e", "f", hot=10).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert {tuple(r) for r in V._peers_by_pairs(df.dropna(), "k", "e", "f", 8, 10).collect()} == want
+    assert not V.field_peers(df.where("k = 'none'"), "k", "e", "f").collect()
+
+
 def test_long_names_meet_one_row_of_a_window(spark):
     """Numbered names hold the same letters; wanted in capitals, each may still meet no more than one row."""
     names = [f"Customer#{n:09}" for n in range(300)]
