@@ -350,7 +350,7 @@ def _pair_counts(once: DataFrame) -> DataFrame:
 #: Rows of profile and field whose lists a task holds, about; members that a task counts at once; lists that it looks up at once.
 SHARD_ROWS, MEMBERS, LISTS = 1 << 22, 1 << 21, 1 << 16
 #: Numbered profiles are broadcast up to so many: a few whole numbers each.
-NUMBERED_ROWS = 1_000_000
+NUMBERED_ROWS = 500_000
 
 
 def field_peers(profiles: DataFrame, key: str, entity: str, field: str, most: int = 8, hot: int = HOT_FIELD) -> DataFrame:
@@ -383,7 +383,9 @@ def field_peers(profiles: DataFrame, key: str, entity: str, field: str, most: in
     kind = np.uint32 if profile_n << bits <= 1 << 32 else np.int64
     listed = dealt.mapInArrow(_lists(f"{folder}/lists", kind), "node long, shard long, starts array<int>")
     own = F.shiftright("node", bits).alias("own"), F.col("node").bitwiseAND(F.lit((1 << bits) - 1)).alias("entity")
-    listed = listed.select(*own, "shard", "starts").repartition(max(cores, -(-total * 4 // SHARD_ROWS)), "own").sortWithinPartitions("own")
+    tasks = max(cores, -(-total * 4 // SHARD_ROWS))
+    part = F.floor(F.col("own") * tasks / max(1, profile_n)).cast("int")  # neighbours tend to have the same fields, so a task maps few files
+    listed = listed.select(*own, "shard", "starts").repartitionById(tasks, part).sortWithinPartitions("own")
     best = listed.mapInArrow(_met_in_lists(f"{folder}/lists", kind, bits, most, hot, count > profile_n), "own long, _peer long, shared long, rank int")
     names = small(names, NUMBERED_ROWS)
     out = best.join(names.select(F.col("no").alias("own"), "profile"), "own").join(names.select(F.col("no").alias("_peer"), F.col("profile").alias("peer")), "_peer")
@@ -575,6 +577,7 @@ def _met_in_lists(folder: str, kind: type, bits: int, most: int, hot: int, sever
                 rest = table.slice(whole)
         if rest is not None:
             yield from met(rest)
+        _opened.cache_clear()  # what a worker has mapped counts as its memory
 
     return work
 
